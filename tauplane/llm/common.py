@@ -69,6 +69,23 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1), modulo 2**64; read only."""
+    own = _powers.get(base)
+    if own is None or len(own) < n:
+        own = np.full(max(2 * n, 1 << 16), base, np.uint64)
+        own[0] = 1
+        own = np.multiply.accumulate(own)
+        if len(own) <= 1 << 24:
+            _powers[base] = own
+    return own[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every bit of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -76,6 +93,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: For each byte, whether it is white space, and a number that stands for it.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+class LineOfWords:
+    """The words of several texts (A-Z lower-cased), hashed without a loop: .hashes, .text (whose word it is), .counts (words of each text)."""
+
+    def __init__(self, texts: list[bytes], blank: np.ndarray = BLANK):
+        self.bytes = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        spaces = np.r_[True, blank[self.bytes]]
+        self.starts = np.flatnonzero(spaces[:-1] & ~spaces[1:])
+        self.ends = np.flatnonzero(~spaces[:-1] & spaces[1:])
+        sums = np.zeros(len(self.bytes) + 1, np.uint64)
+        np.cumsum(SYMBOL[self.bytes] * powers(BASE, len(self.bytes)), out=sums[1:])
+        self.sums = sums
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * powers(INVERSE, len(sums))[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.text = np.searchsorted(np.cumsum(sizes), self.starts, "right")
+        self.counts = np.bincount(self.text, minlength=len(texts))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about most_bytes of the binary column; a longer value makes a piece of its own."""
     for batch in batches:

@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, settle, slices
-from .substring_dedup import BASE, INVERSE, powers
+from .common import BASE, INVERSE, WordHashes, mix, powers, settle, slices
 
 REPEATS, LEADING, BLOCKS, LEAST = 10, 2, 4, 8
 #: Recurring templates that are sent to every executor at most (16 bytes each); more are joined by document.

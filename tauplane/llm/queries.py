@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, substring_dedup
-from .common import documents
+from . import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, quality, substring_dedup
+from .common import documents, table
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_prediction(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -30,7 +46,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_quality_resampling": op9_quality_resampling,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

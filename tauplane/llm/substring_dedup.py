@@ -35,23 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, settle, slices
+from .common import BASE, INVERSE, WordHashes, mix, powers, settle, slices
 
 WINDOW = 50
 ROUNDS = 4
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1), modulo 2**64."""
-    out = np.full(max(n, 1), base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Words:
     """The words of several texts in one line, with a wall before, between and after the texts."""
 
