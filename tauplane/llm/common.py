@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -130,3 +131,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 bytes (null: empty)."""
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def summed(source: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], length: int, parts: int = 64) -> np.ndarray:
+    """The sum over all tasks of a vector of that length, to which count(piece, vector) adds; source has a column text of bytes.
+
+    Tasks send their vectors in parts, which are added up apart: a part's task reads length / parts numbers from each.
+    """
+    padded = -(-length // parts) * parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(padded, np.int64)
+        for batch in slices(batches, "text"):
+            count(batch, total[:length])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in total.reshape(parts, -1)], pa.binary())], ["part", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": group["part"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in group["counts"]).tobytes()]})
+
+    out = np.zeros((parts, padded // parts), np.int64)
+    for row in source.mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():  # one row for each part
+        out[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)[:length]

@@ -26,16 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LineOfWords, mix, settle, slices, with_bytes
+from .common import LineOfWords, mix, settle, slices, summed, with_bytes
 
 BUCKETS, PRIOR, FIT, SEED = 1 << 17, 10.0, 20_000, 20_240_607
-#: Rows that a slice of a count vector has.
-SLICES = 64
 U = np.uint64
 
 
@@ -63,25 +60,14 @@ def _counts(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     marks = F.broadcast(good.withColumn("_good", F.lit(True)))  # FIT rows at most
     source = with_bytes(docs.join(marks, "doc_id", "left").withColumn("good", F.coalesce("_good", F.lit(False))), "good")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * BUCKETS), np.int64)
-        for batch in slices(batches, "text"):
-            own, found = grams(batch.column("text").to_pylist())
-            chosen = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
-            total[0] += np.bincount(found, minlength=2 * BUCKETS)
-            total[1] += np.bincount(found[chosen[own]], minlength=2 * BUCKETS)
-        if total[0].any():
-            parts = total.reshape(2, SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([parts[:, k].tobytes() for k in range(SLICES)], pa.binary())], ["part", "counts"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
-        return pd.DataFrame({"part": group["part"][:1], "counts": [total.tobytes()]})
-
-    out = np.zeros((2, SLICES, 2 * BUCKETS // SLICES), np.int64)
-    for row in source.mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():  # SLICES rows
-        out[:, row["part"]] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
-    return out[0].reshape(-1).astype(float), out[1].reshape(-1).astype(float)
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        own, found = grams(batch.column("text").to_pylist())
+        chosen = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+        total[: 2 * BUCKETS] += np.bincount(found, minlength=2 * BUCKETS)
+        total[2 * BUCKETS :] += np.bincount(found[chosen[own]], minlength=2 * BUCKETS)
+
+    counts = summed(source, count, 4 * BUCKETS).astype(float)
+    return counts[: 2 * BUCKETS], counts[2 * BUCKETS :]
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
