@@ -18,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from .common import slices, with_bytes
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
 MEMO_PIECES, MEMO_BYTES = 300_000, 64
+#: Pieces whose trees are held at a time.
+SIDE_BY_SIDE = 20_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +69,66 @@ class SegmentTree:
         return value, at - self.size
 
 
+class Trees:
+    """The segment trees of many short pieces, side by side: every step below does one merge in each piece that has one left."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {(left, right): rank for token, rank in ranks.items() for cut in range(1, len(token)) if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None}
+        keys = np.array([left << 20 | right for left, right in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.r_[keys[order], np.int64(1 << 62)], np.r_[np.array(list(pairs.values()), np.int64)[order], np.int64(NOTHING)]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NOTHING)
+
+    def merge(self, pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has; none is longer than 2**depth bytes."""
+        many, size = len(pieces), 1 << depth
+        n = np.fromiter(map(len, pieces), np.int64, many)
+        place = np.arange(size)
+        live = place < n[:, None]
+        ids = np.zeros((many, size), np.int64)
+        ids[live] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        end, before = np.tile(place + 1, (many, 1)), np.tile(np.arange(-1, size), (many, 1))
+        low = np.full((many, 2 * size), NOTHING, np.int64)
+        inside = place[:-1] < n[:, None] - 1
+        low[:, size:-1][inside] = self.rank(ids[:, :-1][inside], ids[:, 1:][inside])
+        for level in range(depth - 1, -1, -1):
+            a, b = 1 << level, 2 << level
+            low[:, a:b] = np.minimum(low[:, 2 * a : 2 * b : 2], low[:, 2 * a + 1 : 2 * b : 2])
+        tree = low.reshape(-1)
+
+        def put(rows: np.ndarray, position: np.ndarray, values: np.ndarray | int) -> None:
+            first, at = rows * (2 * size), size + position
+            tree[first + at] = values
+            for _ in range(depth):
+                at = at >> 1
+                tree[first + at] = np.minimum(tree[first + 2 * at], tree[first + 2 * at + 1])
+
+        rows = np.arange(many)
+        while len(rows := rows[low[rows, 1] != NOTHING]):
+            rank, at = low[rows, 1], np.ones(len(rows), np.int64)
+            for _ in range(depth):
+                at = 2 * at
+                at += tree[rows * (2 * size) + at] != rank
+            i = at - size
+            j = end[rows, i]
+            k = end[rows, j]
+            end[rows, i], before[rows, k], ids[rows, i], live[rows, j] = k, i, rank, False
+            put(rows, j, NOTHING)
+            after = k < n[rows]
+            put(rows, i, np.where(after, self.rank(rank, ids[rows, np.minimum(k, size - 1)]), NOTHING))
+            h = before[rows, i]
+            some = np.flatnonzero(h >= 0)
+            put(rows[some], h[some], self.rank(ids[rows[some], h[some]], rank[some]))
+        return ids[live], live.sum(1)
+
+
 NOTHING = 1 << 40
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class Codec:
@@ -76,6 +138,8 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.written: dict[str, tuple[int, str, bytes]] = {}
+        self.trees = Trees(ranks)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
@@ -122,6 +186,54 @@ class Codec:
         memo, piece = self.memo.get, self.piece
         return [i for p in self.split(text) for i in memo(p) or piece(p)]
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        self.learn({piece for text in texts for piece in self.split(text)})
+        return [self.encode(text) for text in texts]
+
+    def spelled(self, piece: str) -> tuple[int, str, bytes]:
+        """A piece's number of ids, these as decimals joined by blanks, and what they decode to."""
+        found = self.written.get(piece)
+        if found is None:
+            ids = self.piece(piece)
+            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if len(piece) <= MEMO_BYTES:
+                self.written[piece] = found
+        return found
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of these pieces; the short ones are merged side by side."""
+        if len(self.memo) + len(pieces) > MEMO_PIECES:
+            self.memo.clear()
+        by_depth: dict[int, list[str]] = {}
+        for piece in pieces - self.memo.keys():
+            data = piece.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                self.memo[piece] = (whole,)
+            elif len(data) <= MEMO_BYTES:
+                by_depth.setdefault((len(data) - 1).bit_length(), []).append(piece)
+        for depth, own in by_depth.items():
+            for first in range(0, len(own), SIDE_BY_SIDE):
+                part = own[first : first + SIDE_BY_SIDE]
+                ids, counts = self.trees.merge([p.encode() for p in part], depth)
+                ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+                self.memo.update((p, tuple(ids[a:b])) for p, a, b in zip(part, [0, *ends], ends, strict=False))
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of every text, the number of ids and the SHA-256 of their decimals and of what they decode to."""
+        split = [self.split(text) for text in texts]
+        if len(self.written) > MEMO_PIECES:
+            self.written.clear()
+        fresh = {piece for own in split for piece in own} - self.written.keys()
+        self.learn(fresh)
+        known, spelled, out = self.written.get, self.spelled, []
+        for own in split:
+            if own:
+                many, ids, decoded = zip(*[known(p) or spelled(p) for p in own], strict=True)
+                out.append((sum(many), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
+            else:
+                out.append((0, EMPTY, EMPTY))
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -145,7 +257,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in slices(batches, "text"):
-            ids = [own.encode(x.decode()) for x in batch.column("text").to_pylist()]
+            ids = own.encode_all([x.decode() for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.binary())], [*keep, "ids", "decoded"]
             )
@@ -159,12 +271,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in slices(batches, "text"):
-            n, of_ids, of_bytes = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = own.encode(text.decode())
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            found = own.digests([text.decode() for text in batch.column("text").to_pylist()])
+            n, of_ids, of_bytes = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
