@@ -130,3 +130,53 @@ def mahalanobis_risk(df: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarra
 def cosine_distance_column(a: str, b: str):
     """1 - cosine of two arrays of one length, in SQL functions."""
     return 1 - dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
+
+
+def cholesky_precision(cov: np.ndarray, jitter: float = 1e-8, tries: int = 6) -> np.ndarray:
+    """The inverse by a Cholesky factor, with growing jitter on the diagonal; the pseudo-inverse if none will do."""
+    for k in range(tries):
+        try:
+            factor = np.linalg.inv(np.linalg.cholesky(cov + (jitter * 10**k if k else 0.0) * np.eye(len(cov))))
+        except np.linalg.LinAlgError:
+            continue
+        return factor.T @ factor
+    return np.linalg.pinv(cov)
+
+
+def displacement_risk(df: DataFrame, parent: str, index: str) -> DataFrame:
+    """(parent, risk): the mean over views of the Mahalanobis length of its displacement from the identity view (index 0).
+
+    Displacements are summed by view in two aggregates; views and dimensions bound what comes to the driver.
+    """
+    first = df.where(F.col(index) == 0).select(parent, F.col("embedding").alias("_e0"))
+    moved = df.where(F.col(index) > 0).join(first, parent).select(parent, F.col(index).cast("int").alias("y"), F.zip_with("embedding", "_e0", lambda a, b: a.cast("double") - b.cast("double")).alias("embedding"))
+    model = {}
+    for r in class_moments(moved, "y").collect():
+        d = len(r["sums"])
+        mean = np.array(r["sums"]) / r["n"]
+        model[r["y"]] = mean, cholesky_precision(np.array(r["products"]).reshape(d, d) / r["n"] - np.outer(mean, mean))
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def length(v: pd.Series, y: pd.Series) -> pd.Series:
+        x = [np.asarray(a, np.float64) - sent.value[b][0] for a, b in zip(v, y, strict=True)]
+        return pd.Series([float(np.sqrt(max(a @ sent.value[b][1] @ a, 0.0))) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    return moved.withColumn("_d", F.pandas_udf(length, "double")("embedding", "y")).groupBy(parent).agg(F.avg("_d").alias("risk"))
+
+
+def robust_local_drift(df: DataFrame, key: str, a: str, b: str, value: str, k: int, cells: int = 64) -> DataFrame:
+    """(key, drift): how far value is above the median of its cell in the plane of (a, b), in robust deviations (1.4826 MAD), 0 at least.
+
+    Neighbourhoods are cells of a grid over the z-scores of a and b: a row's own cell where it has k rows, else all rows.
+    """
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    place = [F.floor((F.col(c) - stats[f"m_{c}"]) / max(stats[f"s_{c}"] or 0, 1e-12) * (cells / 8)).alias(f"_{n}") for c, n in ((a, "x"), (b, "y"))]
+    rows = df.select(key, F.col(value).alias("_v"), *place)
+    at = rows.groupBy("_x", "_y").agg(F.percentile("_v", 0.5).alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= k)
+    whole = rows.agg(F.percentile("_v", 0.5)).first()[0]
+    near = rows.join(at, ["_x", "_y"], "left").withColumns({"_c": F.col("_m").isNotNull(), "_d": F.col("_v") - F.coalesce("_m", F.lit(whole))})
+    group = [F.when(F.col("_c"), F.col("_x")).alias("_gx"), F.when(F.col("_c"), F.col("_y")).alias("_gy")]
+    keyed = near.select(key, "_d", *group)
+    mad = keyed.groupBy("_gx", "_gy").agg((F.percentile(F.abs("_d"), 0.5) * 1.4826).alias("_mad")).withColumnsRenamed({"_gx": "_hx", "_gy": "_hy"})
+    out = keyed.join(mad, F.col("_gx").eqNullSafe(F.col("_hx")) & F.col("_gy").eqNullSafe(F.col("_hy")))
+    return out.select(key, F.greatest(F.col("_d") / F.greatest("_mad", F.lit(1e-6)), F.lit(0.0)).alias("drift"))

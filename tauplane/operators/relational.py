@@ -100,7 +100,8 @@ def verdict(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.select(*keys, F.struct("status", "coverage", "selective_risk", "aurc").alias("o")).join(new.select(*keys, F.struct("status", "coverage", "selective_risk", "aurc").alias("n")), keys)
     moved = (F.col("o.status") != F.col("n.status")) | (F.abs(F.col("o.coverage") - F.col("n.coverage")) > 0.01) | (F.abs(F.col("o.selective_risk") - F.col("n.selective_risk")) > 0.005)
     d = F.col("n.aurc") - F.col("o.aurc")
-    return both.withColumn("verdict", F.when(F.coalesce(moved, F.lit(False)), "material_change").when(d < -1e-4, "better").when(d > 1e-4, "worse").otherwise("stable"))
+    kind = F.when(F.coalesce(moved, F.lit(False)), "material_change").when(d < -1e-4, "better").when(d > 1e-4, "worse").otherwise("stable")
+    return both.select(*keys, kind.alias("verdict"))
 
 
 def running_plan(df: DataFrame, order: list[str], size: str) -> DataFrame:

@@ -43,6 +43,15 @@ def weighted_aurc(df: DataFrame, ctx: list[str]) -> DataFrame:
     return curve.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col("cw") > 0, F.col("w") * F.col("ce") / F.col("cw"))), F.nullif(F.sum("w"), F.lit(0))).alias("draw"))
 
 
+def weighted_auroc(df: DataFrame, ctx: list[str]) -> DataFrame:
+    """AUROC with weights in every cell and replicate; ties count half."""
+    keys = [*ctx, "replicate"]
+    at = df.groupBy(*keys, "risk_score").agg(F.sum(F.col("weight") * F.col("base_error")).cast("double").alias("pos"), F.sum(F.col("weight") * (1 - F.col("base_error"))).cast("double").alias("neg"))
+    above = W.partitionBy(*keys).orderBy(F.desc("risk_score")).rowsBetween(W.unboundedPreceding, 0)
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") / 2)
+    return at.withColumn("tp", F.sum("pos").over(above)).groupBy(*keys).agg(F.try_divide(area, F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("draw"))
+
+
 def percentile_ci(draws: DataFrame, ctx: list[str], level: float = 0.95) -> DataFrame:
     """The percentile interval over valid draws, and how many there are."""
     tail = (1 - level) / 2

@@ -16,6 +16,8 @@ from tauplane.functions import scores as S
 DETECTORS = (("a", 0.35, 2.0), ("b", 0.5, 3.0), ("c", 0.0, 0.5))
 VIEWS = 5
 CTX = ["detector", "split"]
+#: Two thresholds whose results are compared.
+TAU_REGISTRY = (0.2, 0.21)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
