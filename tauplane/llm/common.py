@@ -79,7 +79,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1), modulo 2**64; read only."""
     own = _powers.get(base)
     if own is None or len(own) < n:
-        own = np.full(max(2 * n, 1 << 16), base, np.uint64)
+        own = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         own[0] = 1
         own = np.multiply.accumulate(own)
         if len(own) <= 1 << 24:

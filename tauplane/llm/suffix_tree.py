@@ -44,7 +44,7 @@ from .language_id import remainder
 SHARE, DEPTH, DISCOUNT = 2e-5, 3, 0.5
 BUCKETS, CLASSES, CELLS = 1 << 18, 2048, 1 << 18
 #: Tokens in a fragment of the word counts, and fragments at least.
-FRAGMENT, LEAST_FRAGMENTS = 4_000_000, 32
+FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 64
 U = np.uint64
 #: A symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
 MOST_SYMBOLS = 1 << 16
@@ -150,7 +150,7 @@ def grow(root: np.ndarray, singles: np.ndarray, counts: dict[int, tuple[np.ndarr
         named, named_before = np.bincount(whose, p, len(of)), np.bincount(whose, q, len(of))
         gain = np.bincount(whose, p * np.log(p / q), len(of))
         rest, rest_before = np.maximum(1 - named, 0), np.maximum(1 - named_before, 1e-12)
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_before), 0)
+        gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_before), 0)
         kept = grown & (total > 0) & (all_of * gain >= (sizes + 1) / 2 * np.log(np.maximum(all_of, 2)))
         number = np.cumsum(kept) - 1 + len(tree.parent)
         tree.contexts.append((of[kept], number[kept]))
@@ -172,7 +172,7 @@ def _frequent(train: DataFrame, symbols: Symbols, cells: np.ndarray, least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = sent.value
-        for batch in slices(batches, "text", 8_000_000):
+        for batch in slices(batches, "text"):
             found, _, place = own.sequence(LineOfWords(batch.column("text").to_pylist()))
             for length in range(2, DEPTH + 2):
                 _, key = grams(found, place, length)
@@ -194,7 +194,7 @@ def _word_sums(rows: DataFrame, symbols: Symbols, fragments: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(symbols)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8_000_000):
+        for batch in slices(batches, "text"):
             line = LineOfWords(batch.column("text").to_pylist())
             found = sent.value.of_words(line)
             fragment = ((line.hashes >> U(32)) * U(fragments) >> U(32)).astype(np.int64)  # the hash's order, so sorted with it
@@ -206,7 +206,7 @@ def _word_sums(rows: DataFrame, symbols: Symbols, fragments: int) -> DataFrame:
             edges = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]][: len(fragment)])
             ids, bodies, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "body", "train"))
             out = []
-            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(word)], strict=True):
+            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(word)], strict=False):  # without words there are no edges
                 texts, local = np.unique(text[a:z], return_inverse=True)
                 new = np.flatnonzero(np.r_[True, word[a + 1 : z] != word[a : z - 1]])
                 out.append((int(fragment[a]), word[a:z][new].tobytes(), found[a:z][new].astype(np.uint16).tobytes(), np.diff(np.r_[new, z - a]).astype(np.uint32).tobytes(),
