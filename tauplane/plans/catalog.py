@@ -12,6 +12,7 @@ from tauplane.functions import text as X
 from tauplane.functions.bounds import with_cp_upper, zero_error_bound
 from tauplane.operators import distance, evaluate, fitting, policy, ranking, relational, resample
 from tauplane.plans.frames import CTX, GAMMA, ORBIT, SCORES, TEXTS, orbit, scores, table, texts
+from tauplane.sources.freeze import freeze
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,7 +260,7 @@ def _selected(spark: SparkSession, sf_dir: str, subset: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.candidates(policy.group_scan(_selected(spark, sf_dir, "select"), CTX, "generator", ALPHA), CTX)
+    return freeze(policy.candidates(policy.group_scan(_selected(spark, sf_dir, "select"), CTX, "generator", ALPHA), CTX))
 
 
 @query("threshold_scan_groups", f"WITH {SCORES}, {SCAN} SELECT detector, split, round(threshold, 6) AS threshold, accepted_count, accepted_errors, groups_fit, groups, groups_fit = groups AS feasible FROM sc")
@@ -279,11 +280,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM kk JOIN gg USING (detector, split) JOIN nn USING (detector, split) LEFT JOIN f ON f.detector = kk.detector AND f.split = kk.split AND f.generator = gg.g AND f.risk_score <= kk.tau GROUP BY ALL""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scores(spark, sf_dir)
-    return rounded(policy.certification_counts(f, policy.candidates(policy.group_scan(f, CTX, "generator", ALPHA), CTX), CTX, "generator"))
+    return rounded(policy.certification_counts(f, freeze(policy.candidates(policy.group_scan(f, CTX, "generator", ALPHA), CTX)), CTX, "generator"))
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.certify(_selected(spark, sf_dir, "certify"), _candidates(spark, sf_dir), CTX, "generator", ALPHA, DELTA)
+    """The trace, frozen before a policy is chosen from it; its candidates were frozen before the certification rows were read."""
+    return freeze(policy.certify(_selected(spark, sf_dir, "certify"), _candidates(spark, sf_dir), CTX, "generator", ALPHA, DELTA))
 
 
 @query("certification_trace")
