@@ -14,7 +14,7 @@ set form a class; classes are what is joined, so copies are never paired.
 3. Candidate pairs are counted by fragment (the partial overlaps) and summed per
    pair; that sum is exact and decides. A group of many near copies isn't paired
    with itself: first each class of a member's list is held against one pivot of
-   that list, in some rounds with other pivots, then only pairs between different
+   that list, the PIVOTS that it shares most with, in some rounds with other pivots, then only pairs between different
    components are counted, all of them.
 
 Defined results: a set is of distinct n-grams over lower-cased (A-Z) words; a
@@ -39,8 +39,12 @@ from .common import WordHashes, mix, settle, slices, with_bytes
 from .components import stars
 
 N, PERCENT = 5, 75
-#: Members in a fragment of the first passes, parts of a set when pairs are counted, rounds with pivots.
-FRAGMENT, PARTS, PIVOT_ROUNDS = 2_000_000, 4, 3
+#: Members in a fragment of the first passes, and fragments at least; parts of a set when pairs are counted.
+FRAGMENT, LEAST_FRAGMENTS, PARTS = 3_000_000, 40, 2
+#: Rounds with pivots, and the pivots that a class is held against in each; what they leave open is counted by all pairs between components.
+PIVOT_ROUNDS, PIVOTS = 3, 2
+#: Pairs whose classes are broadcast at most (8 bytes each); beyond that, sets are shuffled to their pairs.
+BROADCAST_PAIRS = 500_000
 U = np.uint64
 FACTORS = [mix(np.array([k + 11], U))[0] | U(1) for k in range(64)]
 
@@ -101,7 +105,7 @@ def _packed(sets: DataFrame, fragments: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 8_000_000):
+        for batch in slices(batches, "text"):
             members, counts = shingle_sets(batch.column("text").to_pylist(), hashes, n)
             cids = short_id(class_ids(members, counts))
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -171,7 +175,8 @@ def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
     _, inverse, counts = np.unique(members, return_inverse=True, return_counts=True)
     many = counts[inverse]
     keep = many > 1
-    members, owner, many = members[keep], owner[keep], many[keep].astype(np.uint32)
+    # Any order will do that is the same for all: counts over 255 are ties, which the member decides.
+    members, owner, many = members[keep], owner[keep], np.minimum(many[keep], 255).astype(np.uint8)
     edges = np.searchsorted(owner, np.arange(len(group) + 1))
     has = np.flatnonzero(np.diff(edges))
     return pd.DataFrame(
@@ -188,7 +193,7 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
             out_members, out_rows, out_after = [], [], []
             for k, (n, parts) in enumerate(zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
                 members = np.frombuffer(b"".join(p["members"] for p in parts), U)
-                many = np.frombuffer(b"".join(p["many"] for p in parts), np.uint32)
+                many = np.frombuffer(b"".join(p["many"] for p in parts), np.uint8)
                 head = n - -(-percent * n // 100) + 1 - (n - len(members))
                 if head <= 0:
                     continue
@@ -213,6 +218,9 @@ def _enough(percent: int) -> str:
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose partial overlaps, counted apart in every fragment, sum to enough."""
+    pairs = settle(pairs)
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    parts = parts.join(F.broadcast(ids) if pairs.count() <= BROADCAST_PAIRS else ids, "cid", "left_semi")
     left = parts.select("f", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("members").alias("left"))
     right = parts.select("f", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("members").alias("right"))
 
@@ -244,9 +252,10 @@ def class_links(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFram
             rows.select("member", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("after").alias("after2"), F.col("root").alias("root2"))
             .join(lists, "member")
             .where(f"c1 <> c2 AND root1 <> root2 AND {_enough(percent)}")
-            .select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
-            .distinct()
         )
+        # The pivots with which a class shares most of its head.
+        met = pairs.groupBy("c2", "c1").agg(F.count("*").alias("met")).groupBy("c2").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("met", F.xxhash64(F.lit(k), "c1"), "c1")))), 1, PIVOTS).alias("top"))
+        pairs = met.select("c2", F.explode("top.c1").alias("c1")).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
         found = _linked(pairs, parts, percent)
         roots = stars(found if roots is None else roots.unionByName(found))
     # All pairs between components that are left; those of one component need no count.
@@ -267,14 +276,14 @@ def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     total, many, cids = classes.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0)), F.count("*"), F.count_distinct("cid")).first()
     if many != cids:
         raise ValueError("two sets share a 64-bit class id; use another seed")
-    fragments = max(8, -(-total // FRAGMENT))
+    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
 
     shared = _packed(docs, fragments, n).groupBy("f").applyInPandas(_shared_counts, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
     left = settle(classes.join(shared, "cid").where(f"100 * shared >= {percent} * n * rows").select(F.col("first").alias("doc_id"), "cid", "n"))
     members = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(left.select("doc_id", "cid"), "doc_id")
     sets = settle(_sets(texts, n).dropDuplicates(["cid"]))
-    by_fragment = _sliced(sets, max(8, -(-members // FRAGMENT)))
+    by_fragment = _sliced(sets, max(LEAST_FRAGMENTS, -(-members // FRAGMENT)))
     frequencies = by_fragment.groupBy("f").applyInPandas(_frequencies, "cid long, n int, members binary, many binary")
     prefixes = settle(_prefixes(frequencies, percent))
     parts = settle(_sliced(sets, PARTS))
