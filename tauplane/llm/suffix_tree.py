@@ -1,26 +1,28 @@
 """A probabilistic suffix tree over words, and the log probability of texts by it.
 
-Symbols. Words are hashed into BUCKETS; a bucket with at least SHARE of all
-training tokens is a symbol of its own, the words of all other buckets fall into
-CLASSES by their last two bytes, and a text's end is a symbol. So there are at
-most 1 / SHARE + CLASSES + 1 symbols, whatever the corpus.
+Symbols. Every word is a symbol, and a text's end is one. Words and n-grams are
+known by 64-bit hashes.
 
 Tree. A state is a context of up to DEPTH symbols. Its explicit successors are
-those that follow it in at least SHARE of the training tokens. A context is
+those that follow it LEAST times or more in the training texts. A context is
 retained if its parent (the context without its oldest symbol) is, and if its
 successors diverge from the parent's distribution: the gain in log likelihood
 must exceed the description length of its parameters. Distributions are smoothed
 by absolute discounting: what is taken from the explicit successors goes to the
-parent's distribution, down to the root's. Contexts and successors are found in
-two passes: hashed counts, which can only be too large, then exact counts of
-what is frequent by them. The tree has DEPTH / SHARE successors at most; that is
-the bound of what is broadcast.
-
-Words. P(word) = P(symbol | longest retained suffix) * (c + 0.5) / (C + 0.5 * (V
-+ 1)), with c the word's training count and C and V the count and the number of
-distinct words of its symbol. The counts of all words grow with the corpus and
-are never sent to all: a word's occurrences, grouped by fragment of the hash
-range, meet in a task that counts them and returns a sum for each text.
+parent's distribution, down to the root's, which is (c + 0.5) / (N + 0.5 * (V +
+1)) with c the word's training count and N and V the number of training tokens
+and of distinct ones. So the tree grows with the corpus; it is a table, and
+nothing of it is broadcast. Tree and grow() are the same tree in memory, for
+small tables.
+
+Scores. With P(s, w) the probability of a word after its longest retained suffix
+s, log P(s, w) is the root's log probability, plus for every retained suffix the
+log of what it leaves to its parent, plus for every suffix with w as an explicit
+successor the log of P there over that (leaving taken back). These are numbers
+of n-grams: of the context alone, and of the context with the word. So a text's
+score is a sum over its n-grams of 1 to DEPTH + 1 symbols; they are grouped by
+fragment of the hash range, meet the tree's numbers there, and a task returns a
+sum for each text of a piece.
 
 Defined results: a null text is empty and has one token, its end. A row with a
 null doc_id counts as the empty text's crc32. Repeated rows count each, and
@@ -35,43 +37,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LineOfWords, mix, settle, slices, summed, with_bytes
+from .common import BASE, LineOfWords, mix, settle, slices, with_bytes
 from .language_id import remainder
 
-SHARE, DEPTH, DISCOUNT = 2e-5, 3, 0.5
-BUCKETS, CLASSES, CELLS = 1 << 18, 2048, 1 << 18
-#: Tokens in a fragment of the word counts, and fragments at least.
-FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 64
+LEAST, DEPTH, DISCOUNT = 2, 3, 0.5
+#: Bytes of text whose n-grams of one length make a fragment, and fragments of a length at least.
+FRAGMENT, LEAST_FRAGMENTS = 12_000_000, 16
 U = np.uint64
-#: A symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
+#: In memory, a symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
 MOST_SYMBOLS = 1 << 16
-
-
-@dataclass
-class Symbols:
-    """Which bucket is a symbol of its own (else -1), and the number of the end."""
-
-    own: np.ndarray
-    end: int
-
-    def of_words(self, line: LineOfWords) -> np.ndarray:
-        long = line.ends - line.starts > 1
-        last = line.bytes[line.ends - 1].astype(U) if len(line.ends) else np.zeros(0, U)
-        before = np.where(long, line.bytes[line.ends - 2], 0).astype(U) if len(line.ends) else np.zeros(0, U)
-        own = self.own[(line.hashes % U(BUCKETS)).astype(np.int64)]
-        return np.where(own >= 0, own, (mix(before << U(8) | last) % U(CLASSES)).astype(np.int64))
-
-    def sequence(self, line: LineOfWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbols of all texts, each with its end; of each, the text and the place in it."""
-        n = line.counts + 1
-        starts = np.cumsum(n) - n
-        out = np.full(int(n.sum()), self.end, np.int64)
-        out[np.arange(len(line.text)) + line.text] = self.of_words(line)
-        text = np.repeat(np.arange(len(n)), n)
-        return out, text, np.arange(len(out)) - starts[text]
+END = mix(np.array([0x51F15EED], U))
 
 
 def grams(symbols: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,150 +145,171 @@ def grow(root: np.ndarray, singles: np.ndarray, counts: dict[int, tuple[np.ndarr
     return tree
 
 
-def _frequent(train: DataFrame, symbols: Symbols, cells: np.ndarray, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The exact counts of the n-grams of 2 to DEPTH + 1 symbols that reach least; cells: hashed counts, by length."""
-    sent = train.sparkSession.sparkContext.broadcast((symbols, cells >= least))
+def _keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For each length, the key of the n-gram that ends at each symbol; of each symbol, the text and the place in it; the symbols of each text."""
+    line = LineOfWords(texts)
+    n = line.counts + 1
+    starts = np.cumsum(n) - n
+    words = np.full(int(n.sum()), END[0], U)
+    words[np.arange(len(line.text)) + line.text] = line.hashes
+    text = np.repeat(np.arange(len(n)), n)
+    keys = [words]
+    for k in range(1, DEPTH + 1):
+        key = np.zeros(len(words), U)
+        key[1:] = mix(keys[-1][:-1] * U(BASE) + words[1:] + U(k))
+        keys.append(key)
+    return keys, text, np.arange(len(words)) - starts[text], n
+
+
+def _by_fragment(keys: np.ndarray, fragments: int) -> Iterator[tuple[int, int, int]]:
+    """(fragment, from, to) of sorted keys."""
+    fragment = ((keys >> U(32)) * U(fragments) >> U(32)).astype(np.int64)  # the hash's order, so sorted with it
+    edges = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]][: len(fragment)])
+    return zip(fragment[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = sent.value
-        for batch in slices(batches, "text"):
-            found, _, place = own.sequence(LineOfWords(batch.column("text").to_pylist()))
-            for length in range(2, DEPTH + 2):
-                _, key = grams(found, place, length)
-                key, many = np.unique(key[frequent[length - 2][(mix(key) % U(CELLS)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), length, np.int32)), pa.array(key.view(np.int64)), pa.array(many.astype(np.int64))], ["length", "key", "many"])
-
-    rows = train.mapInArrow(run, "length int, key long, many long").groupBy("length", "key").agg(F.sum("many").alias("many")).where(F.col("many") >= least).toArrow()  # DEPTH / SHARE rows at most
-    length, key, many = rows.column("length").to_numpy(), rows.column("key").to_numpy().view(U), rows.column("many").to_numpy()
-    out = {}
-    for k in range(2, DEPTH + 2):
-        own = np.flatnonzero(length == k)
-        order = own[np.argsort(key[own])]
-        out[k] = key[order], many[order]
-    return out
-
-
-def _word_sums(rows: DataFrame, symbols: Symbols, fragments: int) -> DataFrame:
-    """(symbol, types): distinct training words; (row, body, logs, known): for each text, the sums of log10(c + 0.5) and of its known words."""
-    sent = rows.sparkSession.sparkContext.broadcast(symbols)
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+
+
+def _counts(train: DataFrame, fragments: int, least: int) -> DataFrame:
+    """(size, key, pre, suf, n): the words of the training texts, and their n-grams that reach least; pre and suf: without the last, without the first symbol."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            line = LineOfWords(batch.column("text").to_pylist())
-            found = sent.value.of_words(line)
-            fragment = ((line.hashes >> U(32)) * U(fragments) >> U(32)).astype(np.int64)  # the hash's order, so sorted with it
-            order = np.lexsort((line.text, line.hashes))
-            word, text, found, fragment = line.hashes[order], line.text[order], found[order], fragment[order]
-            head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])][: len(word)])
-            times = np.diff(np.r_[head, len(word)]).astype(np.uint32)
-            word, text, found, fragment = word[head], text[head], found[head], fragment[head]
-            edges = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]][: len(fragment)])
-            ids, bodies, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "body", "train"))
+            keys, _, place, _ = _keys(batch.column("text").to_pylist())
             out = []
-            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(word)], strict=False):  # without words there are no edges
-                texts, local = np.unique(text[a:z], return_inverse=True)
-                new = np.flatnonzero(np.r_[True, word[a + 1 : z] != word[a : z - 1]])
-                out.append((int(fragment[a]), word[a:z][new].tobytes(), found[a:z][new].astype(np.uint16).tobytes(), np.diff(np.r_[new, z - a]).astype(np.uint32).tobytes(),
-                            local.astype(np.uint32).tobytes(), times[a:z].tobytes(), ids[texts].tobytes(), bodies[texts].tobytes(), train[texts].astype(np.uint8).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], COLUMNS)
-
-    COLUMNS = ["f", "words", "symbols", "texts_of", "texts", "times", "rows", "bodies", "train"]
+            for k in range(DEPTH + 1):
+                at = np.flatnonzero(place >= k)
+                at = at[np.argsort(keys[k][at])]
+                own = keys[k][at]
+                head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+                own, at, many = own[head], at[head], np.diff(np.r_[head, len(own)]).astype(np.uint32)
+                pre, suf = (keys[k - 1][at - 1], keys[k - 1][at]) if k else (np.zeros(0, U), np.zeros(0, U))
+                out += [(f * (DEPTH + 1) + k, own[a:z].tobytes(), pre[a:z].tobytes(), suf[a:z].tobytes(), many[a:z].tobytes()) for f, a, z in _by_fragment(own, fragments)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*out, strict=True))], ["f", "keys", "pres", "sufs", "many"])
 
     def gather(table: pa.Table) -> pa.Table:
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-        words, found = joined("words", U), joined("symbols", np.uint16)
-        ids, bodies, train = joined("rows", np.int64), joined("bodies", np.int64), joined("train", np.uint8)
-        sizes = np.array([len(x) // 8 for x in table.column("rows").to_pylist()])
-        entries = np.array([len(x) // 4 for x in table.column("texts").to_pylist()])
-        text = joined("texts", np.uint32).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, entries)
-        times = joined("times", np.uint32).astype(np.float64)
-        distinct, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-        word = np.repeat(inverse, joined("texts_of", np.uint32))
-        c = np.bincount(word, times * train[text], len(distinct))
-        logs = np.bincount(text, times * np.log10(c + 0.5)[word], len(ids))
-        known = np.bincount(text, times * (c > 0)[word], len(ids))
-        symbol, types = np.unique(found[first][c > 0], return_counts=True)
-        nothing = pa.nulls(len(symbol), pa.int64())
+        k = table.column("f")[0].as_py() % (DEPTH + 1)
+        keys, many = _joined(table, "keys", U), _joined(table, "many", np.uint32)
+        order = np.argsort(keys)
+        heads = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        n = np.add.reduceat(many[order].astype(np.int64), heads)
+        stay = n >= (least if k else 1)
+        first = order[heads[stay]]
+        pre, suf = (_joined(table, c, U)[first].view(np.int64) if k else np.zeros(len(first), np.int64) for c in ("pres", "sufs"))
+        return pa.table({"size": pa.array(np.full(len(first), k + 1, np.int32)), "key": pa.array(keys[first].view(np.int64)), "pre": pa.array(pre), "suf": pa.array(suf), "n": pa.array(n[stay])})
+
+    return settle(train.mapInArrow(scatter, "f int, keys binary, pres binary, sufs binary, many binary").groupBy("f").applyInArrow(gather, "size int, key long, pre long, suf long, n long"))
+
+
+def _numbers(counts: DataFrame, tokens: int, kinds: int) -> DataFrame:
+    """(size, key, base, v): for words, log10(c + 0.5); for n-grams, what the tree adds to the log probability where they stand."""
+    words = counts.where("size = 1")
+    out = [words.select("size", "key", F.log10(F.col("n") + 0.5).alias("base"), F.lit(0.0).alias("v"))]
+    known = words.select("key", ((F.col("n") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))).alias("q"))
+    for depth in range(1, DEPTH + 1):
+        totals = counts.where(F.col("size") == depth).select(F.col("key").alias("pre"), F.col("n").alias("total"))
+        # A successor's probability by the parent is there if the parent is retained.
+        rows = settle(counts.where(F.col("size") == depth + 1).join(totals, "pre").join(known.withColumnRenamed("key", "suf"), "suf").select("key", "pre", "n", "total", "q"))
+        p = F.col("n") / F.col("total")
+        by = rows.groupBy("pre", "total").agg(
+            F.count("*").alias("sizes"), F.sum("n").alias("named_n"), F.sum("q").alias("before"), F.sum(p * F.log(p / F.col("q"))).alias("gain")
+        )
+        rest = 1 - F.col("named_n") / F.col("total")
+        gain = F.col("gain") + F.when(F.col("named_n") < F.col("total"), rest * F.log(rest / F.greatest(1 - F.col("before"), F.lit(1e-12)))).otherwise(0)
+        kept = by.where(F.col("total") * gain >= (F.col("sizes") + 1) / 2 * F.log(F.greatest("total", F.lit(2))))
+        kept = settle(kept.select("pre", ((F.col("total") - F.col("named_n") + DISCOUNT * F.col("sizes")) / F.col("total")).alias("escape")))
+        known = rows.join(kept, "pre").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("q"))
+        nothing = F.lit(None).cast("double").alias("base")
+        known = settle(known.select("key", F.col("p").alias("q"), (F.log10(F.col("p") / F.col("q")) - F.log10("escape")).alias("v")))
+        out += [kept.select(F.lit(depth).alias("size"), F.col("pre").alias("key"), nothing, F.log10("escape").alias("v")), known.select(F.lit(depth + 1).alias("size"), "key", nothing, "v")]
+        known = known.select("key", "q")
+    union = out[0]
+    for more in out[1:]:
+        union = union.unionByName(more)
+    return union.groupBy("size", "key").agg(F.max("base").alias("base"), F.sum("v").alias("v"))
+
+
+def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams."""
+    columns = ["f", "piece", "texts_n", "keys", "texts_of", "texts", "times", "ids", "named", "train", "tokens"]
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text"):
+            keys, text_of, place, n = _keys(batch.column("text").to_pylist())
+            doc_ids = batch.column("doc_id")
+            # What is known of the texts goes with one fragment of the piece.
+            about = (doc_ids.fill_null(0).to_numpy().tobytes(), doc_ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes(), n.astype(np.int64).tobytes())
+            out = []
+            for k in range(DEPTH + 1):
+                at = np.flatnonzero(place >= k)
+                at = at[np.argsort(keys[k][at], kind="stable")]
+                key, text = keys[k][at], text_of[at]
+                head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
+                times = np.diff(np.r_[head, len(key)]).astype(np.uint32)
+                key, text = key[head], text[head].astype(np.uint32)
+                for f, a, z in _by_fragment(key, fragments):
+                    new = np.flatnonzero(np.r_[True, key[a + 1 : z] != key[a : z - 1]])
+                    packed = (key[a:z][new].tobytes(), np.diff(np.r_[new, z - a]).astype(np.uint32).tobytes(), text[a:z].tobytes(), times[a:z].tobytes())
+                    out.append((f * (DEPTH + 1) + k, piece, len(n), *packed, *(about if not out else (None,) * 4)))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+            piece += 1
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = right.column("key").to_numpy().view(U)
+        order = np.argsort(own)
+        own, v = own[order], right.column("v").to_numpy()[order]
+        base = right.column("base").to_numpy()[order].astype(float)
+        out = []
+        for r in left.to_pylist() if left.num_rows else ():
+            keys, many = np.frombuffer(r["keys"], U), np.frombuffer(r["texts_of"], np.uint32)
+            at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
+            hit = own[at] == keys if len(own) else np.zeros(len(keys), bool)
+            entry = np.repeat(hit, many)
+            at = np.repeat(at[hit], many[hit])
+            text, times = np.frombuffer(r["texts"], np.uint32)[entry].astype(np.int64), np.frombuffer(r["times"], np.uint32)[entry].astype(float)
+            found, local = np.unique(text, return_inverse=True)
+            sums = [np.bincount(local, times * v[at], len(found))]
+            if r["f"] % (DEPTH + 1) == 0:
+                sums += [np.bincount(local, times * base[at], len(found)), np.bincount(local, times, len(found))]
+            out.append((r["piece"], r["texts_n"], found.astype(np.uint32).tobytes(), np.concatenate(sums).tobytes(), r["ids"], r["named"], r["train"], r["tokens"]))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        names = ["piece", "texts_n", "texts", "sums", "ids", "named", "train", "tokens"]
+        return pa.table({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((3, table.column("texts_n")[0].as_py()))
+        for texts, sums in zip(table.column("texts").to_pylist(), table.column("sums").to_pylist(), strict=True):
+            where = np.frombuffer(texts, np.uint32)
+            own = np.frombuffer(sums).reshape(-1, len(where)) if len(where) else np.zeros((1, 0))
+            total[: len(own), where] += own
+        ids, named, train, tokens = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("ids", "named", "train", "tokens"))
         return pa.table({
-            "symbol": pa.concat_arrays([pa.nulls(len(ids), pa.int32()), pa.array(symbol.astype(np.int32))]), "types": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(types.astype(np.int64))]),
-            "row": pa.concat_arrays([pa.array(ids), nothing]), "body": pa.concat_arrays([pa.array(bodies), nothing]),
-            "logs": pa.concat_arrays([pa.array(logs), nothing.cast(pa.float64())]), "known": pa.concat_arrays([pa.array(known.astype(np.int64)), nothing]),
+            "doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(named, bool)), "train": pa.array(np.frombuffer(train, bool)), "n_tokens": pa.array(np.frombuffer(tokens, np.int64)),
+            "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "logs": pa.array(total[1]), "added": pa.array(total[0]),
         })
 
-    schema = "f int, words binary, symbols binary, texts_of binary, texts binary, times binary, rows binary, bodies binary, train binary"
-    return settle(rows.mapInArrow(scatter, schema).groupBy("f").applyInArrow(gather, "symbol int, types long, row long, body long, logs double, known long"))
+    schema = "f int, piece long, texts_n long, keys binary, texts_of binary, texts binary, times binary, ids binary, named binary, train binary, tokens binary"
+    fragment = F.shiftrightunsigned("key", 32) * F.lit(fragments)
+    tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "base", "v")
+    packed = rows.mapInArrow(scatter, schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary")
+    return packed.groupBy("piece").applyInArrow(add, "doc_id long, train boolean, n_tokens long, n_known long, logs double, added double")
 
 
-def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows whose remainder (crc32 mod 5) isn't 1."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", F.lit("body")).alias("body"), (remainder(5) != 1).alias("train"), "text")
-    rows = with_bytes(named, "doc_id", "row", "body", "train")
-    train = with_bytes(named.where("train"))
-
-    def words(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        line = LineOfWords(batch.column("text").to_pylist())
-        total[:BUCKETS] += np.bincount((line.hashes % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        total[BUCKETS] += len(line.counts)
-
-    counts = summed(train, words, BUCKETS + 1)
-    texts, tokens = int(counts[BUCKETS]), int(counts.sum())
-    least = max(2.0, share * tokens)
-    heavy = np.flatnonzero(counts[:BUCKETS] >= least)
-    own = np.full(BUCKETS, -1, np.int64)
-    own[heavy] = CLASSES + np.arange(len(heavy))
-    symbols = Symbols(own, CLASSES + len(heavy))
-    if symbols.end >= MOST_SYMBOLS:
-        raise ValueError("share is too small for 16-bit symbols")
-    sent = docs.sparkSession.sparkContext.broadcast(symbols)
-
-    def cells(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        found, _, place = sent.value.sequence(LineOfWords(batch.column("text").to_pylist()))
-        total[:MOST_SYMBOLS] += np.bincount(found, minlength=MOST_SYMBOLS)
-        for length in range(2, DEPTH + 2):
-            _, key = grams(found, place, length)
-            total[MOST_SYMBOLS + (length - 2) * CELLS :][:CELLS] += np.bincount((mix(key) % U(CELLS)).astype(np.int64), minlength=CELLS)
-
-    hashed = summed(train, cells, MOST_SYMBOLS + DEPTH * CELLS)
-    singles = hashed[:MOST_SYMBOLS]
-    frequent = _frequent(train, symbols, hashed[MOST_SYMBOLS:].reshape(DEPTH, CELLS), least)
-    size = symbols.end + 1
-    tree = grow((singles[:size] + 0.5) / (tokens + 0.5 * size), singles, frequent, symbols.end)
-
-    sums = _word_sums(rows, symbols, max(LEAST_FRAGMENTS, -(-tokens // FRAGMENT)))
-    types = np.zeros(size)
-    for symbol, many in sums.where("symbol IS NOT NULL").groupBy("symbol").agg(F.sum("types")).collect():  # one row for each symbol
-        types[symbol] = many
-    norms = np.log10(singles[:size] + 0.5 * (types + 1))
-    norms[symbols.end] = 0
-    kinds = int(types.sum()) + (texts > 0)
-    model = docs.sparkSession.sparkContext.broadcast((symbols, tree, norms))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, grown, norm = model.value
-        for batch in slices(batches, "text"):
-            found, text, place = own.sequence(LineOfWords(batch.column("text").to_pylist()))
-            logs = np.log10(grown.probability(grown.states(found, place), found)) - norm[found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "row", "body", "train")] + [pa.array(np.bincount(text, minlength=batch.num_rows).astype(np.int64)), pa.array(np.bincount(text, logs, batch.num_rows))],
-                ["doc_id", "row", "body", "train", "n_tokens", "local"],
-            )
-
-    local = settle(rows.mapInArrow(run, "doc_id long, row long, body long, train boolean, n_tokens long, local double"))
-    # Equal rows have sent equal sums; each gets its own back.
-    alike = local.groupBy("row", "body").agg(F.count("*").alias("alike"))
-    found = sums.where("row IS NOT NULL").groupBy("row", "body").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known")).join(alike, ["row", "body"])
-    found = found.select("row", "body", (F.col("logs") / F.col("alike")).alias("logs"), (F.col("known") / F.col("alike")).alias("known"))
-    logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0.0))
-    return local.join(found, ["row", "body"], "left").select(
-        "doc_id",
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (known + F.lit(1.0 * (texts > 0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (logs + F.lit(float(np.log10(texts + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))).alias("base_score"),
-        (F.col("local") + logs).alias("score"),
+    named = docs.select("doc_id", (remainder(5) != 1).alias("train"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT))
+    counts = _counts(with_bytes(named.where("train")), fragments, least)
+    tokens, kinds = counts.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    sums = _sums(with_bytes(named, "doc_id", "train"), _numbers(counts, tokens, kinds), fragments)
+    unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(float(np.log10(0.5)))
+    base = F.col("logs") + unknown - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))
+    return sums.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("added")).alias("score")
     )

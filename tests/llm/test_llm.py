@@ -100,6 +100,51 @@ def test_tree_is_a_distribution_and_takes_the_longest_suffix():
     assert known
 
 
+def test_suffix_tree_is_the_tree_of_all_words(spark):
+    """Against the tree in memory; a pair of words that stands twice counts, however many other tokens there are."""
+    draw = random.Random(9)
+    follow = {f"w{k}": [f"w{draw.randrange(40)}" for _ in range(2)] for k in range(40)}
+
+    def walk():
+        own = ["w0"]
+        while len(own) < 60:
+            own.append(draw.choice(follow[own[-1]]))
+        return own
+
+    texts = [" ".join(walk()) for _ in range(60)] + [" ".join(f"r{draw.randrange(10**9)}" for _ in range(1500)) for _ in range(100)] + ["rare pair", "rare pair", "rare pair", "x y z rare pair", None]
+    tokens = [[w.decode() for w in words(t)] + ["END"] for t in texts]
+    train = [zlib.crc32(str(k).encode()) % 5 != 1 for k in range(len(texts))]
+    c = Counter(w for own, t in zip(tokens, train, strict=True) if t for w in own)
+    # Words that stand once have no successor and follow nothing twice, so the tree in memory does without them.
+    ids = {w: k for k, w in enumerate(w for w in c if c[w] > 1)}
+    other = len(ids)
+    singles = np.zeros(suffix_tree.MOST_SYMBOLS, np.int64)
+    for w, k in ids.items():
+        singles[k] = c[w]
+    counts = {}
+    for size in range(2, suffix_tree.DEPTH + 2):
+        seen = Counter()
+        for own, t in zip(tokens, train, strict=True):
+            for i in range(size - 1, len(own)) if t else ():
+                if all(w in ids for w in own[i - size + 1 : i + 1]):
+                    seen[sum(ids[own[i - d]] << 16 * d for d in range(size))] += 1
+        key = sorted(k for k, n in seen.items() if n >= 2)
+        counts[size] = np.array(key, np.uint64), np.array([seen[k] for k in key], np.int64)
+    n, v = sum(c.values()), len(c)
+    tree = suffix_tree.grow(np.r_[singles[:other] + 0.5, 1.0] / (n + 0.5 * (v + 1)), singles, counts, ids["END"])
+    assert [len(x) for x, _ in tree.contexts][1] > 0
+    got, compared = by_id(suffix_tree.score(make(spark, texts))), 0
+    for k, own in enumerate(tokens):
+        if all(w in ids for w in own):
+            symbols, place = np.array([ids[w] for w in own]), np.arange(len(own))
+            want = np.log10(tree.probability(tree.states(symbols, place), symbols)).sum()
+            assert math.isclose(got[k]["score"], want, abs_tol=1e-6), k
+            compared += 1
+    assert compared > 60
+    held = next(k for k in range(160, 164) if texts[k].endswith("rare pair"))
+    assert got[held]["score"] > got[held]["base_score"] + 1
+
+
 # 2
 
 
