@@ -1,12 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units of a text become typed placeholders; what is left is
-its template. A name is a capitalised word inside a sentence, a unit is one of
-UNITS after a number. Templates are cut into windows of five tokens, which are
-hashed and joined with the windows of the benchmark's items: texts with three
+its template. A name is a run of capitalised words inside a sentence, a unit is
+one of UNITS after a number. Templates are cut into windows of five tokens, which
+are hashed and joined with the windows of the benchmark's items: texts with three
 quarters of an item's windows are candidates, so also a question that was asked
 again with other numbers and names.
 
+Beside its template, a text has its words as they stand, in lower case. They are
+cut, hashed and joined alike, and a text with three quarters of an item's windows
+of words holds it: so a copy in capitals, where no name can be told, is found.
+
 For candidates the slots are held against each other: where a text's windows
 follow an item's, one slot value of the item must always stand for one and the
 same value of the text, and the other way round. Windows with other slots don't
@@ -19,7 +23,8 @@ row; nothing is paired but texts and items that share a window.
 Defined results: a null or empty text has no window and isn't contaminated; an
 item without a window, or null, contaminates nothing. A text or item of under
 five tokens is one window, its whole sequence. Windows of placeholders alone
-are left out. Items of one item_id count each, and so do repeated rows; a null
+are left out of the template, but not of the words. Of the two ways an item is
+found, the one that covers more of it is reported. Items of one item_id count each, and so do repeated rows; a null
 item_id is reported as null, and a row with a null doc_id is judged like any
 other. Empty tables give empty results; other columns are ignored.
 """
@@ -53,8 +58,8 @@ def marked(text: Column) -> Column:
         (MARK, " "),
         (r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", ""),
         (r"(?<=[0-9])\.(?=[0-9])", "·"),
-        (r"(?<=[\p{Ll}0-9,;] )\p{Lu}[\p{L}\p{M}]*", f" {MARK}n$0"),
-        (rf"(?<=[0-9]) ?((?i){units})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1"),
+        (rf"(?<=[0-9])\s{{0,20}}((?i){units})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1"),
+        (r"\p{Lu}(?<=[\p{Ll}0-9,;]\s{1,20}\p{Lu})[\p{L}\p{M}]*", f" {MARK}n$0"),
         (r"(?<![\p{L}\p{N}])[0-9]+(?:·[0-9]+)*(?![\p{L}\p{N}·])", f" {MARK}d$0"),
     )
     out = F.coalesce(text, F.lit(""))
@@ -63,52 +68,78 @@ def marked(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), F.lit(BETWEEN), F.lit(" ")))
 
 
+def merged(tokens: Column) -> Column:
+    """The marked tokens with every run of names as one placeholder."""
+    return F.regexp_replace(tokens, F.lit(f" {MARK}n(?<={MARK}n[^ ]{{1,80}} {MARK}n)"), F.lit("·"))
+
+
 def canonical(tokens: Column) -> Column:
     return F.regexp_replace(tokens, F.lit(rf"({MARK}.)[^ ]*"), F.lit("$1"))
 
 
+def literal(tokens: Column) -> Column:
+    """The words as they stand: the same whatever the text's case, and however its lines are broken."""
+    return F.regexp_replace(tokens, F.lit(f"{MARK}."), F.lit(""))
+
+
 def _tokens(df: DataFrame, *keep: str) -> DataFrame:
-    """keep..., the marked and the canonical tokens as arrays, their number and the number of windows."""
+    """keep..., the marked, the canonical and the literal tokens as arrays."""
     strings = df.select(*keep, marked(F.col("text")).alias("_m"))
-    return strings.select(*keep, F.split("_m", " ").alias("_m"), F.split(canonical(F.col("_m")), " ").alias("_c")).withColumn("_n", F.size("_c"))
+    strings = strings.select(*keep, merged(F.col("_m")).alias("_m"), literal(F.col("_m")).alias("_l"))
+    return strings.select(*keep, *(F.split(x, " ").alias(c) for c, x in (("_m", F.col("_m")), ("_c", canonical(F.col("_m"))), ("_l", F.col("_l")))))
 
 
-def _hashes(size: int) -> str:
-    """SQL: the hash of every window, null where it has placeholders alone.
+def _hashes(size: int, of: str = "_c") -> str:
+    """SQL: the hash of every window of that array, null where it has placeholders alone.
 
     It is exploded by an outer explode: from any other, the optimizer infers a filter on the array's size, moves it below and so computes all again.
     """
-    each = ", ".join(f"_c[i + {k}]" for k in range(size))
-    blank = " AND ".join(f"startswith(_c[i + {k}], '{MARK}')" for k in range(size))
-    whole = f"array(if(_c[0] = '' OR forall(_c, x -> startswith(x, '{MARK}')), CAST(NULL AS BIGINT), xxhash64(_c)))"
-    return f"if(_n < {size}, {whole}, transform(sequence(0, _n - {size}), i -> if({blank}, CAST(NULL AS BIGINT), xxhash64({each}))))"
+    each = ", ".join(f"{of}[i + {k}]" for k in range(size))
+    blank = " AND ".join(f"startswith({of}[i + {k}], '{MARK}')" for k in range(size))
+    whole = f"array(if({of}[0] = '' OR forall({of}, x -> startswith(x, '{MARK}')), CAST(NULL AS BIGINT), xxhash64({of})))"
+    one = f"if({blank}, CAST(NULL AS BIGINT), xxhash64({each}))" if of == "_c" else f"xxhash64({each})"
+    return f"if(size({of}) < {size}, {whole}, transform(sequence(0, size({of}) - {size}), i -> {one}))"
 
 
 def _slots(size: int) -> str:
     return f"filter(slice(_m, _pos + 1, {size}), x -> startswith(x, '{MARK}'))"
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("ikey")).distinct()
+
+
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(ikey, item_id, n_windows, ipos, h, islots) of every item."""
-    items = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("ikey")).distinct()
-    windows = _tokens(items, "item_id", "ikey").select("item_id", "ikey", "_m", F.posexplode_outer(F.expr(_hashes(size))).alias("_pos", "h")).where("h IS NOT NULL")
+    """(ikey, item_id, n_windows, ipos, h, islots) of every item's template."""
+    windows = _tokens(_items(benchmark), "item_id", "ikey").select("item_id", "ikey", "_m", F.posexplode_outer(F.expr(_hashes(size))).alias("_pos", "h")).where("h IS NOT NULL")
     rows = windows.select("item_id", "ikey", F.col("_pos").alias("ipos"), "h", F.expr(_slots(size)).alias("islots"))
     return settle(rows.join(rows.groupBy("ikey").agg(F.count("*").alias("n_windows")), "ikey"))
 
 
+def item_words(benchmark: DataFrame, size: int) -> DataFrame:
+    """(ikey, item_id, n_windows, h, reps) of every item's words as they stand."""
+    rows = _tokens(_items(benchmark), "item_id", "ikey").select("item_id", "ikey", F.explode_outer(F.expr(_hashes(size, "_l"))).alias("h")).where("h IS NOT NULL")
+    rows = rows.groupBy("ikey", "item_id", "h").agg(F.count("*").alias("reps"))
+    return settle(rows.join(rows.groupBy("ikey").agg(F.sum("reps").alias("n_windows")), "ikey"))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """(doc_id, body, item_id, n_windows, n_matched, coverage) of every text and item that it holds; body: the hash that tells rows of one doc_id apart."""
-    named, items = _named(docs), item_windows(benchmark, size)
-    keys = items.groupBy("h", "ikey", "n_windows").agg(F.count("*").alias("reps"))
-    keys = keys.hint("broadcast" if items.count() <= BROADCAST else "merge")
-    own = _tokens(named, "doc_id", "body").select("doc_id", "body", F.explode_outer(F.array_distinct(F.expr(_hashes(size)))).alias("h"))
-    candidates = settle(
-        own.where("h IS NOT NULL").join(keys, "h").groupBy("doc_id", "body", "ikey", "n_windows").agg(F.sum("reps").alias("hits")).where(f"100 * hits >= {percent} * n_windows").select("doc_id", "body", "ikey")
-    )
+    named, items, words = _named(docs), item_windows(benchmark, size), item_words(benchmark, size)
+    keys = items.groupBy("h", "ikey", "item_id", "n_windows").agg(F.count("*").alias("reps")).withColumn("plain", F.lit(False))
+    keys = keys.unionByName(words.withColumn("plain", F.lit(True)))
+    keys = keys.hint("broadcast" if items.count() + words.count() <= BROADCAST else "merge")
+    # A window without placeholders is the same one in both.
+    own = _tokens(named, "doc_id", "body").select("doc_id", "body", F.explode_outer(F.array_distinct(F.concat(F.expr(_hashes(size)), F.expr(_hashes(size, "_l"))))).alias("h"))
+    # Repeated rows hold a window once.
+    shared = own.where("h IS NOT NULL").join(keys, "h").select("doc_id", "body", "h", "ikey", "item_id", "n_windows", "plain", "reps").distinct()
+    hits = settle(shared.groupBy("doc_id", "body", "ikey", "item_id", "n_windows", "plain").agg(F.sum("reps").alias("hits")).where(f"100 * hits >= {percent} * n_windows"))
+    candidates = hits.where("NOT plain").select("doc_id", "body", "ikey").distinct()
+    as_it_stands = hits.where("plain").select("doc_id", "body", "ikey", "item_id", "n_windows", F.col("hits").alias("n_matched"))
     few = candidates.count() <= BROADCAST_CANDIDATES
     texts = candidates.groupBy("doc_id", "body").agg(F.collect_set("ikey").alias("ikeys")).withColumnRenamed("doc_id", "_id").withColumnRenamed("body", "_body")
     found = named.join(texts.hint("broadcast") if few else texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "ikeys")
@@ -120,12 +151,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, perc
     reading = aligned.groupBy("doc_id", "body", "ikey", "item_id", "n_windows", "shift").agg(F.collect_list(F.struct("ipos", "pairs")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("ps"))
     agree = "filter(ps, x -> size(filter(ps, y -> y.i = x.i)) = 1 AND size(filter(ps, y -> y.d = x.d)) = 1)"
     good = reading.withColumn("ok", F.expr(agree)).select("doc_id", "body", "ikey", "item_id", "n_windows", F.explode(F.expr("filter(ws, w -> forall(w.pairs, p -> array_contains(ok, p)))")).alias("w"))
-    return (
-        good.groupBy("doc_id", "body", "ikey", "item_id", "n_windows")
-        .agg(F.count_distinct("w.ipos").alias("n_matched"))
-        .where(f"100 * n_matched >= {percent} * n_windows")
-        .select("doc_id", "body", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"))
-    )
+    by_template = good.groupBy("doc_id", "body", "ikey", "item_id", "n_windows").agg(F.count_distinct("w.ipos").alias("n_matched")).where(f"100 * n_matched >= {percent} * n_windows")
+    both = by_template.unionByName(as_it_stands).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    best = both.groupBy("doc_id", "body", "ikey", "item_id").agg(F.max(F.struct("coverage", "n_windows", "n_matched")).alias("m"))
+    return best.select("doc_id", "body", "item_id", "m.n_windows", "m.n_matched", "m.coverage")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = PERCENT) -> DataFrame:

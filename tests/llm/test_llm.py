@@ -226,6 +226,18 @@ def test_decontamination(spark):
     assert decontaminate.clean_documents(twice, bench).count() == len(clean)
 
 
+def test_decontamination_whatever_the_case_and_the_lines(spark):
+    item = "A train leaves Paris with Anna aboard at 45 km per hour and reaches the coast after 3 hours so how far did Anna travel on that day"
+    other = item.replace("Anna", "Mary Ann").replace("45", "60")
+    texts = [
+        "lead in " + item.lower(), item.upper() + " AND MORE", item.title(), item.replace(" ", "\n"), item.replace("with Anna", "with\n    Anna"),
+        other, other.replace(" ", "\n"), other.replace("60 km", "60 KM"), item.replace("Anna", "Anna Maria Lopez"), "A TRAIN LEAVES PARIS AND NOTHING ELSE OF IT IS HERE AT ALL TODAY",
+    ]
+    bench = spark.createDataFrame([(1, item), (2, "12 34 56 78 90 11")], "item_id long, text string")
+    docs = make(spark, [*texts, (9, texts[9]), (9, texts[9])])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.report(docs, bench).collect()} == {(k, 1) for k in range(9)}
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = bench.collect()
