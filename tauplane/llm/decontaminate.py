@@ -12,9 +12,10 @@ cut, hashed and joined alike, and a text with three quarters of an item's window
 of words holds it: so a copy in capitals, where no name can be told, is found.
 
 For candidates the slots are held against each other: where a text's windows
-follow an item's, one slot value of the item must always stand for one and the
-same value of the text, and the other way round. Windows with other slots don't
-count. What still has three quarters of an item's windows is contaminated.
+follow an item's, one name of the item must always stand for one and the same
+name of the text. Windows with another name don't count. Two names of the item
+may become one, and numbers and units are free: values coincide by chance. What
+still has three quarters of an item's windows is contaminated.
 
 The item windows are broadcast if there are BROADCAST of them at most (16 bytes
 each) and joined by a shuffle beyond that. Each distinct window of a text is one
@@ -145,11 +146,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, perc
     found = named.join(texts.hint("broadcast") if few else texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "ikeys")
     windows = _tokens(found.dropDuplicates(["doc_id", "body"]), "doc_id", "body", "ikeys").select("doc_id", "body", "ikeys", "_m", F.posexplode_outer(F.expr(_hashes(size))).alias("_pos", "h"))
     windows = windows.where("h IS NOT NULL").select("doc_id", "body", "_pos", "h", F.expr(_slots(size)).alias("slots"), F.explode("ikeys").alias("ikey"))
-    # Windows that follow an item's at one distance are one reading of it: its slots must agree.
+    # Windows that follow an item's at one distance are one reading of it: its names must agree.
     pairs = "transform(arrays_zip(islots, slots), p -> struct(p.islots AS i, p.slots AS d))"
     aligned = windows.join(items, ["ikey", "h"]).select("doc_id", "body", "ikey", "item_id", "n_windows", "ipos", (F.col("_pos") - F.col("ipos")).alias("shift"), F.expr(pairs).alias("pairs"))
     reading = aligned.groupBy("doc_id", "body", "ikey", "item_id", "n_windows", "shift").agg(F.collect_list(F.struct("ipos", "pairs")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("ps"))
-    agree = "filter(ps, x -> size(filter(ps, y -> y.i = x.i)) = 1 AND size(filter(ps, y -> y.d = x.d)) = 1)"
+    agree = f"filter(ps, x -> NOT startswith(x.i, '{MARK}n') OR size(filter(ps, y -> y.i = x.i)) = 1)"
     good = reading.withColumn("ok", F.expr(agree)).select("doc_id", "body", "ikey", "item_id", "n_windows", F.explode(F.expr("filter(ws, w -> forall(w.pairs, p -> array_contains(ok, p)))")).alias("w"))
     by_template = good.groupBy("doc_id", "body", "ikey", "item_id", "n_windows").agg(F.count_distinct("w.ipos").alias("n_matched")).where(f"100 * n_matched >= {percent} * n_windows")
     both = by_template.unionByName(as_it_stands).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))

@@ -238,6 +238,20 @@ def test_decontamination_whatever_the_case_and_the_lines(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.report(docs, bench).collect()} == {(k, 1) for k in range(9)}
 
 
+def test_decontamination_values_that_coincide(spark):
+    item = "A train leaves Paris with Anna aboard at 45 km per hour and reaches the coast after 3 hours so how far did Anna travel on that day"
+    twice = item.replace("45", "5").replace("3 hours", "5 hours")
+    bench = spark.createDataFrame([(1, item), (2, twice.replace("coast", "lake").replace("train", "bus").replace("day", "night").replace("hours so", "hours and"))], "item_id long, text string")
+    texts = [
+        twice, "first. " + twice.replace("Paris", "Rome").replace("Anna", "Rome"),
+        "A bus leaves Rome with Bertha aboard at 7 km per hour and reaches the lake after 8 hours and how far did Bertha travel on that night",
+        item.replace("Anna", "Bertha", 1).replace("Anna", "Clara").replace("Paris", "Rome").replace("45", "6"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"]) for r in decontaminate.contaminated(make(spark, texts), bench, percent=1).collect()}
+    assert got[0, 1] == got[1, 1] == got[2, 2] == (24, 24)
+    assert got[3, 1][0] < 24  # one name became two
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = bench.collect()
