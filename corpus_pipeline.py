@@ -36,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs; those of which nothing is left go."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    out = line_dedup.clean_lines(rows).where("n_lines > n_dropped").select("_row.*", F.col("text").alias("_text"))
+    out = line_dedup.clean_lines(rows, long_repeats=line_dedup.LONG_REPEATS).where("n_lines > n_dropped").select("_row.*", F.col("text").alias("_text"))
     changed = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(docs.columns)
 

@@ -8,8 +8,9 @@ stretches after the leading tokens is open too; so lines that differ in one
 field, or in one stretch, meet in one template of at least three quarters of
 their tokens.
 
-A template that REPEATS documents hold recurs. Its lines are dropped in all of
-them but the one with the smallest doc_id, so that nothing leaves the corpus
+A template that REPEATS documents hold recurs, and one of lines of at least LEAST
+tokens if LONG_REPEATS do: so long a line doesn't come again by chance. Its lines
+are dropped in all of them but the one with the smallest doc_id, so that nothing leaves the corpus
 altogether. Templates are counted with a map-side combine; a very common line
 is one row of each task.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, INVERSE, WordHashes, mix, powers, settle, slices
 
-REPEATS, LEADING, BLOCKS, LEAST = 10, 2, 4, 8
+REPEATS, LONG_REPEATS, LEADING, BLOCKS, LEAST = 10, 3, 2, 4, 8
 #: Recurring templates that are sent to every executor at most (16 bytes each); more are joined by document.
 SENT = 1_000_000
 U = np.uint64
@@ -90,18 +91,18 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("binary"))
 
 
-def recurring(docs: DataFrame, repeats: int) -> DataFrame:
+def recurring(docs: DataFrame, repeats: int, long_repeats: int) -> DataFrame:
     """(template, owner): the templates that recur, and the smallest doc_id with each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for batch in slices(batches, "text"):
             where, found = line_templates([x or b"" for x in batch.column("text").to_pylist()], hashes)
-            text, template = np.repeat(where[0], found.shape[1]), found.ravel()
+            text, template, long = np.repeat(where[0], found.shape[1]), found.ravel(), np.repeat(found[:, 1] != 0, found.shape[1])
             order = np.lexsort((text, template))
-            text, template = text[order], template[order]
+            text, template, long = text[order], template[order], long[order]
             fresh = (template != 0) & np.r_[True, (template[1:] != template[:-1]) | (text[1:] != text[:-1])][: len(template)]
-            text, template = text[fresh], template[fresh]
+            text, template, long = text[fresh], template[fresh], long[fresh]
             # Combined before it leaves: one row for a template of this piece.
             heads = np.flatnonzero(np.r_[True, template[1:] != template[:-1]][: len(template)])
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -109,10 +110,11 @@ def recurring(docs: DataFrame, repeats: int) -> DataFrame:
             many = np.diff(np.r_[heads, len(template)])
             least = np.minimum.reduceat(ids[text], heads) if len(heads) else np.zeros(0)
             least = pa.array([None if x == np.inf else int(x) for x in least.tolist()], pa.int64()) if ids.dtype.kind == "f" else pa.array(least.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(template[heads].view(np.int64)), pa.array(many.astype(np.int64)), least], ["template", "many", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(template[heads].view(np.int64)), pa.array(many.astype(np.int64)), least, pa.array(long[heads])], ["template", "many", "least", "long"])
 
-    rows = _named(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(run, "template long, many long, least long")
-    return rows.groupBy("template").agg(F.sum("many").alias("many"), F.min("least").alias("owner")).where(F.col("many") >= repeats).select("template", "owner")
+    rows = _named(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(run, "template long, many long, least long, long boolean")
+    counted = rows.groupBy("template").agg(F.sum("many").alias("many"), F.min("least").alias("owner"), F.max("long").alias("long"))
+    return counted.where(F.col("many") >= F.when(F.col("long"), long_repeats).otherwise(repeats)).select("template", "owner")
 
 
 class Tree:
@@ -147,10 +149,10 @@ def _cleaned(batch: pa.RecordBatch, tree: Tree, hashes: TokenHashes) -> tuple[li
     return out, n.tolist(), dropped.tolist()
 
 
-def clean_lines(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The rows of docs with their text cleaned, and n_lines and n_dropped."""
+def clean_lines(docs: DataFrame, repeats: int = REPEATS, long_repeats: int | None = None) -> DataFrame:
+    """The rows of docs with their text cleaned, and n_lines and n_dropped; without long_repeats, long lines need as many documents as short ones."""
     named = _named(docs)
-    found = settle(recurring(docs, repeats))
+    found = settle(recurring(docs, repeats, repeats if long_repeats is None else long_repeats))
     schema = named.withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     names = named.columns
 
@@ -195,6 +197,6 @@ def clean_lines(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return out.withColumn("text", F.col("text").cast("string"))
 
 
-def line_dedup(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
+def line_dedup(docs: DataFrame, repeats: int = REPEATS, long_repeats: int | None = LONG_REPEATS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what is left (null: of nothing)."""
-    return clean_lines(docs.select("doc_id", "text"), repeats).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return clean_lines(docs.select("doc_id", "text"), repeats, long_repeats).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -331,6 +331,15 @@ def test_line_dedup(spark):
         line_dedup.SENT = sent
 
 
+def test_line_dedup_drops_long_lines_that_three_documents_share(spark):
+    license_line = "This work is licensed under the GNU General Public License, version 3."
+    docs = [f"{license_line}\nsee below\nonly {chr(97 + k) * 5}" for k in range(3)] + ["this line of nine words stands in two documents", "this line of nine words stands in two documents"]
+    got = by_id(line_dedup.line_dedup(make(spark, docs)))
+    assert [got[k]["n_dropped"] for k in range(5)] == [0, 1, 1, 0, 0]
+    kept = f"see below\nonly {'c' * 5}"
+    assert got[2]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
 # 8
 
 
