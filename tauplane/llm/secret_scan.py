@@ -1,8 +1,10 @@
 """Secret scan: a random forest tells credentials from look-alikes.
 
-Candidates are runs of at least LEAST characters of A-Z, a-z, 0-9, +, /, _ and -
-that hold a digit, and quoted values that stand behind a name and = or :. Each
-gets the features of FEATURES: its length and characters, how likely its
+Candidates are all values that stand behind a credential word and = or : (quoted:
+up to the quote, else up to the next white space or quote), whatever their length
+and characters; and elsewhere runs of at least LEAST characters of A-Z, a-z, 0-9,
++, /, _ and - that hold a digit, and quoted values of 8 characters or more that
+stand behind a name and = or :. Each gets the features of FEATURES: its length and characters, how likely its
 character transitions are among those of the corpus, how much of its letters
 are words of the corpus (dictionary coverage), whether it stands in a path or
 URL, and its neighbours (an assignment, quotes, a credential word before it).
@@ -10,8 +12,9 @@ URL, and its neighbours (an assignment, quotes, a credential word before it).
 The forest is trained from labelled findings (features and a boolean): FIT of
 them at most, those of the smallest hashes. Where no findings were labelled,
 labelled_findings() makes them by a rule that needs a labelled context: a value
-of 20 characters or more that is assigned to a credential word is true, any
-other candidate without such a word near is false; the rest stays unlabelled.
+of 20 characters or more, or of letters and digits, that is assigned to a
+credential word is true, one that is made of words of the corpus alone is false,
+as is any other candidate without such a word near; the rest stays unlabelled.
 The features that this rule uses are then hidden in half of the training rows,
 so that the forest also learns the value itself.
 
@@ -49,6 +52,8 @@ U = np.uint64
 #: Words that name credentials.
 CREDENTIAL = rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential|client[_-]?id|key)"
 _candidate = re.compile(rb"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{%d,}={0,2}|(?<=[=:]["'])[^"'\s]{8,}(?=["'])|(?<=[=:] ["'])[^"'\s]{8,}(?=["'])""" % LEAST)
+#: A credential word, what may follow it in a name, the sign, and an authorization's scheme; then the value. The name's rest is bounded, as it is read again for each word in it.
+_assignment = re.compile(CREDENTIAL + rb"""[\w\-]{0,64}["']?\s*[=:]\s*(?:(?:bearer|basic|token)[ \t]+(?=[^\s=:]))?(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"']+))""", re.IGNORECASE)
 _assigned = re.compile(CREDENTIAL + rb"""[\w\-]*["']?\s*[=:]\s*["']?$""", re.IGNORECASE)
 _word = re.compile(CREDENTIAL, re.IGNORECASE)
 _sign = re.compile(rb"""[=:]\s*["']?$""")
@@ -117,6 +122,18 @@ def features(value: bytes, before: bytes, after: bytes, known: Corpus) -> list[f
     ]
 
 
+def candidates(text: bytes) -> list[tuple[int, int, bool]]:
+    """(from, to, whether it is assigned to a credential word) of every candidate, by place; what is part of an assigned value is none of its own."""
+    out = [(*m.span(m.lastindex), True) for m in _assignment.finditer(text)]
+    k, assigned = 0, list(out)
+    for m in _candidate.finditer(text):
+        while k < len(assigned) and assigned[k][1] <= m.start():
+            k += 1
+        if k == len(assigned) or assigned[k][0] >= m.end():
+            out.append((*m.span(), False))
+    return sorted(out)
+
+
 def findings(docs: DataFrame, known: Corpus) -> DataFrame:
     """doc_id, start (in bytes), length, value_sha256, features, and the rule's label (null where it has none)."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -125,15 +142,19 @@ def findings(docs: DataFrame, known: Corpus) -> DataFrame:
         for batch in slices(batches, "text"):
             rows, starts, sizes, digests, found, labels = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                for m in _candidate.finditer(text):
-                    before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + 8]
-                    x = features(m.group(), before, after, sent.value)
+                for start, end, assigned in candidates(text):
+                    value, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + 8]
+                    x = features(value, before, after, sent.value)
+                    if assigned:
+                        x[FEATURES.index("assigned")] = x[FEATURES.index("credential_near")] = 1.0
                     rows.append(k)
-                    starts.append(m.start())
-                    sizes.append(m.end() - m.start())
-                    digests.append(hashlib.sha256(m.group()).hexdigest())
+                    starts.append(start)
+                    sizes.append(end - start)
+                    digests.append(hashlib.sha256(value).hexdigest())
                     found.append(x)
-                    labels.append(True if x[FEATURES.index("assigned")] and len(m.group()) >= 20 else None if x[FEATURES.index("credential_near")] else False)
+                    worded = x[FEATURES.index("assigned")] and x[FEATURES.index("dictionary")] == 1
+                    mixed = x[FEATURES.index("digits")] > 0 and x[FEATURES.index("upper")] + x[FEATURES.index("lower")] > 0
+                    labels.append(False if worded else True if x[FEATURES.index("assigned")] and (len(value) >= 20 or mixed) else None if x[FEATURES.index("credential_near")] else False)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(found, pa.list_(pa.float32())), pa.array(labels, pa.bool_())],
                 ["doc_id", "start", "length", "value_sha256", "features", "label"],

@@ -357,6 +357,26 @@ def test_forest_and_scan(spark):
     assert secret_scan.scan(make(spark, ["a number 1234567890123456 alone"])).first()["score"] == 0
 
 
+def test_scan_takes_every_assigned_value(spark):
+    draw = random.Random(8)
+    token = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    jwt = f"eyJhbGciOi.{token()}.{token()}-_x"
+    values = {
+        "DB_PASSWORD={}": "s3cretPw1", "password: {}": "Tr0ub4dor&3", "api_key={} end": "abcdefghijklmnopqrstuvwx", "Authorization: Bearer {}": jwt, "pwd = '{}'": "a1!",
+        'the secret = "{}" is': "p@ss.w0rd$", "client_secret={}": "key.with@dots.and!signs", 'token: "{}"': token(),
+    }
+    some = ["".join(draw.choice("aeiou" if j % 2 else "bdklmnprst") for j in range(draw.randint(4, 9))) for _ in range(40)]
+    plain = [f"a secret: {w}" for w in some]
+    docs = [form.format(v) for form, v in values.items()] + [f'some words token = "{token()}" go on' for _ in range(60)] + [f"the number {draw.randrange(10**15, 10**16)} is long" for _ in range(60)] + plain
+    docs += [f"{w} is a word, {w} too" for w in some] + [" ".join(some)] + ["keytoken" * 20000] + [f"password={token()[: draw.randint(3, 12)]}zB7{draw.choice('!&.$')}" for _ in range(60)]
+    got = defaultdict(dict)
+    for r in secret_scan.scan(make(spark, docs)).collect():
+        got[r["doc_id"]][docs[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode()] = r["is_secret"]
+    for k, v in enumerate(values.values()):
+        assert got[k] == {v: True}, (k, got[k])
+    assert all(got[128 + k] == {w: False} for k, w in enumerate(some))
+
+
 # 9
 
 
