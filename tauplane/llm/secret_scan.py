@@ -9,8 +9,8 @@ character transitions are among those of the corpus, how much of its letters
 are words of the corpus (dictionary coverage), whether it stands in a path or
 URL, and its neighbours (an assignment, quotes, a credential word before it).
 
-The forest is trained from labelled findings (features and a boolean): FIT of
-them at most, those of the smallest hashes. Where no findings were labelled,
+The forest is trained from labelled findings (features and a boolean): FIT
+different ones of each label at most, those of the smallest hashes. Where no findings were labelled,
 labelled_findings() makes them by a rule that needs a labelled context: a value
 of 20 characters or more, or of letters and digits, that is assigned to a
 credential word is true, one that is made of words of the corpus alone is false,
@@ -227,7 +227,9 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = SEED) ->
 
 def fit(labelled: DataFrame, most: int = FIT, hide: bool = True, seed: int = SEED) -> Forest:
     """A forest from (value_sha256, features, label); with hide, the context features are hidden in half of the rows."""
-    rows = labelled.orderBy(F.xxhash64("value_sha256", "features"), "value_sha256").limit(most).toArrow()  # FIT rows at most
+    distinct = labelled.select("value_sha256", "features", "label").distinct()
+    order = [F.xxhash64("value_sha256", "features"), "value_sha256", "features"]
+    rows = pa.concat_tables([distinct.where(F.col("label") == kind).orderBy(*order).limit(most).toArrow() for kind in (True, False)])  # FIT rows of each at most
     x = np.array(rows.column("features").to_pylist(), np.float32).reshape(-1, len(FEATURES))
     y = np.array(rows.column("label").to_pylist(), bool)
     if hide and len(x):

@@ -377,6 +377,18 @@ def test_scan_takes_every_assigned_value(spark):
     assert all(got[128 + k] == {w: False} for k, w in enumerate(some))
 
 
+def test_forest_learns_from_different_findings_of_both_labels(spark):
+    width = len(secret_scan.FEATURES)
+    one = [(f"a{k}", [float(k)] + [0.0] * (width - 1), True) for k in range(10)]
+    other = [(f"b{k}", [float(100 + k)] + [0.0] * (width - 1), False) for k in range(10)]
+    point = np.array([[5.0] + [0.0] * (width - 1), [105.0] + [0.0] * (width - 1)], np.float32)
+    for many, few in ((one, other), (other, one)):
+        rows = spark.createDataFrame(many[:1] * 500 + many[1:] * 50 + few, "value_sha256 string, features array<float>, label boolean")
+        score = secret_scan.fit(rows, most=10, hide=False).score(point)
+        assert score[0] > 0.5 > score[1]
+        assert np.array_equal(score, secret_scan.fit(rows.distinct(), most=10, hide=False).score(point))
+
+
 # 9
 
 
