@@ -6,8 +6,10 @@ likelihood of its letter n-grams, hashed into a table of fixed size. A Viterbi
 pass with a switching penalty labels every word, so that mixed text falls into
 spans; a text's language is that of most of its letters.
 
-Counts are taken over all labelled texts. The model has `buckets` x languages
-numbers, whatever the input's size; that is the bound of what is broadcast.
+Counts are taken over all labelled texts. The model has buckets x languages
+numbers, TABLE at most, whatever the input's size; that is the bound of what
+reaches the driver and is broadcast. With more than TABLE / BUCKETS languages
+there are fewer buckets. More than MOST_LANGUAGES values of lang are an error.
 
 Defined results: null, blank and letterless texts are "und" with score 0, and so
 is every text if nothing was labelled. Labels may be null: such texts aren't
@@ -26,10 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .common import MEMO_WORDS, mix, slices, with_bytes
 
-BUCKETS, GRAMS, PENALTY, WEIGHT = 1 << 17, (1, 2, 3, 4), 8.0, 0.5
+BUCKETS, TABLE, MOST_LANGUAGES = 1 << 17, 1 << 23, 1 << 12
+GRAMS, PENALTY, WEIGHT = (1, 2, 3, 4), 8.0, 0.5
+#: Words whose scores a Python worker remembers before it starts anew, by number of scores.
+REMEMBERED = 1 << 20
 #: A language is a candidate for a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 U = np.uint64
@@ -53,7 +59,7 @@ def _letters() -> np.ndarray:
     return out
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_grams(words: list[str], size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-case words: the word and the bucket of every letter n-gram; for each word, its script and its number of letters."""
     text = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
@@ -75,7 +81,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             if n == 1:
                 whole &= text != U(32)
             of.append(owner[: len(value)][whole])
-            buckets.append((mix(value[whole] + U(n << 56)) % U(BUCKETS)).astype(np.int64))
+            buckets.append((mix(value[whole] + U(n << 56)) % U(size)).astype(np.int64))
     of, buckets = np.concatenate(of or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
     some = letters[of] > 0
     return of[some], buckets[some], script, letters
@@ -93,6 +99,12 @@ class Model:
 
 def fit(labelled: DataFrame) -> Model:
     """Learn from (text, lang): counts over all rows whose lang isn't null."""
+    labelled = labelled.where("lang IS NOT NULL")
+    known = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if known > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    size = min(BUCKETS, TABLE // max(known, 1))
+    length = size + len(NAMES) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -100,16 +112,16 @@ def fit(labelled: DataFrame) -> Model:
 
         def drain(lang: str) -> None:
             own = words.pop(lang)
-            of, buckets, script, letters = word_grams(list(own))
+            of, buckets, script, letters = word_grams(list(own), size)
             counts = np.fromiter(own.values(), np.int64, len(own))
-            total = totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES) + 1, np.int64))
-            total[:BUCKETS] += np.bincount(buckets, counts[of], BUCKETS).astype(np.int64)
-            total[BUCKETS:-1] += np.bincount(script, counts * letters, len(NAMES)).astype(np.int64)
+            total = totals.setdefault(lang, np.zeros(length, np.int64))
+            total[:size] += np.bincount(buckets, counts[of], size).astype(np.int64)
+            total[size:-1] += np.bincount(script, counts * letters, len(NAMES)).astype(np.int64)
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(text.decode().lower().split())
-                totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES) + 1, np.int64))[-1] += 1
+                words.setdefault(lang, Counter()).update(text.decode(errors="replace").lower().split())
+                totals.setdefault(lang, np.zeros(length, np.int64))[-1] += 1
                 if len(words[lang]) > MEMO_WORDS // 4:
                     drain(lang)
         for lang in list(words):
@@ -118,16 +130,16 @@ def fit(labelled: DataFrame) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "at", "many"])
 
-    counts = with_bytes(labelled.where("lang IS NOT NULL"), "lang").mapInArrow(run, "lang string, at int, many long").groupBy("lang", "at").agg(F.sum("many").alias("many")).toArrow()
+    counts = with_bytes(labelled, "lang").mapInArrow(run, "lang string, at int, many long").groupBy("lang", "at").agg(F.sum("many").alias("many")).toArrow()
     names, at, many = counts.column("lang").to_pylist(), counts.column("at").to_numpy(), counts.column("many").to_numpy()
-    rows = {lang: np.zeros(BUCKETS + len(NAMES) + 1) for lang in set(names)}
+    rows = {lang: np.zeros(length) for lang in set(names)}
     order = {lang: k for k, lang in enumerate(rows)}
-    dense = np.zeros((len(rows), BUCKETS + len(NAMES) + 1))
+    dense = np.zeros((len(rows), length))
     dense[[order[lang] for lang in names], at] = many
     languages = sorted(order, key=lambda lang: (-dense[order[lang], -1], lang))
     dense = dense[[order[lang] for lang in languages]]
-    grams, scripts, texts = dense[:, :BUCKETS], dense[:, BUCKETS:-1], dense[:, -1]
-    table = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * BUCKETS)).T.astype(np.float32)
+    grams, scripts, texts = dense[:, :size], dense[:, size:-1], dense[:, -1]
+    table = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * size)).T.astype(np.float32)
     allowed = (scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)).T
     return Model(languages, np.ascontiguousarray(table), np.log((texts + 1) / (texts.sum() + len(languages))), allowed)
 
@@ -141,7 +153,7 @@ class Scorer:
         self.letters = np.zeros(1 << 12, np.int32)
 
     def look_up(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.ids) > MEMO_WORDS:
+        if len(self.ids) * max(1, self.scores.shape[1]) > REMEMBERED:
             self.ids, self.known = {}, 0
         ids = self.ids
         flat = np.fromiter((ids.setdefault(w, len(ids)) for words in texts for w in words), np.int64, sum(map(len, texts)))
@@ -151,7 +163,7 @@ class Scorer:
                 room = 2 * len(ids)
                 self.scores = np.concatenate([self.scores[: self.known], np.zeros((room - self.known, self.scores.shape[1]), np.float32)])
                 self.letters = np.concatenate([self.letters[: self.known], np.zeros(room - self.known, np.int32)])
-            of, buckets, script, letters = word_grams(fresh)
+            of, buckets, script, letters = word_grams(fresh, len(self.model.table))
             new = np.zeros((len(fresh), self.scores.shape[1]), np.float32)
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
             order = np.argsort(of, kind="stable")
@@ -174,8 +186,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, prior: n
     order = np.argsort(-counts, kind="stable")
     starts, counts = starts[order], counts[order]
     active = np.searchsorted(-counts, -np.arange(int(counts[0]) if len(counts) else 0), "left")
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, np.int16)
+    own = np.arange(scores.shape[1], dtype=np.int16)
     best = np.tile(prior.astype(np.float32), (len(counts), 1))
     for t, n in enumerate(active.tolist()):
         at, now = starts[:n] + t, best[:n]
@@ -183,10 +195,10 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, prior: n
             top = now.argmax(1)
             other = now[np.arange(n), top] - np.float32(penalty)
             switch = other[:, None] > now
-            back[at] = np.where(switch, top[:, None].astype(np.int8), own)
+            back[at] = np.where(switch, top[:, None].astype(np.int16), own)
             now = np.where(switch, other[:, None], now)
         best[:n] = now + scores[at]
-    labels, state = np.zeros(len(scores), np.int8), best.argmax(1)
+    labels, state = np.zeros(len(scores), np.int16), best.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
@@ -196,20 +208,26 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, prior: n
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> DataFrame:
-    """keep..., lang_pred, score and share (of the letters); with spans, the labelled runs of words too (first word, words, language)."""
-    source = with_bytes(docs, *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep) + ", lang_pred string, score double, share double"
+    """keep..., lang_pred, score and share (of the letters); with spans, the labelled runs of words too (first word, words, language).
+
+    A text that is among keep is returned as bytes.
+    """
+    source = with_bytes(docs, *(c for c in keep if c != "text"))
+    schema = StructType([StructField(c, source.schema[c].dataType) for c in keep])
+    schema = schema.add("lang_pred", "string").add("score", "double").add("share", "double")
+    if spans:
+        schema = schema.add("spans", ArrayType(StructType().add("first", "int").add("words", "int").add("lang", "string")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         scorer, many = Scorer(own), len(own.languages)
-        for batch in slices(batches, "text", 12_000_000):
-            texts = [x.decode().lower().split() for x in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text"):
+            texts = [x.decode(errors="replace").lower().split() for x in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, texts), np.int64, len(texts))
             if not many or not counts.sum():
                 found = np.zeros((len(texts), 1))
-                labels, starts = np.zeros(int(counts.sum()), np.int8), np.cumsum(counts) - counts
+                labels, starts = np.zeros(int(counts.sum()), np.int16), np.cumsum(counts) - counts
             else:
                 ids = scorer.look_up(texts)
                 letters, owner = scorer.letters[ids], np.repeat(np.arange(len(texts)), counts)
@@ -224,7 +242,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> D
                 chance /= chance.sum(1, keepdims=True)
                 if spans:
                     # A word without letters belongs to the span before it.
-                    labels = np.zeros(len(ids), np.int8)
+                    labels = np.zeros(len(ids), np.int16)
                     labels[some] = marks
                     last = np.maximum.accumulate(np.where(letters > 0, np.arange(len(ids)), -1))
                     labels = np.where(last >= 0, labels[last], 0)
@@ -245,7 +263,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> D
                 columns.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "share"] + ["spans"] * spans)
 
-    return source.mapInArrow(run, schema + ", spans array<struct<first:int,words:int,lang:string>>" * spans)
+    return source.mapInArrow(run, schema)
 
 
 def remainder(n: int):

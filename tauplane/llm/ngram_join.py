@@ -1,27 +1,35 @@
 """Set-similarity join of word n-gram sets by vertical partitioning.
 
 Every document becomes a set of 64-bit shingle fingerprints. Documents of one
-set form a class; classes are what is joined, so copies are never paired.
-
-1. The order of fingerprints is cut into fragments. A fragment's task holds only
-   its own slice of every set and counts, for each class, the members that some
-   other class has too; the counts are summed per class. A class of which under
-   three quarters are shared can't have a link and is left out.
+set form a class, known by 128 bits; classes are what is joined, so copies are
+never paired.
+
+1. A class that has a link has at least t of its n members in common with
+   another one (t: the least overlap), and by the prefix rule at least t / 4 of
+   them among the first n - t + t / 4 members of both, in the order of their
+   hashes. These heads are cut into fragments; a fragment's task counts, for each
+   class, the members that some other class has too; the counts are summed per
+   class, and classes of too few are left out. A piece of the input sends a
+   member that several of its classes have only once, so a member that a third of
+   all texts hold is one entry for each piece.
 2. In fragments again, the number of classes that have a member is counted among
-   those left. Rarest first is the global order; by the prefix rule, linked
-   classes meet in a rare member near the head of both, and by the position rule
-   enough must follow it.
-3. Candidate pairs are counted by fragment (the partial overlaps) and summed per
-   pair; that sum is exact and decides. A group of many near copies isn't paired
-   with itself: first each class of a member's list is held against one pivot of
-   that list, the PIVOTS that it shares most with, in some rounds with other pivots, then only pairs between different
+   those left. Rarest first is the global order; members of one class alone have
+   no part in it. By the prefix rule, linked classes meet in a rare member near
+   the head of both, and by the position rule enough must follow it.
+3. The global order is cut into fragments by how many classes hold a member.
+   Candidate pairs are counted in each fragment apart (the partial overlaps) and
+   summed per pair; that sum is exact and decides. A group of many near copies
+   isn't paired with itself: first each class of a member's list is held against
+   the list's most central class (the one whose members are held most), then
+   against that of another component, then only pairs between different
    components are counted, all of them.
 
 Defined results: a set is of distinct n-grams over lower-cased (A-Z) words; a
 text with fewer words has its whole sequence as the one member; a null or blank
 text has none and is its own component. Ties and repeated rows share a class.
-A null doc_id counts as greater than any other. An empty table gives an empty
-result; other columns of the input are ignored.
+Rows are known by doc_id and text, so a doc_id may be null or repeated; a null
+one counts as greater than any other. An empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +40,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, settle, slices, with_bytes
+from .common import MEMO_WORDS, WordHashes, mix, settle, slices, with_bytes
 from .components import stars
 
 N, PERCENT = 5, 75
-#: Members in a fragment of the first passes, and fragments at least; parts of a set when pairs are counted.
-FRAGMENT, LEAST_FRAGMENTS, PARTS = 3_000_000, 40, 2
+#: Members in a fragment of the first passes, and fragments at least.
+FRAGMENT, LEAST_FRAGMENTS = 3_000_000, 40
 #: Rounds with pivots, and the pivots that a class is held against in each; what they leave open is counted by all pairs between components.
-PIVOT_ROUNDS, PIVOTS = 3, 2
-#: Pairs whose classes are broadcast at most (8 bytes each); beyond that, sets are shuffled to their pairs.
-BROADCAST_PAIRS = 500_000
+PIVOT_ROUNDS, PIVOTS = 2, 2
+#: Pairs whose classes are broadcast at most (16 bytes each), and rows (8 bytes each); beyond that, sets and texts are shuffled.
+BROADCAST_PAIRS, BROADCAST_ROWS = 250_000, 2_000_000
 U = np.uint64
+#: Stands for the owners of a member that several classes of a piece have.
+SEVERAL = 0
 FACTORS = [mix(np.array([k + 11], U))[0] | U(1) for k in range(64)]
 
 
@@ -81,7 +91,14 @@ def class_ids(members: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 
 def short_id(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+    """The first 64 bits of every digest (never SEVERAL)."""
+    out = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+    return np.where(out == SEVERAL, 1, out)
+
+
+def least_overlap(n, percent: int):
+    """The least overlap that a set of n members has with a linked one."""
+    return -(-percent * n // 100)
 
 
 def _stats(docs: DataFrame, n: int) -> DataFrame:
@@ -90,50 +107,82 @@ def _stats(docs: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches, "text"):
             members, counts = shingle_sets(batch.column("text").to_pylist(), hashes, n)
             digests = class_ids(members, counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(short_id(digests)), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "cid", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("body"), pa.array(counts, pa.int64()), pa.array(short_id(digests), pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "body", "n_shingles", "short", "cid"]
+            )
+
+    return with_bytes(docs, "doc_id", "body").mapInArrow(run, "doc_id long, body long, n_shingles long, short long, cid binary")
 
-    return with_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, cid long, digest binary")
 
+def _cut(values: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of every hash: equal ranges of the order."""
+    return ((values >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
 
-def _cut(members: np.ndarray, fragments: int) -> np.ndarray:
-    """The fragment of every member: equal ranges of the order."""
-    return ((members >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
 
+def _packed(docs: DataFrame, fragments: int, n: int, percent: int) -> DataFrame:
+    """One row for each fragment and piece of the input: 48 bits of the members of heads, whose they are, and how many each class has.
 
-def _packed(sets: DataFrame, fragments: int, n: int) -> DataFrame:
-    """One row for each fragment and piece of the input: the members (without their leading bits), whose they are, and how many each has."""
+    A row of a negative fragment has, for each class, the number of members that other classes of its piece have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, sent = WordHashes(), set()
         for batch in slices(batches, "text"):
             members, counts = shingle_sets(batch.column("text").to_pylist(), hashes, n)
-            cids = short_id(class_ids(members, counts))
-            owner = np.repeat(np.arange(len(counts)), counts)
-            fragment = _cut(members, fragments)
-            order = np.argsort(fragment, kind="stable")
-            members, owner, fragment = members[order], owner[order], fragment[order]
-            low = (mix(members) & U(0xFFFFFFFF)).astype(np.uint32)
+            digests = class_ids(members, counts)
+            if len(sent) > MEMO_WORDS:
+                sent.clear()
+            own = []
+            for k in np.flatnonzero(counts).tolist():
+                if digests[k] not in sent:
+                    sent.add(digests[k])
+                    own.append(k)
+            if not own:
+                continue
+            own = np.array(own)
+            least = least_overlap(counts[own], percent)
+            head = counts[own] - least + np.maximum(1, least // 4)
+            owner = np.repeat(np.arange(len(own)), head)
+            at = np.arange(len(owner)) - (np.cumsum(head) - head)[owner] + (np.cumsum(counts) - counts)[own][owner]
+            # The order is that of the members; another hash deals them out evenly.
+            values = mix(members[at])
+            order = np.argsort(values)
+            values, owner = values[order], owner[order]
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            many = np.diff(np.r_[first, len(values)])
+            local = np.bincount(owner[np.repeat(many > 1, many)], minlength=len(own))
+            ids = np.r_[short_id([digests[k] for k in own]), SEVERAL]
+            values, owner = values[first], np.where(many > 1, len(own), owner[first])
+            fragment = _cut(values, fragments)
+            order = np.lexsort((owner, fragment))
+            values, owner, fragment = values[order], owner[order], fragment[order]
             edges = np.searchsorted(fragment, np.arange(fragments + 1))
-            rows = []
+            rows = [(-1 - int(values[0] % U(fragments)), b"", ids[:-1].tobytes(), local.astype(np.int32).tobytes())]
+            low = values.view(np.uint8).reshape(-1, 8)[:, :6]
             for f in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[f], edges[f + 1])
                 heads = np.flatnonzero(np.r_[True, np.diff(owner[part]) != 0])
-                rows.append((int(f), low[part].tobytes(), cids[owner[part][heads]].tobytes(), np.diff(np.r_[heads, edges[f + 1] - edges[f]]).astype(np.int32).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["f", "members", "cids", "counts"])
+                rows.append((int(f), low[part].tobytes(), ids[owner[part][heads]].tobytes(), np.diff(np.r_[heads, edges[f + 1] - edges[f]]).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["f", "members", "shorts", "counts"])
 
-    return with_bytes(sets).mapInArrow(run, "f int, members binary, cids binary, counts binary")
+    return with_bytes(docs).mapInArrow(run, "f int, members binary, shorts binary, counts binary")
 
 
-def _shared_counts(group: pd.DataFrame) -> pd.DataFrame:
-    members = np.frombuffer(b"".join(group["members"]), np.uint32)
-    cids = np.repeat(np.frombuffer(b"".join(group["cids"]), np.int64), np.frombuffer(b"".join(group["counts"]), np.int32))
+def _shared_counts(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """(short, shared, instances): how many members of a class in this fragment another one has too; pieces that sent the class."""
+    ids, counts = np.frombuffer(b"".join(group["shorts"]), np.int64), np.frombuffer(b"".join(group["counts"]), np.int32)
+    if key[0] < 0:
+        return pd.DataFrame({"short": ids, "shared": counts.astype(np.int64), "instances": 1})
+    members = np.zeros((int(counts.sum()), 8), np.uint8)
+    members[:, :6] = np.frombuffer(b"".join(group["members"]), np.uint8).reshape(-1, 6)
+    members, ids = members.view(U).ravel(), np.repeat(ids, counts)
     order = np.argsort(members, kind="stable")
-    members, cids = members[order], cids[order]
+    members, ids = members[order], ids[order]
     heads = np.flatnonzero(np.r_[True, members[1:] != members[:-1]])
-    shared = np.minimum.reduceat(cids, heads) != np.maximum.reduceat(cids, heads)
-    own, counts = np.unique(cids[np.repeat(shared, np.diff(np.r_[heads, len(members)]))], return_counts=True)
-    return pd.DataFrame({"cid": own, "shared": counts.astype(np.int64)})
+    shared = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+    own, counts = np.unique(ids[np.repeat(shared, np.diff(np.r_[heads, len(members)]))], return_counts=True)
+    some = own != SEVERAL
+    return pd.DataFrame({"short": own[some], "shared": counts[some].astype(np.int64), "instances": 0})
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -143,12 +192,12 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
             members, counts = shingle_sets(batch.column("text").to_pylist(), hashes, n)
-            cids, ends = short_id(class_ids(members, counts)), np.cumsum(counts)
-            mine = np.flatnonzero(cids == batch.column("cid").to_numpy())
+            digests, ends = class_ids(members, counts), np.cumsum(counts)
+            mine = [k for k, cid in enumerate(batch.column("cid").to_pylist()) if digests[k] == cid]
             blobs = [members[ends[k] - counts[k] : ends[k]].tobytes() for k in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(cids[mine]), pa.array(counts[mine].astype(np.int32)), pa.array(blobs, pa.binary())], ["cid", "n", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in mine], pa.binary()), pa.array(counts[mine].astype(np.int32)), pa.array(blobs, pa.binary())], ["cid", "n", "members"])
 
-    return texts.mapInArrow(run, "cid long, n int, members binary")
+    return texts.mapInArrow(run, "cid binary, n int, members binary")
 
 
 def _sliced(sets: DataFrame, fragments: int) -> DataFrame:
@@ -162,9 +211,9 @@ def _sliced(sets: DataFrame, fragments: int) -> DataFrame:
                 edges = np.searchsorted(_cut(members, fragments), np.arange(fragments + 1))
                 rows += [(int(f), cid, n, members[edges[f] : edges[f + 1]].tobytes()) for f in np.flatnonzero(np.diff(edges))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["f", "cid", "n", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["f", "cid", "n", "members"])
 
-    return sets.mapInArrow(run, "f int, cid long, n int, members binary")
+    return sets.mapInArrow(run, "f int, cid binary, n int, members binary")
 
 
 def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
@@ -185,30 +234,61 @@ def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(member, cid, n, after): the head of every class in the global order, and how many members follow each."""
+def _ranked(shared: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, members, many, weight): the members of every class that others have, in the global order; weight: how many classes hold a member, on an average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_members, out_rows, out_after = [], [], []
-            for k, (n, parts) in enumerate(zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
+            cids, sizes, blobs, counts, weights = [], [], [], [], []
+            for cid, n, parts in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "parts")), strict=True):
                 members = np.frombuffer(b"".join(p["members"] for p in parts), U)
                 many = np.frombuffer(b"".join(p["many"] for p in parts), np.uint8)
-                head = n - -(-percent * n // 100) + 1 - (n - len(members))
-                if head <= 0:
-                    continue
-                order = np.lexsort((members, many))[:head]
-                out_members.append(members[order])
-                out_rows.append(np.full(len(order), k))
-                out_after.append(len(members) - 1 - np.arange(len(order)))
-            if out_rows:
-                rows = pa.array(np.concatenate(out_rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_members).view(np.int64)), batch.column("cid").take(rows), batch.column("n").take(rows), pa.array(np.concatenate(out_after).astype(np.int32))], ["member", "cid", "n", "after"]
-                )
+                if len(members) >= least_overlap(n, percent):
+                    order = np.lexsort((members, many))
+                    cids.append(cid)
+                    sizes.append(n)
+                    blobs.append(members[order].tobytes())
+                    counts.append(many[order].tobytes())
+                    weights.append(float(many.sum(dtype=np.int64)) / n)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary()), pa.array(weights, pa.float64())], ["cid", "n", "members", "many", "weight"])
 
     grouped = shared.groupBy("cid", "n").agg(F.collect_list(F.struct("members", "many")).alias("parts"))
-    return grouped.mapInArrow(run, "member long, cid long, n int, after int")
+    return grouped.mapInArrow(run, "cid binary, n int, members binary, many binary, weight double")
+
+
+def _prefixes(ranked: DataFrame, percent: int) -> DataFrame:
+    """(member, cid, n, after, weight): the head of every class in the global order, and how many members follow each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            blobs = [np.frombuffer(x, U) for x in batch.column("members").to_pylist()]
+            length = np.fromiter(map(len, blobs), np.int64, len(blobs))
+            head = np.maximum(0, length - least_overlap(n, percent) + 1)
+            rows = np.repeat(np.arange(len(blobs)), head)
+            after = length[rows] - 1 - (np.arange(len(rows)) - (np.cumsum(head) - head)[rows])
+            members = np.concatenate([x[:h] for x, h in zip(blobs, head.tolist(), strict=True)] or [np.zeros(0, U)])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), *(batch.column(c).take(take) for c in ("cid", "n", "weight")), pa.array(after.astype(np.int32))], ["member", "cid", "n", "weight", "after"])
+
+    return ranked.select("cid", "n", "members", "weight").mapInArrow(run, "member long, cid binary, n int, weight double, after int")
+
+
+def _parts(ranked: DataFrame) -> DataFrame:
+    """(f, cid, n, members): the classes' members cut by fragment of the global order (members that up to 2, 4, 8 ... classes hold), in each by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cid, n, blob, counts in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "members", "many")), strict=True):
+                members = np.frombuffer(blob, U)
+                fragment = np.ceil(np.log2(np.frombuffer(counts, np.uint8))).astype(np.int64)
+                edges = np.searchsorted(fragment, np.arange(10))
+                rows += [(int(f), cid, n, np.sort(members[edges[f] : edges[f + 1]]).tobytes()) for f in np.flatnonzero(np.diff(edges))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["f", "cid", "n", "members"])
+
+    return ranked.select("cid", "n", "members", "many").mapInArrow(run, "f int, cid binary, n int, members binary")
 
 
 def _enough(percent: int) -> str:
@@ -230,7 +310,7 @@ def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n1", "n2")] + [pa.array(common, pa.int64())], ["a", "b", "n1", "n2", "common"])
 
-    counted = pairs.join(left, "a").join(right, ["f", "b"]).select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long, n1 int, n2 int, common long")
+    counted = pairs.join(left, "a").join(right, ["f", "b"]).select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a binary, b binary, n1 int, n2 int, common long")
     return counted.groupBy("a", "b", "n1", "n2").agg(F.sum("common").alias("common")).where(f"(100 + {percent}) * common >= {percent}L * (n1 + n2)").select("a", "b")
 
 
@@ -240,12 +320,14 @@ def _labelled(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return prefixes.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def class_links(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFrame | None:
+def class_links(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(a, b): star edges of the components of linked classes."""
     roots = None
     for k in range(PIVOT_ROUNDS):
         rows = _labelled(prefixes, roots)
-        order = F.struct(F.xxhash64(F.lit(k), "cid"), "cid", "n", "after", "root")
+        # The most central class of the list; in later rounds, of one component of the list.
+        chance = F.xxhash64(F.lit(k), "root") if k else F.lit(0)
+        order = F.struct(chance, (-F.col("weight")).alias("central"), F.xxhash64("cid"), "cid", "n", "after", "root")
         lists = rows.groupBy("member").agg(F.min(order).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         lists = lists.select("member", F.col("p.cid").alias("c1"), F.col("p.n").alias("n1"), F.col("p.after").alias("after1"), F.col("p.root").alias("root1"))
         pairs = (
@@ -268,28 +350,38 @@ def class_links(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFram
     return stars(roots.unionByName(_linked(pairs, parts, percent)))
 
 
-def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def near_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, body (a hash of the text), n_shingles, component_id and first_body of every row of docs: the component's first row is that of component_id and first_body."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
     stats = settle(_stats(docs, n))
-    classes = settle(stats.where("n_shingles > 0").groupBy("cid", "digest").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
-    total, many, cids = classes.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0)), F.count("*"), F.count_distinct("cid")).first()
-    if many != cids:
-        raise ValueError("two sets share a 64-bit class id; use another seed")
-    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
-
-    shared = _packed(docs, fragments, n).groupBy("f").applyInPandas(_shared_counts, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
-    left = settle(classes.join(shared, "cid").where(f"100 * shared >= {percent} * n * rows").select(F.col("first").alias("doc_id"), "cid", "n"))
-    members = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(left.select("doc_id", "cid"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")).alias("first")
+    classes = settle(stats.where("n_shingles > 0").groupBy("cid", "short").agg(first, F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fragments = max(LEAST_FRAGMENTS, -(-total // (2 * FRAGMENT)))
+
+    shared = _packed(docs, fragments, n, percent).groupBy("f").applyInPandas(_shared_counts, "short long, shared long, instances long")
+    shared = shared.groupBy("short").agg(F.sum("shared").alias("shared"), F.sum("instances").alias("instances"))
+    # Classes that have their short id in common have a common count, and stay.
+    alike = F.count("*").over(Window.partitionBy("short")).alias("alike")
+    least = f"(({percent} * n + 99) div 100)"
+    left = classes.select("short", "cid", "n", F.xxhash64("first.doc_id", "first.body").alias("row"), alike).join(shared, "short")
+    left = settle(left.where(f"alike > 1 OR shared >= instances * greatest(1, {least} div 4)").select("row", "cid", "n"))
+    rows, members = left.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asked = left.select("row", "cid")
+    texts = docs.select(F.xxhash64("doc_id", "body").alias("row"), F.col("text").cast("binary").alias("text")).join(F.broadcast(asked) if rows <= BROADCAST_ROWS else asked, "row")
     sets = settle(_sets(texts, n).dropDuplicates(["cid"]))
-    by_fragment = _sliced(sets, max(LEAST_FRAGMENTS, -(-members // FRAGMENT)))
-    frequencies = by_fragment.groupBy("f").applyInPandas(_frequencies, "cid long, n int, members binary, many binary")
-    prefixes = settle(_prefixes(frequencies, percent))
-    parts = settle(_sliced(sets, PARTS))
-    links = class_links(prefixes, parts, percent)
+    frequencies = _sliced(sets, max(LEAST_FRAGMENTS, -(-members // FRAGMENT))).groupBy("f").applyInPandas(_frequencies, "cid binary, n int, members binary, many binary")
+    ranked = settle(_ranked(frequencies, percent))
+    links = class_links(settle(_prefixes(ranked, percent)), settle(_parts(ranked)), percent)
     roots = links.select(F.col("a").alias("cid"), F.col("b").alias("root"))
     named = classes.join(roots, "cid", "left").select("cid", "first", "rows", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "component_id")
-    labels = named.join(least, "root").select("cid", "component_id")
-    return stats.join(labels.hint("merge"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least_row = named.groupBy("root").agg(F.min("first").alias("least"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "least")
+    labels = named.join(least_row, "root").select("cid", "least")
+    return stats.join(labels.hint("merge"), "cid", "left").select(
+        "doc_id", "body", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), F.when(F.col("least").isNull(), F.col("body")).otherwise(F.col("least.body")).alias("first_body")
+    )
+
+
+def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs."""
+    return near_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")

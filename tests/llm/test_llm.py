@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -279,6 +280,44 @@ def test_ngram_join(spark, texts):
     assert len(set(least.values())) < len(texts) - 8
 
 
+def test_ngram_join_of_rows_without_or_with_one_doc_id_and_of_many_near_copies(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(150)]
+
+    def copy(changes, shift=0):
+        own = list(base)
+        for _ in range(changes):
+            own[shift + draw.randrange(150 - shift)] = word()
+        return " ".join(own)
+
+    other, unrelated = " ".join(word() for _ in range(90)), " ".join(word() for _ in range(60))
+    rows = [(k + 10, copy(draw.randint(0, 9))) for k in range(500)]
+    rows += [(None, copy(1)), (None, other), (7, other + " end"), (7, unrelated), (None, unrelated + " x y"), (None, " ".join(word() for _ in range(30)))]
+    sets = []
+    for _, text in rows:
+        own = text.split()
+        sets.append({tuple(own[i : i + 5]) for i in range(len(own) - 4)})
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), math.inf), math.inf if i is None else i)
+    want = Counter((i, len(sets[k]), None if least[find(k)] == math.inf else least[find(k)]) for k, (i, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(df).collect())
+    assert got == want and any(i is None and c is not None for i, _, c in got)
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(35)]
@@ -311,6 +350,26 @@ def test_language_id_edges_and_spans(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_viterbi_is_the_best_of_all_labellings():
+    draw = np.random.default_rng(3)
+    counts = np.array([5, 1, 4, 0, 3])
+    scores = draw.normal(size=(counts.sum(), 3)).astype(np.float32) * 2
+    prior, starts = np.array([0.1, -0.4, 0.0]), np.cumsum(counts) - counts
+    got = language_id.viterbi(scores, starts, counts, prior, 1.5)
+    for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        value = lambda path: prior[path[0]] + sum(scores[start + t, k] for t, k in enumerate(path)) - 1.5 * sum(a != b for a, b in itertools.pairwise(path))  # noqa: B023, E731
+        if n:
+            best = max(value(path) for path in itertools.product(range(3), repeat=n))
+            assert math.isclose(value(got[start : start + n].tolist()), best, abs_tol=1e-4)
+
+
+def test_two_hundred_languages():
+    many = 200
+    scores = np.zeros((6, many), np.float32)
+    scores[:, 150] = 9
+    assert set(language_id.viterbi(scores, np.array([0, 3]), np.array([3, 3]), np.zeros(many), 2.0).tolist()) == {150}
+
+
 # 7
 
 
