@@ -5,8 +5,10 @@ is written as Parquet and read again as the next one's docs. All but the last
 return the columns of documents.
 
 Defined results: rows with a null text are rejected by the first stage; a row
-with a null doc_id stays in the stages that can't name it (line dedup and the
-join). Repeated rows are treated alike. Other columns pass through.
+with a null doc_id keeps all its lines in line dedup, and counts as greater than
+any other in the join. Of rows that have doc_id and text in common the join
+keeps one; rows that share a doc_id alone are apart. Other columns pass through.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauplane.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
@@ -22,29 +24,48 @@ from tauplane.llm.common import documents, settle, table
 
 #: A document's language must hold this share of its letters.
 SHARE = 0.5
-#: Doc_ids that a join broadcasts at most.
+#: Rows that a join broadcasts at most (16 bytes each).
 BROADCAST = 100_000
 
 
+def _packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep..., text, and the other columns as one, so that no name of theirs clashes with an operator's."""
+    return docs.select(*keep, "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+
+
+def _unpacked(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of docs, with that text."""
+    return [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, and with a language that holds SHARE of them."""
     model = language_id.fit(docs.select("text", "lang"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return language_id.predict(rows, model, "_row").where((F.col("lang_pred") != "und") & (F.col("share") >= SHARE)).select("_row.*")
+    found = language_id.predict(_packed(docs), model, "_row", "text").where((F.col("lang_pred") != "und") & (F.col("share") >= SHARE))
+    return found.select(*_unpacked(docs, F.col("text").cast("string")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs; those of which nothing is left go."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    out = line_dedup.clean_lines(rows, long_repeats=line_dedup.LONG_REPEATS).where("n_lines > n_dropped").select("_row.*", F.col("text").alias("_text"))
-    changed = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(docs.columns)
+    kept = line_dedup.clean_lines(_packed(docs, "doc_id"), long_repeats=line_dedup.LONG_REPEATS).where("n_lines > n_dropped")
+    out = kept.select(*_unpacked(docs, F.col("text")))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of linked documents."""
-    gone = settle(ngram_join.near_groups(docs).where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(gone.hint("broadcast") if gone.count() <= BROADCAST else gone, "doc_id", "left_anti").select(docs.columns)
+    """The first row of every group of linked documents: the one of the smallest doc_id, of rows that share it that of the smallest hash of the text.
+
+    Rows are known by doc_id and text. Of rows that have both in common, any one stays.
+    """
+    rows = ngram_join.near_rows(docs)
+    keys = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
+    first = F.first((F.col("component_id").eqNullSafe(F.col("doc_id"))) & (F.col("first_body") == F.col("body"))).alias("_first")
+    known = settle(keys.agg(first, F.count("*").alias("_rows")).where("NOT _first OR _rows > 1"))
+    known = known.hint("broadcast") if known.count() <= BROADCAST else known
+    same = F.expr("CAST(d.doc_id AS BIGINT) <=> k._id AND xxhash64(coalesce(d.text, '')) = k._body")
+    marked = docs.alias("d").join(known.alias("k"), same, "left").where("coalesce(k._first, true)")
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    return marked.where("k._rows IS NULL").select(columns).unionByName(marked.where("k._rows IS NOT NULL").select(columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
