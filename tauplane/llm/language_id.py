@@ -34,8 +34,8 @@ from .common import MEMO_WORDS, mix, slices, with_bytes
 
 BUCKETS, TABLE, MOST_LANGUAGES = 1 << 17, 1 << 23, 1 << 12
 GRAMS, PENALTY, WEIGHT = (1, 2, 3, 4), 8.0, 0.5
-#: Words whose scores a Python worker remembers before it starts anew, by number of scores.
-REMEMBERED = 1 << 20
+#: Scores of words that a Python worker remembers before it starts anew; words that it cuts into n-grams at once; bytes of text in a piece.
+REMEMBERED, AT_ONCE, PIECE = 1 << 20, 1 << 14, 2_000_000
 #: A language is a candidate for a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 U = np.uint64
@@ -112,11 +112,13 @@ def fit(labelled: DataFrame) -> Model:
 
         def drain(lang: str) -> None:
             own = words.pop(lang)
-            of, buckets, script, letters = word_grams(list(own), size)
-            counts = np.fromiter(own.values(), np.int64, len(own))
+            every, numbers = list(own), np.fromiter(own.values(), np.int64, len(own))
             total = totals.setdefault(lang, np.zeros(length, np.int64))
-            total[:size] += np.bincount(buckets, counts[of], size).astype(np.int64)
-            total[size:-1] += np.bincount(script, counts * letters, len(NAMES)).astype(np.int64)
+            for start in range(0, len(every), AT_ONCE):
+                counts = numbers[start : start + AT_ONCE]
+                of, buckets, script, letters = word_grams(every[start : start + AT_ONCE], size)
+                total[:size] += np.bincount(buckets, counts[of], size).astype(np.int64)
+                total[size:-1] += np.bincount(script, counts * letters, len(NAMES)).astype(np.int64)
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -163,23 +165,28 @@ class Scorer:
                 room = 2 * len(ids)
                 self.scores = np.concatenate([self.scores[: self.known], np.zeros((room - self.known, self.scores.shape[1]), np.float32)])
                 self.letters = np.concatenate([self.letters[: self.known], np.zeros(room - self.known, np.int32)])
-            of, buckets, script, letters = word_grams(fresh, len(self.model.table))
-            new = np.zeros((len(fresh), self.scores.shape[1]), np.float32)
-            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
-            order = np.argsort(of, kind="stable")
-            of, buckets = of[order], buckets[order]
-            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
-            for k in range(new.shape[1]):
-                if len(heads):
-                    new[of[heads], k] = WEIGHT * np.add.reduceat(self.model.table[buckets, k], heads)
-            allowed = self.model.allowed[script]
-            new -= new.max(1, keepdims=True)
-            new[~allowed & allowed.any(1, keepdims=True)] -= 50
-            new[~allowed.any(1)] = 0
-            self.scores[self.known : len(ids)], self.letters[self.known : len(ids)] = new, letters
+            for start in range(0, len(fresh), AT_ONCE):
+                part = fresh[start : start + AT_ONCE]
+                first = self.known + start
+                self.scores[first : first + len(part)], self.letters[first : first + len(part)] = self._scored(part)
             self.known = len(ids)
         return flat
 
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        of, buckets, script, letters = word_grams(words, len(self.model.table))
+        new = np.zeros((len(words), self.scores.shape[1]), np.float32)
+        order = np.argsort(of, kind="stable")
+        of, buckets = of[order], buckets[order]
+        heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        for k in range(new.shape[1]):
+            if len(heads):
+                new[of[heads], k] = WEIGHT * np.add.reduceat(self.model.table[buckets, k], heads)
+        allowed = self.model.allowed[script]
+        new -= new.max(1, keepdims=True)
+        new[~allowed & allowed.any(1, keepdims=True)] -= 50
+        new[~allowed.any(1)] = 0
+        return new, letters
+
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, prior: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of every word; all texts advance together, a word at a time."""
@@ -222,7 +229,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         scorer, many = Scorer(own), len(own.languages)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             texts = [x.decode(errors="replace").lower().split() for x in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, texts), np.int64, len(texts))
             if not many or not counts.sum():
