@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, with_bytes
+from .common import frugal, slices, with_bytes
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
 MEMO_PIECES, MEMO_BYTES = 300_000, 64
@@ -262,7 +262,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
                 [batch.column(k) for k in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.binary())], [*keep, "ids", "decoded"]
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -276,4 +276,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_bytes(docs, "doc_id").mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

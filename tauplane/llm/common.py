@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -128,6 +130,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
             start = stop
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives its memory back: Spark keeps workers for the tasks to come, also while it needs none."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return all_of
+
+
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 bytes (null: empty)."""
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -151,6 +167,6 @@ def summed(source: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None
         return pd.DataFrame({"part": group["part"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in group["counts"]).tobytes()]})
 
     out = np.zeros((parts, padded // parts), np.int64)
-    for row in source.mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():  # one row for each part
+    for row in source.mapInArrow(frugal(run), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect():  # one row for each part
         out[row["part"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)[:length]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import MEMO_WORDS, mix, slices, with_bytes
+from .common import MEMO_WORDS, frugal, mix, slices, with_bytes
 
 BUCKETS, TABLE, MOST_LANGUAGES = 1 << 17, 1 << 23, 1 << 12
 GRAMS, PENALTY, WEIGHT = (1, 2, 3, 4), 8.0, 0.5
@@ -132,7 +132,7 @@ def fit(labelled: DataFrame) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "at", "many"])
 
-    counts = with_bytes(labelled, "lang").mapInArrow(run, "lang string, at int, many long").groupBy("lang", "at").agg(F.sum("many").alias("many")).toArrow()
+    counts = with_bytes(labelled, "lang").mapInArrow(frugal(run), "lang string, at int, many long").groupBy("lang", "at").agg(F.sum("many").alias("many")).toArrow()
     names, at, many = counts.column("lang").to_pylist(), counts.column("at").to_numpy(), counts.column("many").to_numpy()
     rows = {lang: np.zeros(length) for lang in set(names)}
     order = {lang: k for k, lang in enumerate(rows)}
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> D
     schema = StructType([StructField(c, source.schema[c].dataType) for c in keep])
     schema = schema.add("lang_pred", "string").add("score", "double").add("share", "double")
     if spans:
-        schema = schema.add("spans", ArrayType(StructType().add("first", "int").add("words", "int").add("lang", "string")))
+        schema = schema.add("spans", ArrayType(StructType().add("first", "integer").add("words", "integer").add("lang", "string")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, spans: bool = False) -> D
                 columns.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "share"] + ["spans"] * spans)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def remainder(n: int):

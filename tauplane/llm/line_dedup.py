@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, WordHashes, mix, powers, settle, slices
+from .common import BASE, INVERSE, WordHashes, frugal, mix, powers, settle, slices
 
 REPEATS, LONG_REPEATS, LEADING, BLOCKS, LEAST = 10, 3, 2, 4, 8
 #: Recurring templates that are sent to every executor at most (16 bytes each); more are joined by document.
@@ -112,7 +112,7 @@ def recurring(docs: DataFrame, repeats: int, long_repeats: int) -> DataFrame:
             least = pa.array([None if x == np.inf else int(x) for x in least.tolist()], pa.int64()) if ids.dtype.kind == "f" else pa.array(least.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(template[heads].view(np.int64)), pa.array(many.astype(np.int64)), least, pa.array(long[heads])], ["template", "many", "least", "long"])
 
-    rows = _named(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(run, "template long, many long, least long, long boolean")
+    rows = _named(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(frugal(run), "template long, many long, least long, long boolean")
     counted = rows.groupBy("template").agg(F.sum("many").alias("many"), F.min("least").alias("owner"), F.max("long").alias("long"))
     return counted.where(F.col("many") >= F.when(F.col("long"), long_repeats).otherwise(repeats)).select("template", "owner")
 
@@ -172,7 +172,7 @@ def clean_lines(docs: DataFrame, repeats: int = REPEATS, long_repeats: int | Non
             tree = Tree(*sent.value)
             yield from clean(batches, lambda _: tree)
 
-        out = named.mapInArrow(run, schema)
+        out = named.mapInArrow(frugal(run), schema)
     else:
         # Each document gets the recurring templates among its own.
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def clean_lines(docs: DataFrame, repeats: int = REPEATS, long_repeats: int | Non
                 keep = template != 0
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text[keep])), pa.array(template[keep].view(np.int64))], ["doc_id", "template"])
 
-        held = named.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(hold, "doc_id long, template long")
+        held = named.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).mapInArrow(frugal(hold), "doc_id long, template long")
         lists = held.join(found, "template").groupBy("doc_id").agg(F.collect_set(F.struct("template", "owner")).alias("_recurring"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def clean_lines(docs: DataFrame, repeats: int = REPEATS, long_repeats: int | Non
 
             yield from clean(batches, tree_of)
 
-        out = named.join(lists, "doc_id", "left").mapInArrow(run, schema)
+        out = named.join(lists, "doc_id", "left").mapInArrow(frugal(run), schema)
     return out.withColumn("text", F.col("text").cast("string"))
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, WordHashes, mix, settle, slices, with_bytes
+from .common import MEMO_WORDS, WordHashes, frugal, mix, settle, slices, with_bytes
 from .components import stars
 
 N, PERCENT = 5, 75
@@ -111,7 +111,7 @@ def _stats(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column("doc_id"), batch.column("body"), pa.array(counts, pa.int64()), pa.array(short_id(digests), pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "body", "n_shingles", "short", "cid"]
             )
 
-    return with_bytes(docs, "doc_id", "body").mapInArrow(run, "doc_id long, body long, n_shingles long, short long, cid binary")
+    return with_bytes(docs, "doc_id", "body").mapInArrow(frugal(run), "doc_id long, body long, n_shingles long, short long, cid binary")
 
 
 def _cut(values: np.ndarray, fragments: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def _packed(docs: DataFrame, fragments: int, n: int, percent: int) -> DataFrame:
                 rows.append((int(f), low[part].tobytes(), ids[owner[part][heads]].tobytes(), np.diff(np.r_[heads, edges[f + 1] - edges[f]]).astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["f", "members", "shorts", "counts"])
 
-    return with_bytes(docs).mapInArrow(run, "f int, members binary, shorts binary, counts binary")
+    return with_bytes(docs).mapInArrow(frugal(run), "f int, members binary, shorts binary, counts binary")
 
 
 def _shared_counts(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -197,7 +197,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
             blobs = [members[ends[k] - counts[k] : ends[k]].tobytes() for k in mine]
             yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in mine], pa.binary()), pa.array(counts[mine].astype(np.int32)), pa.array(blobs, pa.binary())], ["cid", "n", "members"])
 
-    return texts.mapInArrow(run, "cid binary, n int, members binary")
+    return texts.mapInArrow(frugal(run), "cid binary, n int, members binary")
 
 
 def _sliced(sets: DataFrame, fragments: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _sliced(sets: DataFrame, fragments: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["f", "cid", "n", "members"])
 
-    return sets.mapInArrow(run, "f int, cid binary, n int, members binary")
+    return sets.mapInArrow(frugal(run), "f int, cid binary, n int, members binary")
 
 
 def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +253,7 @@ def _ranked(shared: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary()), pa.array(weights, pa.float64())], ["cid", "n", "members", "many", "weight"])
 
     grouped = shared.groupBy("cid", "n").agg(F.collect_list(F.struct("members", "many")).alias("parts"))
-    return grouped.mapInArrow(run, "cid binary, n int, members binary, many binary, weight double")
+    return grouped.mapInArrow(frugal(run), "cid binary, n int, members binary, many binary, weight double")
 
 
 def _prefixes(ranked: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _prefixes(ranked: DataFrame, percent: int) -> DataFrame:
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), *(batch.column(c).take(take) for c in ("cid", "n", "weight")), pa.array(after.astype(np.int32))], ["member", "cid", "n", "weight", "after"])
 
-    return ranked.select("cid", "n", "members", "weight").mapInArrow(run, "member long, cid binary, n int, weight double, after int")
+    return ranked.select("cid", "n", "members", "weight").mapInArrow(frugal(run), "member long, cid binary, n int, weight double, after int")
 
 
 def _parts(ranked: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _parts(ranked: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["f", "cid", "n", "members"])
 
-    return ranked.select("cid", "n", "members", "many").mapInArrow(run, "f int, cid binary, n int, members binary")
+    return ranked.select("cid", "n", "members", "many").mapInArrow(frugal(run), "f int, cid binary, n int, members binary")
 
 
 def _enough(percent: int) -> str:
@@ -310,7 +310,7 @@ def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n1", "n2")] + [pa.array(common, pa.int64())], ["a", "b", "n1", "n2", "common"])
 
-    counted = pairs.join(left, "a").join(right, ["f", "b"]).select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a binary, b binary, n1 int, n2 int, common long")
+    counted = pairs.join(left, "a").join(right, ["f", "b"]).select("a", "b", "n1", "n2", "left", "right").mapInArrow(frugal(run), "a binary, b binary, n1 int, n2 int, common long")
     return counted.groupBy("a", "b", "n1", "n2").agg(F.sum("common").alias("common")).where(f"(100 + {percent}) * common >= {percent}L * (n1 + n2)").select("a", "b")
 
 

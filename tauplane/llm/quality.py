@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LineOfWords, mix, settle, slices, summed, with_bytes
+from .common import LineOfWords, frugal, mix, settle, slices, summed, with_bytes
 
 BUCKETS, PRIOR, FIT, SEED = 1 << 17, 10.0, 20_000, 20_240_607
 U = np.uint64
@@ -88,7 +88,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "body", "n_grams", "log_weight"])
 
     source = with_bytes(docs.withColumn("body", F.xxhash64(F.coalesce("text", F.lit("")))), "doc_id", "body")
-    return source.mapInArrow(run, "doc_id long, body long, n_grams long, log_weight double")
+    return source.mapInArrow(frugal(run), "doc_id long, body long, n_grams long, log_weight double")
 
 
 def keyed(rows: DataFrame, seed: int = SEED) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LineOfWords, mix, settle, slices, summed, with_bytes
+from .common import LineOfWords, frugal, mix, settle, slices, summed, with_bytes
 
 LEAST, FIT, SEED = 16, 20_000, 7
 TREES, DEPTH, LEAF, BINS = 24, 8, 4, 32
@@ -160,7 +160,7 @@ def findings(docs: DataFrame, known: Corpus) -> DataFrame:
                 ["doc_id", "start", "length", "value_sha256", "features", "label"],
             )
 
-    return with_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, start long, length int, value_sha256 string, features array<float>, label boolean")
+    return with_bytes(docs, "doc_id").mapInArrow(frugal(run), "doc_id long, start long, length int, value_sha256 string, features array<float>, label boolean")
 
 
 def labelled_findings(found: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def scored(found: DataFrame, forest: Forest) -> DataFrame:
             score = sent.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "length", "value_sha256")] + [pa.array(score), pa.array(score >= 0.5)], ["doc_id", "start", "length", "value_sha256", "score", "is_secret"])
 
-    return found.select("doc_id", "start", "length", "value_sha256", "features").mapInArrow(run, "doc_id long, start long, length int, value_sha256 string, score double, is_secret boolean")
+    return found.select("doc_id", "start", "length", "value_sha256", "features").mapInArrow(frugal(run), "doc_id long, start long, length int, value_sha256 string, score double, is_secret boolean")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, WordHashes, mix, powers, settle, slices
+from .common import BASE, INVERSE, WordHashes, frugal, mix, powers, settle, slices
 
 WINDOW = 50
 ROUNDS = 4
@@ -160,7 +160,7 @@ def _shared_keys(docs: DataFrame, size: int, rounds: int) -> Iterator[pa.RecordB
             text = pa.array(text[fresh])
             yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), batch.column("doc_id").take(text), batch.column("body").take(text)], ["key", "doc_id", "body"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, body long")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(frugal(run), "key long, doc_id long, body long")
 
 
 def _windows(candidates: DataFrame, size: int, rounds: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _windows(candidates: DataFrame, size: int, rounds: int) -> DataFrame:
                 ["print", "check", "doc_id", "body", "at"],
             )
 
-    return candidates.mapInArrow(run, "print long, check int, doc_id long, body long, at int")
+    return candidates.mapInArrow(frugal(run), "print long, check int, doc_id long, body long, at int")
 
 
 def repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -239,4 +239,4 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, t
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(left, pa.string())] * texts
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return rows.mapInArrow(frugal(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)

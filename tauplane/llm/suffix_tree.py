@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LineOfWords, mix, settle, slices, with_bytes
+from .common import BASE, LineOfWords, frugal, mix, settle, slices, with_bytes
 from .language_id import remainder
 
 LEAST, DEPTH, DISCOUNT = 2, 3, 0.5
@@ -200,7 +200,7 @@ def _counts(train: DataFrame, fragments: int, least: int) -> DataFrame:
         pre, suf = (_joined(table, c, U)[first].view(np.int64) if k else np.zeros(len(first), np.int64) for c in ("pres", "sufs"))
         return pa.table({"size": pa.array(np.full(len(first), k + 1, np.int32)), "key": pa.array(keys[first].view(np.int64)), "pre": pa.array(pre), "suf": pa.array(suf), "n": pa.array(n[stay])})
 
-    return settle(train.mapInArrow(scatter, "f int, keys binary, pres binary, sufs binary, many binary").groupBy("f").applyInArrow(gather, "size int, key long, pre long, suf long, n long"))
+    return settle(train.mapInArrow(frugal(scatter), "f int, keys binary, pres binary, sufs binary, many binary").groupBy("f").applyInArrow(gather, "size int, key long, pre long, suf long, n long"))
 
 
 def _numbers(counts: DataFrame, tokens: int, kinds: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
     schema = "f int, piece long, texts_n long, keys binary, texts_of binary, texts binary, times binary, ids binary, named binary, train binary, tokens binary"
     fragment = F.shiftrightunsigned("key", 32) * F.lit(fragments)
     tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "base", "v")
-    packed = rows.mapInArrow(scatter, schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary")
+    packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary")
     return packed.groupBy("piece").applyInArrow(add, "doc_id long, train boolean, n_tokens long, n_known long, logs double, added double")
 
 
