@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import frugal, slices, with_bytes
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
-MEMO_PIECES, MEMO_BYTES = 300_000, 64
-#: Pieces whose trees are held at a time.
-SIDE_BY_SIDE = 20_000
+MEMO_PIECES, MEMO_BYTES = 200_000, 64
+#: Leaves of the trees that are held at a time, in all pieces.
+SIDE_BY_SIDE = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -212,8 +212,9 @@ class Codec:
             elif len(data) <= MEMO_BYTES:
                 by_depth.setdefault((len(data) - 1).bit_length(), []).append(piece)
         for depth, own in by_depth.items():
-            for first in range(0, len(own), SIDE_BY_SIDE):
-                part = own[first : first + SIDE_BY_SIDE]
+            at_once = SIDE_BY_SIDE >> depth
+            for first in range(0, len(own), at_once):
+                part = own[first : first + at_once]
                 ids, counts = self.trees.merge([p.encode() for p in part], depth)
                 ids, ends = ids.tolist(), np.cumsum(counts).tolist()
                 self.memo.update((p, tuple(ids[a:b])) for p, a, b in zip(part, [0, *ends], ends, strict=False))

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: White space of the contracts: blank and U+0009 to U+000D. bytes.split() and bytes.lower() follow exactly these ASCII rules.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless one row has more.
+BATCH = "4m"
+
 #: Words whose hashes a Python worker remembers before it starts anew.
 MEMO_WORDS = 400_000
 
@@ -131,7 +134,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives its memory back: Spark keeps workers for the tasks to come, also while it needs none."""
+    """run, after which the worker gives its memory back: Spark keeps workers for the tasks to come, also while it needs none.
+
+    The session's Arrow batches are bounded in bytes from here on: 10,000 rows of long texts would be a batch of any size.
+    """
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
