@@ -47,6 +47,8 @@ from .language_id import remainder
 LEAST, DEPTH, DISCOUNT = 2, 3, 0.5
 #: Bytes of text whose n-grams of one length make a fragment, and fragments of a length at least.
 FRAGMENT, LEAST_FRAGMENTS = 12_000_000, 16
+#: What has this share of all tokens is heavy: it is broadcast, 1 / HEAVY words and n-grams of each length at most.
+HEAVY = 1e-4
 U = np.uint64
 #: In memory, a symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
 MOST_SYMBOLS = 1 << 16
@@ -231,20 +233,46 @@ def _numbers(counts: DataFrame, tokens: int, kinds: int) -> DataFrame:
     return union.groupBy("size", "key").agg(F.max("base").alias("base"), F.sum("v").alias("v"))
 
 
-def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams."""
-    columns = ["f", "piece", "texts_n", "keys", "texts_of", "texts", "times", "ids", "named", "train", "tokens"]
+def _heavy(counts: DataFrame, numbers: DataFrame, tokens: int, share: float = HEAVY) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size, the sorted keys of what is that share of all tokens, their v and base; 1 / share of each at most."""
+    often = counts.where(F.col("n") >= max(1.0, share * tokens)).select("size", "key")
+    found = often.join(numbers, ["size", "key"], "left").select("size", "key", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("base", F.lit(0.0)).alias("base")).toArrow()  # (DEPTH + 1) / share rows at most
+    size, key, v, base = (found.column(c).to_numpy() for c in ("size", "key", "v", "base"))
+    out = []
+    for k in range(1, DEPTH + 2):
+        own = np.flatnonzero(size == k)
+        own = own[np.argsort(key[own].view(U))]
+        out.append((key[own].view(U), v[own], base[own]))
+    return out
+
+
+def _sums(rows: DataFrame, numbers: DataFrame, heavy: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fragments: int) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams.
+
+    What is heavy is summed where a text is read, so a word that all texts have isn't sent for each.
+    """
+    columns = ["f", "piece", "texts_n", "keys", "texts_of", "texts", "times", "ids", "named", "train", "tokens", "own"]
+    sent = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             keys, text_of, place, n = _keys(batch.column("text").to_pylist())
             doc_ids = batch.column("doc_id")
-            # What is known of the texts goes with one fragment of the piece.
             about = (doc_ids.fill_null(0).to_numpy().tobytes(), doc_ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes(), n.astype(np.int64).tobytes())
-            out = []
+            out, local = [], np.zeros((3, len(n)))
             for k in range(DEPTH + 1):
                 at = np.flatnonzero(place >= k)
+                often, v, base = sent.value[k]
+                if len(often):
+                    known = np.minimum(np.searchsorted(often, keys[k][at]), len(often) - 1)
+                    hit = often[known] == keys[k][at]
+                    text, known = text_of[at[hit]], known[hit]
+                    local[0] += np.bincount(text, v[known], len(n))
+                    if k == 0:
+                        local[1] += np.bincount(text, base[known], len(n))
+                        local[2] += np.bincount(text, minlength=len(n))
+                    at = at[~hit]
                 at = at[np.argsort(keys[k][at], kind="stable")]
                 key, text = keys[k][at], text_of[at]
                 head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
@@ -253,8 +281,10 @@ def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
                 for f, a, z in _by_fragment(key, fragments):
                     new = np.flatnonzero(np.r_[True, key[a + 1 : z] != key[a : z - 1]])
                     packed = (key[a:z][new].tobytes(), np.diff(np.r_[new, z - a]).astype(np.uint32).tobytes(), text[a:z].tobytes(), times[a:z].tobytes())
-                    out.append((f * (DEPTH + 1) + k, piece, len(n), *packed, *(about if not out else (None,) * 4)))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
+                    out.append((f * (DEPTH + 1) + k, piece, len(n), *packed, *[None] * 5))
+            # What is known of the texts goes apart from the fragments, by piece.
+            out.append((-1 - (piece ^ (piece >> 32)) % fragments, piece, len(n), *[b""] * 4, *about, local.tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 9]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], columns)
             piece += 1
 
@@ -275,13 +305,14 @@ def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
             sums = [np.bincount(local, times * v[at], len(found))]
             if r["f"] % (DEPTH + 1) == 0:
                 sums += [np.bincount(local, times * base[at], len(found)), np.bincount(local, times, len(found))]
-            out.append((r["piece"], r["texts_n"], found.astype(np.uint32).tobytes(), np.concatenate(sums).tobytes(), r["ids"], r["named"], r["train"], r["tokens"]))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        names = ["piece", "texts_n", "texts", "sums", "ids", "named", "train", "tokens"]
+            out.append((r["piece"], r["texts_n"], found.astype(np.uint32).tobytes(), np.concatenate(sums).tobytes(), r["ids"], r["named"], r["train"], r["tokens"], r["own"]))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+        names = ["piece", "texts_n", "texts", "sums", "ids", "named", "train", "tokens", "own"]
         return pa.table({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((3, table.column("texts_n")[0].as_py()))
+        own = next(x for x in table.column("own").to_pylist() if x is not None)
+        total = np.frombuffer(own).reshape(3, -1).copy()
         for texts, sums in zip(table.column("texts").to_pylist(), table.column("sums").to_pylist(), strict=True):
             where = np.frombuffer(texts, np.uint32)
             own = np.frombuffer(sums).reshape(-1, len(where)) if len(where) else np.zeros((1, 0))
@@ -292,10 +323,10 @@ def _sums(rows: DataFrame, numbers: DataFrame, fragments: int) -> DataFrame:
             "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "logs": pa.array(total[1]), "added": pa.array(total[0]),
         })
 
-    schema = "f int, piece long, texts_n long, keys binary, texts_of binary, texts binary, times binary, ids binary, named binary, train binary, tokens binary"
+    schema = "f int, piece long, texts_n long, keys binary, texts_of binary, texts binary, times binary, ids binary, named binary, train binary, tokens binary, own binary"
     fragment = F.shiftrightunsigned("key", 32) * F.lit(fragments)
     tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "base", "v")
-    packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary")
+    packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary, own binary")
     return packed.groupBy("piece").applyInArrow(add, "doc_id long, train boolean, n_tokens long, n_known long, logs double, added double")
 
 
@@ -307,7 +338,8 @@ def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT))
     counts = _counts(with_bytes(named.where("train")), fragments, least)
     tokens, kinds = counts.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sums = _sums(with_bytes(named, "doc_id", "train"), _numbers(counts, tokens, kinds), fragments)
+    numbers = settle(_numbers(counts, tokens, kinds))
+    sums = _sums(with_bytes(named, "doc_id", "train"), numbers, _heavy(counts, numbers, tokens), fragments)
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(float(np.log10(0.5)))
     base = F.col("logs") + unknown - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))
     return sums.select(
