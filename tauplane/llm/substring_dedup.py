@@ -39,6 +39,8 @@ from .common import BASE, INVERSE, WordHashes, frugal, mix, powers, settle, slic
 
 WINDOW = 50
 ROUNDS = 4
+#: Shared representatives and repeated windows that are broadcast at most (8 and 20 bytes each); beyond that they are joined by a shuffle, whose skewed partitions Spark splits.
+BROADCAST = 500_000
 
 U = np.uint64
 
@@ -188,6 +190,15 @@ def _windows(candidates: DataFrame, size: int, rounds: int) -> DataFrame:
     return candidates.mapInArrow(frugal(run), "print long, check int, doc_id long, body long, at int")
 
 
+def _found(shared: DataFrame) -> DataFrame:
+    """shared, written and ready to be joined to rows of which one key may have very many.
+
+    Were it joined as it comes from its aggregate, Spark couldn't split a skewed partition.
+    """
+    shared = settle(shared)
+    return F.broadcast(shared) if shared.count() <= BROADCAST else shared
+
+
 def repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, body, whole, starts: for rows with something to remove, whether that is the whole text, or else the starts of repeated windows (in words)."""
     ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -197,10 +208,10 @@ def repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFr
     copies = settle(texts.join(owners, "digest").where("doc_id > owner").select("doc_id", "body").distinct())
 
     keys = settle(_shared_keys(named, size, rounds)).join(copies, ["doc_id", "body"], "left_anti")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    shared = _found(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"))
     suspects = keys.join(shared, "key").groupBy("doc_id", "body").agg(F.collect_set("key").alias("keys"))
     windows = settle(_windows(named.join(suspects, ["doc_id", "body"]), size, rounds))
-    firsts = windows.groupBy("print", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "check", "low")
+    firsts = _found(windows.groupBy("print", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "check", "low"))
     starts = windows.join(firsts, ["print", "check"]).where("doc_id > low").groupBy("doc_id", "body").agg(F.collect_set("at").alias("starts"))
     return starts.select("doc_id", "body", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "body", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")))
 
