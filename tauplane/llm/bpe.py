@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from .common import frugal, slices, with_bytes
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
-MEMO_PIECES, MEMO_BYTES = 200_000, 64
+MEMO_PIECES, MEMO_BYTES = 60_000, 64
 #: Leaves of the trees that are held at a time, in all pieces.
 SIDE_BY_SIDE = 1 << 18
+#: Bytes of text that are encoded at a time.
+PIECE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -257,7 +259,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             ids = own.encode_all([x.decode() for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.binary())], [*keep, "ids", "decoded"]
@@ -271,7 +273,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             found = own.digests([text.decode() for text in batch.column("text").to_pylist()])
             n, of_ids, of_bytes = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
