@@ -497,6 +497,16 @@ def test_exact_dedup(spark, texts):
             assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, len(ids), k == keep, hashlib.sha256(norm.encode()).hexdigest())
 
 
+def test_exact_dedup_keeps_one_of_rows_with_one_doc_id_and_spreads_many_runs(spark):
+    rows = [(5, "a b"), (5, "ab"), (None, "a  b"), (7, "a\tb"), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for runs in (None, 1, 7, 300):
+        out = exact_dedup.exact_groups(df, runs).collect()
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["points"], r["keep_id"] or -1, r["group_size"], r["kept"]) for r in out)
+        # The longest text stays, whether its row has a doc_id or not.
+        assert got == [(False, 5, 2, -1, 4, False), (False, 5, 3, -1, 4, False), (False, 7, 3, -1, 4, False), (False, 8, 0, 8, 2, True), (True, 0, 0, 8, 2, False), (True, 0, 4, -1, 4, True)]
+
+
 # All
 
 
@@ -526,5 +536,28 @@ def test_nulls_repeats_and_clashing_columns(spark, name):
     df = spark.createDataFrame(rows, SCHEMA)
     for clash in ("score", "key", "body", "run", "label", "members", "_c", "n_lines", "row", "kept", "h"):
         df = df.withColumn(clash, F.lit("x"))
-    out = OPERATORS[name](df)
-    assert out.count() == (len(rows) if name in PER_ROW else out.count())
+    out = OPERATORS[name](df).collect()
+    if name in PER_ROW:
+        assert len(out) == len(rows) and Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    else:
+        assert not [r for r in out if r["doc_id"] == 3]  # a null text has neither items nor findings
+    got = defaultdict(list)
+    for r in out:
+        got[r["doc_id"]].append(r)
+    empty = hashlib.sha256(b"").hexdigest()
+    if name == "suffix_tree":
+        assert got[3][0]["n_tokens"] == 1 and got[1][0]["score"] == got[1][1]["score"] < 0
+    elif name == "substring_dedup":
+        assert got[3][0]["kept_sha256"] == empty and [r["n_removed"] for r in out] == [0] * 5
+    elif name == "bpe":
+        assert got[3][0]["ids_sha256"] == got[3][0]["decoded_sha256"] == empty
+    elif name == "ngram_join":
+        assert [r["component_id"] for r in got[1]] == [1, 1] and got[3][0]["n_shingles"] == 0 and [r["component_id"] for r in got[None]] == [None, None]
+    elif name == "language_id":
+        assert got[3][0]["lang_pred"] == "und" and got[3][0]["score"] == 0
+    elif name == "line_dedup":
+        assert got[3][0]["kept_sha256"] == empty and [r["n_dropped"] for r in out] == [0] * 5
+    elif name == "quality":
+        assert {r["log_weight"] for r in out} == {0.0}
+    elif name == "exact_dedup":
+        assert sorted(r["group_size"] for r in out) == [1, 2, 2, 2, 2] and got[3][0]["kept"] and [r["kept"] for r in got[1]] == [True, True]
