@@ -55,8 +55,14 @@ def accepted(risk: Column, threshold: Column) -> Column:
     return F.coalesce(risk <= threshold, F.lit(False))
 
 
-def policy_group(policy: str, source: Column, prediction: Column) -> Column:
-    return {"global": F.lit("all"), "source": F.lower(source), "predicted_class": F.concat(F.lit("class_"), prediction.cast("string"))}[policy]
+#: The policies by which groups are certified.
+POLICIES = ("global_cp", "source_group_cp", "predicted_class_cp")
+
+
+def policy_group(policy: str, source: Column, label: Column, prediction: Column) -> Column:
+    """The group of a row under a policy: all rows; real rows and each generator's fakes; or the predicted class."""
+    real = F.when(prediction == 0, "base_prediction_real").otherwise("base_prediction_fake")
+    return {"global_cp": F.lit("global_all"), "source_group_cp": F.when(label == 0, "real_all").otherwise(F.lower(source)), "predicted_class_cp": real}[policy]
 
 
 def nll(p: Column, y: Column, eps: float = 1e-15) -> Column:
@@ -90,6 +96,20 @@ def erosions(z: Column, gamma: Column | float, views: int = 5) -> Column:
     return F.transform(F.slice(z, 2, views - 1), lambda v: c * (F.element_at(z, 1) - v))
 
 
+def boundary_margins(z: Column, gamma: Column | float) -> Column:
+    """c * (z - gamma) of every view: how far it is on the identity view's side."""
+    c = orientation(F.element_at(z, 1), gamma)
+    return F.transform(z, lambda v: c * (v - gamma))
+
+
+def checked_erosions(z: Column, gamma: Column | float, views: int = 5, tolerance: float = 1e-9) -> Column:
+    """The erosions; an error where the margins tell another story."""
+    direct, margins = erosions(z, gamma, views), boundary_margins(z, gamma)
+    by_margin = F.transform(F.slice(margins, 2, views - 1), lambda m: F.element_at(margins, 1) - m)
+    agree = F.forall(F.zip_with(direct, by_margin, lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
+    return F.when(agree, direct).otherwise(F.raise_error(F.lit("erosions and boundary margins disagree")))
+
+
 def recovered_gamma(prediction: Column, z0: Column, margin: Column) -> Column:
     return F.when(prediction == 1, z0 - margin).otherwise(z0 + margin)
 
@@ -154,6 +174,21 @@ def outcome_class(is_accepted: Column, error: Column) -> Column:
     return F.concat(F.when(is_accepted, "accepted_").otherwise("rejected_"), F.when(error == 1, "error").otherwise("correct"))
 
 
+def bootstrap_category(is_accepted: Column, label: Column, prediction: Column, error: Column) -> Column:
+    """What a resampled row counts as: rejected, or accepted as real, fake or other, in error or correct."""
+    kind = (
+        F.when((label == 0) & (prediction == 1), "real_error").when(label == 0, "real_correct").when((label == 1) & (prediction == 0), "fake_error")
+        .when(label == 1, "fake_correct").when(error == 1, "other_error").otherwise("other_correct")
+    )
+    return F.when(is_accepted, F.concat(F.lit("accepted_"), kind)).otherwise("rejected")
+
+
+def paired_category(source: Column, label: Column, prediction: Column, error: Column, first: Column, second: Column) -> Column:
+    """group|label|prediction|error|accepted by the first method|by the second."""
+    group = F.when(label == 0, "real_all").otherwise(source)
+    return F.concat_ws("|", group, *[x.cast("int").cast("string") for x in (label, prediction, error, first, second)])
+
+
 def near_threshold_bin(risk: Column, threshold: Column) -> Column:
     d = F.abs(risk - threshold)
     return (

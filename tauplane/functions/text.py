@@ -32,18 +32,58 @@ def is_digest(text: Column) -> Column:
     return text.rlike("^[0-9a-f]{64}$")
 
 
-def archive_family(name: Column) -> Column:
-    """What a multi-part archive's parts share: the name without its part suffix."""
-    return F.regexp_replace(name, r"(\.(7z|zip|tar|tgz|rar))?\.(\d{3}|z\d{2}|part\d+)$", "")
+def path_source(path: Column) -> Column:
+    """The first segment of a path: its generator."""
+    return F.substring_index(path, "/", 1)
 
 
-def archive_part(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, r"\.(\d{3}|z\d{2}|part\d+)$", 1), F.lit(""))
+def _base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def archive_part(path: Column) -> Column:
+    """zip, or z and a number, in lower case: which part of a multi-part archive a file is; empty for any other file."""
+    return F.lower(F.regexp_extract(_base_name(path), r"(?i)^.+\.(zip|z[0-9]+)$", 1))
+
+
+def archive_family(path: Column) -> Column:
+    """generator/name, which all parts of an archive (name.zip, name.z01, ..., in any case) share; of another file the name goes without its last extension."""
+    name = _base_name(path)
+    part = F.regexp_extract(name, r"(?i)^(.+)\.(?:zip|z[0-9]+)$", 1)
+    return F.concat_ws("/", path_source(path), F.when(part != "", part).otherwise(F.regexp_replace(name, r"^(.*[^.].*)\.[^.]*$", "$1")))
 
 
 def url_id(url: Column) -> Column:
-    """The id parameter of the query, else the segment after /d/ in the path; null without either."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]id=([^&#]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/d/([^/?#]+)", 1), F.lit("")))
+    """The first value of the query's parameter id, decoded, else the segment after /d/ in the path; a URL without either is an error."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    value = F.regexp_extract(F.concat(F.lit("&"), query), r"&id=([^&]+)", 1)
+    path = F.regexp_replace(F.regexp_extract(url, r"^([^?#]*)", 1), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*", "")
+    segment = F.regexp_extract(path, r"/d/([^/]+)", 1)
+    return F.when(value != "", F.url_decode(value)).when(segment != "", segment).otherwise(F.raise_error(F.concat(F.lit("no id in "), url)))
+
+
+def chain_id(version: Column, view: Column, parameters: Column) -> Column:
+    """The id of a view's transformation."""
+    return F.sha2(F.concat(version, view, parameters), 256)
+
+
+def view_id(sample: Column, digest: Column, chain: Column) -> Column:
+    """The id of one sample's view."""
+    return F.sha2(F.concat(sample.cast("string"), digest, chain), 256)
+
+
+def log_count(text: Column, word: str) -> Column:
+    """The number before a word in a test log's summary; 0 where it isn't there."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+)\s+{word}", 1), F.lit("")).cast("long"), F.lit(0))
+
+
+def other_context(text: Column, other: str) -> Column:
+    """Whether a list of paths names the other context, as a folder, a part of a name or a file."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for token in (f"/{other}/", f"_{other}_", f"{other}.csv", f"{other}.parquet", f"{other}.json"):
+        found = found | low.contains(token)
+    return F.coalesce(found, F.lit(False))
 
 
 def safe_name(name: Column) -> Column:
@@ -78,5 +118,11 @@ def number_or_undefined(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def same_value(a: Column, b: Column, tolerance: float = 1e-10) -> Column:
+    """Whether two rendered metrics are equal: both undefined, or numbers within the tolerance, or the same text."""
+    x, y = number_or_undefined(a), number_or_undefined(b)
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(a.eqNullSafe(b) | (F.coalesce(a.startswith("undefined"), F.lit(False)) & F.coalesce(b.startswith("undefined"), F.lit(False))))
+
+
 def zoned(timestamp: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(timestamp, zone), "yyyy-MM-dd'T'HH:mm:ss")

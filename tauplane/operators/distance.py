@@ -24,8 +24,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / norm
 
 
-def knn(queries: DataFrame, bank: DataFrame, k: int, exclude: list[str] = ["id"], block: int = BLOCK) -> DataFrame:
-    """(query_id, bank_id, distance, place): the k nearest of the bank by cosine distance; ties by bank id.
+def knn(queries: DataFrame, bank: DataFrame, k: int, exclude: list[str] = ["id"], block: int = BLOCK, metric: str = "cosine") -> DataFrame:
+    """(query_id, bank_id, distance, place): the k nearest of the bank by cosine (or euclidean) distance; ties by bank id.
 
     queries and bank have id, embedding and the columns of exclude: a bank row that
     is equal to the query in one of these doesn't count. The bank is cut into
@@ -34,7 +34,8 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, exclude: list[str] = ["id"]
     """
     columns = ["id", "embedding", *[c for c in exclude if c != "id"]]
     blocks = max(1, -(-bank.count() // block))
-    parts = max(1, queries.sparkSession.sparkContext.defaultParallelism // blocks)
+    # A task's queries are bounded like its bank, and there is work for all cores.
+    parts = max(-(-queries.count() // block), queries.sparkSession.sparkContext.defaultParallelism // blocks, 1)
     left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_p"), *columns)
     right = bank.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_p"), *columns)
 
@@ -42,10 +43,12 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, exclude: list[str] = ["id"]
         out = []
         if len(q) and len(b):
             b = b.sort_values("id")
-            matrix, ids = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64)), b["id"].to_numpy()
+            matrix, ids = np.stack(b["embedding"].to_numpy()).astype(np.float64), b["id"].to_numpy()
+            matrix = _unit(matrix) if metric == "cosine" else matrix
             for start in range(0, len(q), 512):
                 part = q.iloc[start : start + 512]
-                d = 1 - _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)) @ matrix.T
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                d = 1 - _unit(x) @ matrix.T if metric == "cosine" else np.sqrt(sum((x[:, [j]] - matrix[None, :, j]) ** 2 for j in range(x.shape[1])))
                 for c in exclude:
                     d[part[c].to_numpy()[:, None] == b[c].to_numpy()[None, :]] = np.inf
                 d = np.round(d, 12)
@@ -72,6 +75,34 @@ def risk_by_k(neighbours: DataFrame, ks: list[int]) -> DataFrame:
     return neighbours.withColumn("risk", F.avg("distance").over(w)).where(F.col("place").isin(ks)).select("query_id", F.col("place").alias("k"), "risk")
 
 
+def select_k(neighbours: DataFrame, errors: DataFrame, ks: list[int]) -> tuple[int, DataFrame]:
+    """(k, table of fold, k, auroc, status, selected_k): the k of the largest mean AUROC of risks against errors over folds.
+
+    neighbours: those of each query outside its own fold, max(ks) at least; errors:
+    query_id, fold, base_error. Folds of one class don't count; ties go to the
+    smaller k, and so it is where no fold counts. The folds' grouping (by rows, or
+    by content hash) is the caller's.
+    """
+    from tauplane.operators.ranking import auroc_average_precision
+
+    rated = risk_by_k(neighbours, ks).join(errors, "query_id")
+    found = auroc_average_precision(rated, ["fold", "k"], "risk", "base_error").select("fold", "k", F.when(F.col("status") == "ok", F.col("auroc")).alias("auroc"), F.when(F.col("status") == "ok", "ok").otherwise("undefined_due_to_single_error_class").alias("status"))
+    means = found.where("status = 'ok'").groupBy("k").agg(F.round(F.avg("auroc"), 12).alias("mean")).orderBy(F.desc("mean"), "k").first()  # one row for each k
+    chosen = means["k"] if means else min(ks)
+    return chosen, found.withColumn("selected_k", F.lit(chosen))
+
+
+def bank_sensitivity(all_rows: DataFrame, one_per_unit: DataFrame, ks: tuple[int, int], tolerance: float = 0.999) -> DataFrame:
+    """How far the risks by two banks (query_id, risk) agree: chosen k, Spearman's correlation, mean and largest difference, and a verdict."""
+    from tauplane.operators.ranking import correlations
+
+    both = all_rows.select("query_id", F.col("risk").alias("a")).join(one_per_unit.select("query_id", F.col("risk").alias("b")), "query_id").withColumn("cell", F.lit(1))
+    rho = correlations(both, ["cell"], ["a", "b"], ranks=True).where("a = 'a' AND b = 'b'").select("cell", F.col("r").alias("spearman"))
+    d = F.abs(F.col("a") - F.col("b"))
+    out = both.groupBy("cell").agg(F.count("*").alias("n"), F.avg(d).alias("mean_abs_difference"), F.max(d).alias("max_abs_difference")).join(rho, "cell").drop("cell")
+    return out.withColumn("selected_k_equal", F.lit(ks[0] == ks[1])).withColumn("material", ~(F.col("selected_k_equal") & (F.col("spearman") >= tolerance)))
+
+
 def class_moments(df: DataFrame, label: str) -> DataFrame:
     """(label, n, sums, products): what mean and covariance of each class need, summed on the map side."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -117,10 +117,41 @@ def view_flips(df: DataFrame, parent: str, index: str, value: str, gamma: float)
 
 def leave_one_view(df: DataFrame, parent: str, index: str, value: str, views: int = 5) -> DataFrame:
     """(parent, omitted, variance): the population variance of the views that remain."""
-    sums = df.groupBy(parent).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).where(f"n = {views}")
-    rest = df.select(parent, F.col(index).alias("omitted"), F.col(value).alias("_z")).join(sums, parent)
-    m = (F.col("s") - F.col("_z")) / (F.col("n") - 1)
-    return rest.select(parent, "omitted", F.greatest((F.col("q") - F.col("_z") * F.col("_z")) / (F.col("n") - 1) - m * m, F.lit(0.0)).alias("variance"))
+    all_of = df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("_z")).where(F.size("_z") == views)
+    each = all_of.select(parent, "_z", F.explode("_z").alias("_o"))
+    rest = F.transform(F.filter("_z", lambda x: x["i"] != F.col("_o.i")), lambda x: x["v"])
+    return each.select(parent, F.col("_o.i").alias("omitted"), S.array_var_pop(rest).alias("variance"))
+
+
+def perturbed_policy(df: DataFrame, ctx: list[str], original: str, changed: str, threshold: Column) -> DataFrame:
+    """How a changed risk moves scores and acceptance at a frozen threshold: mean and median change, flips, and which rows flip."""
+    a, b, e = S.accepted(F.col(original), threshold), S.accepted(F.col(changed), threshold), F.col("base_error") == 1
+    d = F.col(changed) - F.col(original)
+    return df.withColumns({"_a": a, "_b": b, "_d": d}).groupBy(*ctx).agg(
+        F.count("*").alias("row_count"), F.avg("_d").alias("mean_risk_score_change"), F.percentile(F.abs("_d"), 0.5).alias("median_absolute_risk_score_change"),
+        F.count_if(F.col("_a") != F.col("_b")).alias("acceptance_status_change_count"), F.avg((F.col("_a") != F.col("_b")).cast("double")).alias("acceptance_status_change_rate"),
+        F.count_if(F.col("_a") & ~F.col("_b") & ~e).alias("correct_to_rejected_flips"), F.count_if(~F.col("_a") & F.col("_b") & e).alias("error_to_accepted_flips"),
+    )
+
+
+def calibrator_bundle(df: DataFrame, ctx: list[str], p: str = "risk_score", y: str = "base_error", bins: int = 15) -> DataFrame:
+    """Of every cell: counts, prevalence, NLL, Brier, calibration errors, ranking metrics, AURC and mean predicted risk of an error probability."""
+    from tauplane.operators import ranking
+
+    counts = df.groupBy(*ctx).agg(F.count("*").alias("row_count"), F.sum(F.col(y).cast("long")).alias("error_count"), F.avg(F.col(y).cast("double")).alias("error_prevalence"), F.avg(p).alias("mean_predicted_risk"))
+    out = counts.withColumn("observed_error_prevalence", F.col("error_prevalence"))
+    scored = df.withColumns({"risk_score": F.col(p), "base_error": F.col(y)})
+    area = ranking.auroc_average_precision(scored, ctx)
+    status = F.when(F.col("status") == "ok", "ok").otherwise("undefined_single_error_class").alias("ranking_status")
+    parts = [
+        nll_brier(df, ctx, p, y).select(*ctx, F.col("nll").alias("binary_nll"), F.col("brier").alias("brier_score")),
+        calibration_errors(reliability_bins(df, ctx, p, y, bins), ctx).select(*ctx, "ece", F.col("mce").alias("maximum_calibration_error")),
+        area.select(*ctx, F.col("auroc").alias("error_detection_AUROC"), F.when(F.col("status") == "ok", F.col("average_precision")).alias("error_detection_AUPR"), status),
+        ranking.aurc(scored, ctx).select(*ctx, F.col("aurc").alias("AURC"), F.col("excess_aurc").alias("E_AURC")),
+    ]
+    for part in parts:
+        out = out.join(part, ctx)
+    return out
 
 
 def pick_cases(df: DataFrame, ctx: list[str], n: int, order: list[Column | str], cluster: str, source: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tauplane.functions.bounds import with_cp_upper
+from tauplane.functions.bounds import cp_feasible, with_cp_upper
 from tauplane.functions.text import stable_rank
-from tauplane.operators.ranking import prefix_blocks
+from tauplane.operators.ranking import prefix_blocks, ranked, small
+from tauplane.sources.freeze import freeze
 
 FRACTIONS = tuple(k / 10 for k in range(10, 0, -1))
 #: A cell's candidates are fractions of its largest feasible count, or of all rows where nothing is feasible.
@@ -24,23 +25,36 @@ def threshold_curve(df: DataFrame, ctx: list[str], delta: float) -> DataFrame:
     return with_cp_upper(prefix_blocks(df, ctx), "accepted_errors", "accepted_count", F.lit(float(delta)))
 
 
-def select_threshold(curve: DataFrame, ctx: list[str], alpha: float, bound: str = "cp_upper") -> DataFrame:
-    """The feasible threshold that accepts most (then the least bound, empirical risk and threshold); a status where there is none."""
+def select_threshold(curve: DataFrame, ctx: list[str], alpha: float, bound: str = "cp_upper", cells: DataFrame | None = None) -> DataFrame:
+    """The feasible threshold that accepts most (then the least bound, empirical risk and threshold); a status where there is none.
+
+    cells: all cells asked for; those without a row of the curve have no_samples.
+    """
     w = W.partitionBy(*ctx).orderBy(F.desc("accepted_count"), bound, "empirical_risk", "threshold")
     chosen = curve.where((F.col("accepted_count") > 0) & (F.col(bound) <= alpha)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    there = curve.select(*ctx).distinct().withColumn("_there", F.lit(True))
     return (
-        curve.select(*ctx).distinct().join(chosen.select(*ctx, F.col("threshold").alias("tau"), "accepted_count", "accepted_errors", "coverage", bound), ctx, "left")
-        .withColumn("status", F.when(F.col("tau").isNull(), "no_feasible_nonempty_threshold").otherwise("selected"))
+        (there if cells is None else cells.select(*ctx).distinct().join(there, ctx, "left")).join(chosen.select(*ctx, F.col("threshold").alias("tau"), "accepted_count", "accepted_errors", "coverage", bound), ctx, "left")
+        .withColumn("status", F.when(F.col("_there").isNull(), "no_samples").when(F.col("tau").isNull(), "no_feasible_nonempty_threshold").otherwise("selected")).drop("_there")
         .withColumns({"accepted_count": F.coalesce("accepted_count", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))})
     )
 
 
+def group_blocks(df: DataFrame, ctx: list[str], group: str) -> DataFrame:
+    """ctx, threshold, g, n, e: rows and errors of every distinct risk and group."""
+    return df.groupBy(*ctx, F.col("risk_score").alias("threshold"), F.col(group).alias("g")).agg(F.count("*").alias("n"), F.sum(F.col("base_error").cast("long")).alias("e"))
+
+
 def group_scan(df: DataFrame, ctx: list[str], group: str, alpha: float) -> DataFrame:
     """For every distinct risk: the accepted counts, and whether each group of the cell has rows and an error rate of alpha at most."""
-    blocks = df.groupBy(*ctx, F.col("risk_score").alias("threshold"), F.col(group).alias("g")).agg(F.count("*").alias("n"), F.sum(F.col("base_error").cast("long")).alias("e"))
+    return scan_blocks(group_blocks(df, ctx, group), ctx, F.col("_e") / F.col("_n") <= alpha)
+
+
+def scan_blocks(blocks: DataFrame, ctx: list[str], fits: Column) -> DataFrame:
+    """The scan from blocks; fits: whether a group does with the _n rows and _e errors up to a threshold."""
     # A group's counts only change at its own blocks, so it is infeasible or feasible from one of them to before the next; the cell's count of feasible groups is a running sum of these changes.
     own = W.partitionBy(*ctx, "g").orderBy("threshold").rowsBetween(W.unboundedPreceding, 0)
-    state = blocks.withColumn("_fits", (F.sum("e").over(own) / F.sum("n").over(own) <= alpha).cast("int"))
+    state = blocks.withColumns({"_n": F.sum("n").over(own), "_e": F.sum("e").over(own)}).withColumn("_fits", fits.cast("int"))
     change = state.withColumn("_change", F.col("_fits") - F.coalesce(F.lag("_fits").over(W.partitionBy(*ctx, "g").orderBy("threshold")), F.lit(0)))
     at = change.groupBy(*ctx, "threshold").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("_change").alias("_change"))
     w = W.partitionBy(*ctx).orderBy("threshold").rowsBetween(W.unboundedPreceding, 0)
@@ -48,30 +62,59 @@ def group_scan(df: DataFrame, ctx: list[str], group: str, alpha: float) -> DataF
     return at.select(*ctx, "threshold", F.sum("n").over(w).alias("accepted_count"), F.sum("e").over(w).alias("accepted_errors"), F.sum("_change").over(w).alias("groups_fit")).join(groups, ctx).withColumn("feasible", F.col("groups_fit") == F.col("groups"))
 
 
+def group_controlled(df: DataFrame, ctx: list[str], group: str, alpha: float, delta: float, bonferroni: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of every cell the threshold of largest coverage at which all groups have a bound of alpha at most; and the groups' bounds there.
+
+    Bounds are at delta, over the number of the cell's groups with bonferroni. A
+    group of which nothing is accepted has the bound 1. Without a threshold, tau
+    is null, coverage 0 and the worst bound 1.
+    """
+    blocks = freeze(group_blocks(df, ctx, group))
+    sized = blocks.join(small(blocks.groupBy(*ctx).agg(F.count_distinct("g").alias("groups"))), ctx)
+    level = F.lit(float(delta)) / F.col("groups") if bonferroni else F.lit(float(delta))
+    scan = scan_blocks(sized, ctx, cp_feasible("_e", "_n", level, F.lit(float(alpha))))
+    cells = scan.groupBy(*ctx).agg(F.max(F.when(F.col("feasible"), F.col("threshold"))).alias("tau"), F.max("accepted_count").alias("_all"), F.max(F.when(F.col("feasible"), F.col("accepted_count"))).alias("_accepted"))
+    cells = freeze(cells)
+    bounds = group_bounds(blocks, cells.where("tau IS NOT NULL").select(*ctx, "tau"), ctx, delta, bonferroni)
+    worst = bounds.groupBy(*ctx).agg(F.max("cp_upper").alias("worst_cp_upper"))
+    out = cells.join(worst, ctx, "left").select(*ctx, "tau", F.coalesce(F.col("_accepted") / F.col("_all"), F.lit(0.0)).alias("coverage"), F.coalesce("worst_cp_upper", F.lit(1.0)).alias("worst_cp_upper"))
+    return out, bounds
+
+
+def group_bounds(blocks: DataFrame, at: DataFrame, ctx: list[str], delta: float, bonferroni: bool = False) -> DataFrame:
+    """Of every group at the threshold tau of its cell: accepted rows and errors, empirical risk (1 where nothing is accepted), coverage and bound."""
+    joined = blocks.join(small(at), ctx)
+    inside = F.col("threshold") <= F.col("tau")
+    own = joined.groupBy(*ctx, "tau", "g").agg(F.sum("n").alias("_total"), F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("accepted_count"), F.coalesce(F.sum(F.when(inside, F.col("e"))), F.lit(0)).alias("accepted_errors"))
+    own = own.withColumns({"empirical_risk": F.coalesce(F.try_divide("accepted_errors", "accepted_count"), F.lit(1.0)), "coverage": F.col("accepted_count") / F.col("_total"), "_groups": F.count("*").over(W.partitionBy(*ctx))})
+    level = F.lit(float(delta)) / F.col("_groups") if bonferroni else F.lit(float(delta))
+    return with_cp_upper(own, "accepted_errors", "accepted_count", level).drop("_total", "_groups")
+
+
 def candidates(scan: DataFrame, ctx: list[str]) -> DataFrame:
     """At most MOST_CANDIDATES thresholds of a cell: the largest blocks within fractions of the largest feasible count (else of all rows), by falling threshold."""
     base = scan.groupBy(*ctx).agg(F.max(F.when(F.col("feasible"), F.col("accepted_count"))).alias("_feasible"), F.max("accepted_count").alias("_all"))
     grid = F.explode(F.array(*[F.lit(f) for f in FRACTIONS]))
     targets = base.select(*ctx, F.coalesce("_feasible", "_all").alias("_base"), F.col("_feasible").isNotNull().alias("from_feasible"), grid.alias("fraction"))
     targets = targets.withColumn("target", F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("_base"))).cast("long"))
-    found = scan.join(F.broadcast(targets), ctx).where("accepted_count <= target").groupBy(*ctx, "fraction", "from_feasible").agg(F.max("threshold").alias("tau"))
+    found = scan.join(small(targets), ctx).where("accepted_count <= target").groupBy(*ctx, "fraction", "from_feasible").agg(F.max("threshold").alias("tau"))
     once = found.groupBy(*ctx, "tau").agg(F.max("fraction").alias("fraction"), F.first("from_feasible").alias("from_feasible"))
     ranked = once.withColumn("candidate_rank", F.row_number().over(W.partitionBy(*ctx).orderBy(F.desc("tau")))).where(F.col("candidate_rank") <= MOST_CANDIDATES)
     return ranked.withColumn("candidate_id", stable_rank(*[F.col(c) for c in ctx], F.round("tau", 9).cast("decimal(20,9)")))
 
 
-def certification_counts(df: DataFrame, cand: DataFrame, ctx: list[str], group: str) -> DataFrame:
-    """n and k of every candidate and group, also of groups of which nothing is accepted; K candidates and G groups of the cell."""
-    groups = df.select(*ctx, F.col(group).alias("g")).distinct()
+def certification_counts(df: DataFrame, cand: DataFrame, ctx: list[str], group: str | None) -> DataFrame:
+    """n and k of every candidate and group, also of groups of which nothing is accepted; K candidates and G groups of the cell. Without group, df has blocks."""
+    blocks = df if group is None else group_blocks(df, ctx, group)
+    groups = blocks.select(*ctx, "g").distinct()
     sized = cand.withColumn("candidates", F.count("*").over(W.partitionBy(*ctx)))
     grid = sized.select(*ctx, "candidate_id", "candidate_rank", "tau", "candidates").join(groups, ctx).join(groups.groupBy(*ctx).agg(F.count("*").alias("groups")), ctx)
-    blocks = df.groupBy(*ctx, F.col(group).alias("g"), "risk_score").agg(F.count("*").alias("n"), F.sum(F.col("base_error").cast("long")).alias("e"))
-    hits = blocks.join(F.broadcast(sized.select(*ctx, "candidate_id", "tau")), ctx).where("risk_score <= tau").groupBy(*ctx, "candidate_id", "g").agg(F.sum("n").alias("accepted_count"), F.sum("e").alias("accepted_errors"))
+    hits = blocks.join(small(sized.select(*ctx, "candidate_id", "tau")), ctx).where("threshold <= tau").groupBy(*ctx, "candidate_id", "g").agg(F.sum("n").alias("accepted_count"), F.sum("e").alias("accepted_errors"))
     zero = {"accepted_count": F.coalesce("accepted_count", F.lit(0)).cast("long"), "accepted_errors": F.coalesce("accepted_errors", F.lit(0)).cast("long")}
     return grid.join(hits, [*ctx, "candidate_id", "g"], "left").withColumns(zero)
 
 
-def certify(df: DataFrame, cand: DataFrame, ctx: list[str], group: str, alpha: float, delta: float) -> DataFrame:
+def certify(df: DataFrame, cand: DataFrame, ctx: list[str], group: str | None, alpha: float, delta: float) -> DataFrame:
     """The trace: each candidate and group with its bound at delta / (K * G), and whether group and candidate are certified."""
     counts = certification_counts(df, cand, ctx, group)
     trace = with_cp_upper(counts, "accepted_errors", "accepted_count", F.lit(float(delta)) / (F.col("candidates") * F.col("groups")))
@@ -92,6 +135,7 @@ def alpha_sensitivity(trace: DataFrame, ctx: list[str], alphas: list[float]) ->
     rows = trace.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     fits = (F.col("accepted_count") > 0) & (F.col("cp_upper") <= F.col("alpha"))
     return rows.groupBy(*ctx, "candidate_id", "tau", "alpha").agg(
+        F.sum("accepted_count").alias("accepted_count"),
         F.min(fits).alias("certified"),
         F.max_by("g", F.struct("cp_upper", F.col("g"))).alias("bottleneck_group"),
         F.array_join(F.array_sort(F.collect_set(F.when(~fits, F.col("g")))), ",").alias("failed_groups"),
@@ -100,14 +144,15 @@ def alpha_sensitivity(trace: DataFrame, ctx: list[str], alphas: list[float]) ->
 
 
 def best_failed(sensitivity: DataFrame, ctx: list[str]) -> DataFrame:
-    w = W.partitionBy(*ctx, "alpha").orderBy("margin", F.desc("tau"), "candidate_id")
+    """Of a cell's candidates that failed the nearest: least margin, then largest coverage, highest threshold, id."""
+    w = W.partitionBy(*ctx, "alpha").orderBy("margin", F.desc("accepted_count"), F.desc("tau"), "candidate_id")
     return sensitivity.where("NOT certified").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
 def bottleneck(trace: DataFrame, policy: DataFrame, ctx: list[str]) -> DataFrame:
     """The group with the largest bound (then the fewest rows) at each selected threshold."""
     w = W.partitionBy(*ctx).orderBy(F.desc("cp_upper"), "accepted_count", "g")
-    return trace.join(F.broadcast(policy.where("tau IS NOT NULL").select(*ctx, "candidate_id")), [*ctx, "candidate_id"]).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*ctx, "tau", F.col("g").alias("bottleneck_group"), "accepted_count", "cp_upper")
+    return trace.join(small(policy.where("tau IS NOT NULL").select(*ctx, "candidate_id")), [*ctx, "candidate_id"]).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*ctx, "tau", F.col("g").alias("bottleneck_group"), "accepted_count", "cp_upper")
 
 
 # Splits of units: rows with one content hash stay together.
@@ -119,9 +164,9 @@ def units(df: DataFrame, unit: str, strata: list[Column], order: str = "sample_i
 
 
 def _ranked(df: DataFrame, unit: str, strata: list[Column], *seed: str | int) -> DataFrame:
-    own = units(df, unit, strata)
-    w = W.partitionBy("stratum")
-    return own.withColumns({"_k": F.row_number().over(w.orderBy(stable_rank(*seed, F.col(unit)), unit)), "_n": F.count("*").over(w)})
+    own = units(df, unit, strata).withColumn("_h", stable_rank(*seed, F.col(unit)))
+    placed = ranked(own, ["stratum"], ["_h", unit]).drop("_h")
+    return placed.join(small(placed.groupBy("stratum").agg(F.count("*").alias("_n"))), "stratum")
 
 
 def half_split(df: DataFrame, unit: str, strata: list[Column], seed: int) -> DataFrame:
@@ -141,10 +186,10 @@ def folds(df: DataFrame, unit: str, strata: list[Column], seed: int, many: int =
     return _ranked(df, unit, strata, seed).select(unit, "stratum", ((F.col("_k") - 1) % many).cast("int").alias("cv_fold"))
 
 
-def fold_audit(df: DataFrame, unit: str, fold: str = "cv_fold") -> DataFrame:
-    """Of every fold: rows, units, classes, and units that are in another fold too."""
+def fold_audit(df: DataFrame, unit: str, ctx: list[str], fold: str = "cv_fold") -> DataFrame:
+    """Of every cell (the fold among its columns): rows, units, classes, and units that are in another fold too."""
     spread = df.groupBy(unit).agg(F.count_distinct(fold).alias("_folds"))
-    return df.join(spread, unit).groupBy(fold).agg(
+    return df.join(spread, unit).groupBy(*ctx).agg(
         F.count("*").alias("n_rows"), F.count_distinct(unit).alias("n_units"), F.sum(F.col("base_error").cast("long")).alias("n_errors"), F.sum(1 - F.col("base_error").cast("long")).alias("n_correct"),
         F.count_distinct(F.when(F.col("_folds") > 1, F.col(unit))).alias("leaked_units"),
     )

@@ -61,9 +61,11 @@ def overlap_matrix(df: DataFrame, part: str, unit: str) -> DataFrame:
 
 
 def value_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-10) -> DataFrame:
-    """For each column: rows compared, rows that differ by more than the tolerance (or in being null)."""
-    both = left.select(*keys, *[F.col(c).alias(f"l_{c}") for c in columns]).join(right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in columns]), keys)
-    differs = {c: ~F.coalesce(F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= tolerance, F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNull()) for c in columns}
+    """For each column: rows of either side, and those that differ by more than the tolerance, in being null or in being there."""
+    own = lambda df, side: df.select(*keys, F.lit(True).alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    both = own(left, "l").join(own(right, "r"), keys, "full_outer")
+    there = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    differs = {c: ~(there & F.coalesce(F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= tolerance, F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNull())) for c in columns}
     wide = both.agg(F.count("*").alias("n"), *[F.count_if(d).alias(c) for c, d in differs.items()])
     return wide.select(F.expr(f"stack({len(columns)}, " + ", ".join(f"'{c}', n, `{c}`" for c in columns) + ") AS (column_name, n, n_differ)"))
 
@@ -104,6 +106,28 @@ def verdict(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, kind.alias("verdict"))
 
 
+def with_thresholds(df: DataFrame, thresholds: DataFrame, keys: list[str], name: str = "threshold") -> DataFrame:
+    """df with the threshold of each row's cell; a row whose cell isn't in the map is an error, one whose threshold is null is not."""
+    assert_unique(thresholds, keys)
+    known = thresholds.select(*keys, F.struct(F.col(name).alias("value")).alias("_at"))
+    small = known.limit(BROADCAST + 1).count() <= BROADCAST
+    found = df.join(F.broadcast(known) if small else known, keys, "left")
+    unmatched = F.raise_error(F.concat_ws(" ", F.lit("no threshold for"), *[F.col(k).cast("string") for k in keys]))
+    return found.withColumn(name, F.when(F.col("_at").isNull(), unmatched.cast("double")).otherwise(F.col("_at.value"))).drop("_at")
+
+
+def is_near(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
+    """The join condition of keys that are numbers: equal within the tolerance."""
+    return F.abs(a - b) <= tolerance
+
+
+def old_and_new(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, and of every value old_, new_ and delta_ (new - old), for rows of either side."""
+    a = old.select(*keys, *[F.col(v).alias(f"old_{v}") for v in values])
+    b = new.select(*keys, *[F.col(v).alias(f"new_{v}") for v in values])
+    return a.join(b, keys, "full_outer").select(*keys, *[x for v in values for x in (F.col(f"old_{v}"), F.col(f"new_{v}"), (F.col(f"new_{v}") - F.col(f"old_{v}")).alias(f"delta_{v}"))])
+
+
 def running_plan(df: DataFrame, order: list[str], size: str) -> DataFrame:
     """Stages in order with their cumulative size; the table is a plan of some hundred rows, so one window over all is meant."""
     return df.withColumn("cumulative", F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
@@ -124,5 +148,15 @@ def two_bin_split(sizes: dict[str, int], capacity: tuple[int, int]) -> dict[str,
     return {name: 0 if name in reach[best] else 1 for name in sizes}
 
 
+def two_level_split(sizes: dict[str, dict[str, int]], capacity: tuple[int, int]) -> dict[tuple[str, str], int] | None:
+    """two_bin_split of whole generators; where they don't fit, of their families."""
+    whole = two_bin_split({g: sum(own.values()) for g, own in sizes.items()}, capacity)
+    if whole is not None:
+        return {(g, f): whole[g] for g, own in sizes.items() for f in own}
+    names = [(g, f) for g, own in sorted(sizes.items()) for f in sorted(own)]
+    found = two_bin_split({f"{k:06d}": sizes[g][f] for k, (g, f) in enumerate(names)}, capacity)
+    return found and {name: found[f"{k:06d}"] for k, name in enumerate(names)}
+
+
 def is_close(a: float, b: float, tolerance: float) -> bool:
     return math.isclose(a, b, rel_tol=0, abs_tol=tolerance)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tauplane.functions.text import uniform
+from tauplane.functions.text import stable_rank, uniform
+from tauplane.operators.ranking import ranked, small
 
 #: P(X <= k) of a Poisson variable of mean 1; beyond the last, k is its length.
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
@@ -86,9 +87,10 @@ def resolved(ci: DataFrame) -> DataFrame:
     return ci.withColumn("resolved", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
-def shuffled(df: DataFrame, ctx: list[str], column: str, unit: str, seed: int) -> DataFrame:
-    """df with the column's values dealt to other rows of the cell in hash order (permutation importance)."""
-    w = W.partitionBy(*ctx)
-    a = df.withColumn("_k", F.row_number().over(w.orderBy(unit)))
-    b = df.select(*ctx, F.col(column).alias("_v"), F.row_number().over(w.orderBy(uniform(seed, F.col(unit)), unit)).alias("_k"))
-    return a.drop(column).join(b, [*ctx, "_k"]).withColumnRenamed("_v", column).drop("_k")
+def shuffled(df: DataFrame, ctx: list[str], column: str, unit: str, seed: int, repeats: int = 1) -> DataFrame:
+    """df for every replicate, with the column's values dealt to other rows of the cell in hash order (permutation importance)."""
+    cell = ["replicate", *ctx]
+    rows = replicated(df, repeats)
+    a = ranked(rows, cell, [unit])
+    b = ranked(rows.select(*cell, F.col(column).alias("_v"), uniform(seed, F.col("replicate"), F.col(unit)).alias("_u"), unit), cell, ["_u", unit])
+    return a.drop(column).join(b.select(*cell, "_k", "_v"), [*cell, "_k"]).withColumnRenamed("_v", column).drop("_k")

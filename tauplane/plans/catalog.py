@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauplane.functions import scores as S
 from tauplane.functions import text as X
-from tauplane.functions.bounds import with_cp_upper, zero_error_bound
+from tauplane.functions.bounds import zero_error_bound
 from tauplane.operators import distance, evaluate, fitting, policy, ranking, relational, resample
-from tauplane.plans.frames import CTX, GAMMA, ORBIT, SCORES, TEXTS, orbit, scores, table, texts
+from tauplane.plans.frames import CTX, DETECTORS, GAMMA, ORBIT, SCORES, TEXTS, orbit, scores, table, texts
 from tauplane.sources.freeze import freeze
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,29 @@ PREFIX = """
     r AS (SELECT *, row_number() OVER w AS k, sum(base_error) OVER w AS e, count(*) OVER (PARTITION BY detector, split) AS n
           FROM f WINDOW w AS (PARTITION BY detector, split ORDER BY risk_score, sample_id ROWS UNBOUNDED PRECEDING))"""
 
+def tail_sql(k: str, n: str, p: str) -> str:
+    """SQL: P(X <= k) of n trials at rate p; terms twelve deviations below k and further don't count."""
+    return f"list_sum([exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p})) FOR i IN range(greatest(0, {k} - CAST(12 * sqrt({n} * {p} * (1 - {p})) AS BIGINT) - 60), {k} + 1)])"
+
+
+def bound_sql(source: str, steps: int = 12) -> str:
+    """SQL: cp(k, n, d, cp), the Clopper-Pearson bound of every row (k, n, d) of source, by Newton steps on the logarithm of the tail from Hoeffding's bound."""
+    first = f"s0 AS (SELECT k, n, d, least(CAST(k AS DOUBLE) / n + sqrt(-ln(d) / (2 * n)), (CAST(k AS DOUBLE) / n + 1) / 2) AS p FROM {source} WHERE k > 0 AND k < n)"
+    step = """v{j} AS (SELECT *, {tail} AS t, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k) + k * ln(p) + (n - k - 1) * ln(1 - p)) AS h FROM s{j}),
+    s{i} AS (SELECT k, n, d, CASE WHEN q >= 1 THEN (p + 1) / 2 WHEN q <= CAST(k AS DOUBLE) / n THEN (p + CAST(k AS DOUBLE) / n) / 2 ELSE q END AS p FROM (SELECT *, p + (ln(t) - ln(d)) * t / h AS q FROM v{j}))"""
+    chain = ",\n    ".join(step.format(i=j + 1, j=j, tail=tail_sql("k", "n", "p")) for j in range(steps))
+    return f"""{first},
+    {chain},
+    cp AS (SELECT k, n, d, p AS cp FROM s{steps} UNION ALL SELECT k, n, d, CASE WHEN n <= 0 OR k = n THEN 1 ELSE 1 - pow(d, CAST(1 AS DOUBLE) / n) END FROM {source} WHERE k = 0 OR k >= n)"""
+
+
+UNITS = "u AS (SELECT sha256, min_by(concat_ws('|', split, generator), sample_id) AS stratum FROM f GROUP BY sha256)"
+
+
+def _ordered(seed: str) -> str:
+    return f"rk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{seed}|' || sha256), sha256) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM u)"
+
+
 # Scores.
 
 
@@ -238,29 +262,69 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Thresholds, candidates, certification.
 
-SCAN = """
-    bg AS (SELECT detector, split, risk_score AS threshold, generator AS g, count(*) AS n0, sum(base_error) AS e0 FROM f GROUP BY ALL),
-    gr AS (SELECT detector, split, x.threshold, y.g FROM (SELECT DISTINCT detector, split, threshold FROM bg) x JOIN (SELECT DISTINCT detector, split, g FROM bg) y USING (detector, split)),
-    cg AS (SELECT detector, split, threshold, g, sum(coalesce(n0, 0)) OVER w AS n, sum(coalesce(e0, 0)) OVER w AS e FROM gr LEFT JOIN bg USING (detector, split, threshold, g)
-           WINDOW w AS (PARTITION BY detector, split, g ORDER BY threshold ROWS UNBOUNDED PRECEDING)),
-    sc AS (SELECT detector, split, threshold, CAST(sum(n) AS BIGINT) AS accepted_count, CAST(sum(e) AS BIGINT) AS accepted_errors, CAST(count(CASE WHEN n > 0 AND CAST(e AS DOUBLE) / n <= 0.05 THEN 1 END) AS BIGINT) AS groups_fit, count(*) AS groups FROM cg GROUP BY ALL)"""
-CANDIDATES = """
-    ba AS (SELECT detector, split, max(CASE WHEN groups_fit = groups THEN accepted_count END) AS fe, max(accepted_count) AS al FROM sc GROUP BY ALL),
-    ta AS (SELECT detector, split, fe IS NOT NULL AS from_feasible, CAST(k AS DOUBLE) / 10 AS fraction, greatest(1, CAST(floor(CAST(k AS DOUBLE) / 10 * coalesce(fe, al)) AS BIGINT)) AS target FROM ba, range(1, 11) t(k)),
-    fo AS (SELECT detector, split, from_feasible, fraction, max(threshold) AS tau FROM sc JOIN ta USING (detector, split) WHERE accepted_count <= target GROUP BY ALL),
-    on1 AS (SELECT detector, split, tau, max(fraction) AS fraction, bool_or(from_feasible) AS from_feasible FROM fo GROUP BY ALL),
-    cd AS (SELECT *, CAST(row_number() OVER (PARTITION BY detector, split ORDER BY tau DESC) AS INT) AS candidate_rank, sha256(concat_ws('|', detector, split, CAST(CAST(round(tau, 9) AS DECIMAL(20, 9)) AS VARCHAR))) AS candidate_id FROM on1)"""
-
-
-def _selected(spark: SparkSession, sf_dir: str, subset: str) -> DataFrame:
-    """Scores of the units that the half split deals to a subset."""
+def scan_sql(source: str = "f", keys: str = "detector, split", group: str = "generator") -> str:
+    return f"""
+    bg AS (SELECT {keys}, risk_score AS threshold, {group} AS g, count(*) AS n0, sum(base_error) AS e0 FROM {source} GROUP BY ALL),
+    gr AS (SELECT {keys}, x.threshold, y.g FROM (SELECT DISTINCT {keys}, threshold FROM bg) x JOIN (SELECT DISTINCT {keys}, g FROM bg) y USING ({keys})),
+    cg AS (SELECT {keys}, threshold, g, sum(coalesce(n0, 0)) OVER w AS n, sum(coalesce(e0, 0)) OVER w AS e FROM gr LEFT JOIN bg USING ({keys}, threshold, g)
+           WINDOW w AS (PARTITION BY {keys}, g ORDER BY threshold ROWS UNBOUNDED PRECEDING)),
+    sc AS (SELECT {keys}, threshold, CAST(sum(n) AS BIGINT) AS accepted_count, CAST(sum(e) AS BIGINT) AS accepted_errors, CAST(count(CASE WHEN n > 0 AND CAST(e AS DOUBLE) / n <= 0.05 THEN 1 END) AS BIGINT) AS groups_fit, count(*) AS groups FROM cg GROUP BY ALL)"""
+
+
+def candidates_sql(keys: str = "detector, split") -> str:
+    return f"""
+    ba AS (SELECT {keys}, max(CASE WHEN groups_fit = groups THEN accepted_count END) AS fe, max(accepted_count) AS al FROM sc GROUP BY ALL),
+    ta AS (SELECT {keys}, fe IS NOT NULL AS from_feasible, CAST(k AS DOUBLE) / 10 AS fraction, greatest(1, CAST(floor(CAST(k AS DOUBLE) / 10 * coalesce(fe, al)) AS BIGINT)) AS target FROM ba, range(1, 11) t(k)),
+    fo AS (SELECT {keys}, from_feasible, fraction, max(threshold) AS tau FROM sc JOIN ta USING ({keys}) WHERE accepted_count <= target GROUP BY ALL),
+    on1 AS (SELECT {keys}, tau, max(fraction) AS fraction, bool_or(from_feasible) AS from_feasible FROM fo GROUP BY ALL),
+    cd AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY tau DESC) AS INT) AS candidate_rank, sha256(concat_ws('|', {keys}, CAST(CAST(round(tau, 9) AS DECIMAL(20, 9)) AS VARCHAR))) AS candidate_id FROM on1)"""
+
+
+SCAN, CANDIDATES = scan_sql(), candidates_sql()
+
+
+def trace_sql(keys: str = "detector, split", group: str = "generator", source: str = "f") -> str:
+    """SQL: tr, the trace: candidates from the units for selection, certified on the others."""
+    on = " AND ".join(f"x.{k.strip()} = kk.{k.strip()}" for k in keys.split(","))
+    return f"""
+    {UNITS}, {_ordered(str(SEED))}, hs AS (SELECT sha256, CASE WHEN n = 1 OR k <= n // 2 THEN 'select' ELSE 'certify' END AS subset FROM rk),
+    fs AS (SELECT x.* FROM {source} x JOIN hs USING (sha256) WHERE subset = 'select'), fc AS (SELECT x.*, {group} AS grp FROM {source} x JOIN hs USING (sha256) WHERE subset = 'certify'),
+    {scan_sql('fs', keys, group)}, {candidates_sql(keys)},
+    kk AS (SELECT *, count(*) OVER (PARTITION BY {keys}) AS candidates FROM cd), gg AS (SELECT {keys}, grp AS g FROM fc GROUP BY ALL), nn AS (SELECT {keys}, count(*) AS groups FROM gg GROUP BY ALL),
+    ct AS (SELECT {', '.join('kk.' + k.strip() for k in keys.split(','))}, candidate_id, candidate_rank, tau, candidates, gg.g, groups, count(x.sample_id) AS accepted_count, CAST(coalesce(sum(base_error), 0) AS BIGINT) AS accepted_errors
+           FROM kk JOIN gg USING ({keys}) JOIN nn USING ({keys}) LEFT JOIN fc x ON {on} AND x.grp = gg.g AND x.risk_score <= kk.tau GROUP BY ALL),
+    kd AS (SELECT DISTINCT accepted_errors AS k, accepted_count AS n, CAST({DELTA} AS DOUBLE) / (candidates * groups) AS d FROM ct), {bound_sql('kd')},
+    t0 AS (SELECT ct.*, cp AS cp_upper, accepted_count > 0 AND cp <= {ALPHA} AS group_certified FROM ct JOIN cp ON k = accepted_errors AND cp.n = accepted_count AND d = CAST({DELTA} AS DOUBLE) / (candidates * groups)),
+    tr AS (SELECT *, bool_and(group_certified) OVER (PARTITION BY {keys}, candidate_id) AS candidate_certified FROM t0)"""
+
+
+def policy_sql(keys: str = "detector, split") -> str:
+    return f"""
+    ea AS (SELECT {keys}, candidate_id, tau, bool_and(candidate_certified) AS ok, CAST(sum(accepted_count) AS BIGINT) AS accepted_count, max(cp_upper) AS max_cp_upper FROM tr GROUP BY ALL),
+    ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY tau DESC, accepted_count DESC, max_cp_upper, candidate_id) AS place FROM ea WHERE ok) WHERE place = 1),
+    po AS (SELECT {keys}, candidate_id, tau, coalesce(accepted_count, 0) AS accepted_count, max_cp_upper, CASE WHEN tau IS NULL THEN 'NO_CERTIFIED_THRESHOLD' ELSE 'CERTIFIED' END AS status FROM (SELECT DISTINCT {keys} FROM ea) LEFT JOIN ch USING ({keys}))"""
+
+
+TRACE, POLICY = trace_sql(), policy_sql()
+SENSITIVITY = """
+    sa1 AS (SELECT tr.*, CAST(a AS DOUBLE) AS alpha FROM tr, (VALUES (0.01), (0.02), (0.05), (0.08), (0.1)) v(a)),
+    se AS (SELECT detector, split, candidate_id, tau, alpha, CAST(sum(accepted_count) AS BIGINT) AS accepted_count, bool_and(accepted_count > 0 AND cp_upper <= alpha) AS certified, max_by(g, (cp_upper, g)) AS bottleneck_group,
+                  coalesce(string_agg(CASE WHEN NOT (accepted_count > 0 AND cp_upper <= alpha) THEN g END, ',' ORDER BY g), '') AS failed_groups, max(cp_upper) - alpha AS margin FROM sa1 GROUP BY detector, split, candidate_id, tau, alpha)"""
+
+
+def _subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks (distinct risks and groups) of both subsets of the half split of units, frozen: the only reading of the rows."""
     f = scores(spark, sf_dir)
-    units = f.where("detector = 'a'")
-    return f.join(policy.half_split(units, "sha256", [F.col("split"), F.col("generator")], SEED).where(F.col("subset") == subset).select("sha256"), "sha256")
+    halves = policy.half_split(_units(spark, sf_dir), "sha256", [F.col("split"), F.col("generator")], SEED).select("sha256", "subset")
+    return freeze(policy.group_blocks(f.join(halves, "sha256"), ["subset", *CTX], "generator"))
+
 
+def _subset(blocks: DataFrame, name: str) -> DataFrame:
+    return blocks.where(F.col("subset") == name).drop("subset")
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return freeze(policy.candidates(policy.group_scan(_selected(spark, sf_dir, "select"), CTX, "generator", ALPHA), CTX))
+
+def _fits(alpha: float = ALPHA) -> Column:
+    return F.col("_e") / F.col("_n") <= alpha
 
 
 @query("threshold_scan_groups", f"WITH {SCORES}, {SCAN} SELECT detector, split, round(threshold, 6) AS threshold, accepted_count, accepted_errors, groups_fit, groups, groups_fit = groups AS feasible FROM sc")
@@ -285,30 +349,36 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace, frozen before a policy is chosen from it; its candidates were frozen before the certification rows were read."""
-    return freeze(policy.certify(_selected(spark, sf_dir, "certify"), _candidates(spark, sf_dir), CTX, "generator", ALPHA, DELTA))
+    blocks = _subsets(spark, sf_dir)
+    cand = freeze(policy.candidates(policy.scan_blocks(_subset(blocks, "select"), CTX, _fits()), CTX))
+    return freeze(policy.certify(_subset(blocks, "certify"), cand, CTX, None, ALPHA, DELTA))
 
 
-@query("certification_trace")
+@query("certification_trace", f"WITH {SCORES}, {TRACE} SELECT detector, split, candidate_id, candidate_rank, round(tau, 9) AS tau, candidates, g, groups, accepted_count, accepted_errors, round(cp_upper, 9) AS cp_upper, group_certified, candidate_certified FROM tr")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_trace(spark, sf_dir), 9)
 
 
-@query("certified_policy")
+@query("certified_policy", f"WITH {SCORES}, {TRACE}, {POLICY} SELECT detector, split, candidate_id, round(tau, 9) AS tau, accepted_count, round(max_cp_upper, 9) AS max_cp_upper, status FROM po")
 def certified_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.certified_policy(_trace(spark, sf_dir), CTX), 9)
 
 
-@query("alpha_sensitivity")
+@query("alpha_sensitivity", f"WITH {SCORES}, {TRACE}, {SENSITIVITY} SELECT detector, split, candidate_id, round(tau, 9) AS tau, alpha, accepted_count, certified, bottleneck_group, failed_groups, round(margin, 9) AS margin FROM se")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.alpha_sensitivity(_trace(spark, sf_dir), CTX, [0.01, 0.02, 0.05, 0.08, 0.1]), 9)
 
 
-@query("best_failed_candidates")
+@query("best_failed_candidates", f"""
+    WITH {SCORES}, {TRACE}, {SENSITIVITY}, bf AS (SELECT *, row_number() OVER (PARTITION BY detector, split, alpha ORDER BY round(margin, 12), accepted_count DESC, tau DESC, candidate_id) AS k FROM se WHERE NOT certified)
+    SELECT detector, split, candidate_id, round(tau, 9) AS tau, alpha, accepted_count, certified, bottleneck_group, failed_groups, round(margin, 9) AS margin FROM bf WHERE k = 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.best_failed(policy.alpha_sensitivity(_trace(spark, sf_dir), CTX, [0.01, 0.02, 0.05, 0.08, 0.1]), CTX), 9)
 
 
-@query("bottleneck_groups")
+@query("bottleneck_groups", f"""
+    WITH {SCORES}, {TRACE}, {POLICY}, bn AS (SELECT tr.*, row_number() OVER (PARTITION BY tr.detector, tr.split ORDER BY tr.cp_upper DESC, tr.accepted_count, g) AS k FROM tr JOIN po ON tr.detector = po.detector AND tr.split = po.split AND tr.candidate_id = po.candidate_id)
+    SELECT detector, split, round(tau, 9) AS tau, g AS bottleneck_group, accepted_count, round(cp_upper, 9) AS cp_upper FROM bn WHERE k = 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _trace(spark, sf_dir)
     return rounded(policy.bottleneck(trace, policy.certified_policy(trace, CTX), CTX), 9)
@@ -320,33 +390,40 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(n.withColumn("cp_upper", zero_error_bound(F.col("n"), F.lit(DELTA))), 9)
 
 
-@query("cp_upper_curve")
+CURVE_BOUNDS = f"""
+    k0 AS (SELECT DISTINCT accepted_errors AS k, accepted_count AS n, CAST({DELTA} AS DOUBLE) AS d FROM c), {bound_sql('k0')}"""
+
+
+@query("cp_upper_curve", f"""
+    WITH {SCORES}, {BLOCKS}, {CURVE_BOUNDS} SELECT detector, split, round(threshold, 9) AS threshold, accepted_count, accepted_errors, c.n, round(CAST(accepted_count AS DOUBLE) / c.n, 9) AS coverage, round(CAST(accepted_errors AS DOUBLE) / accepted_count, 9) AS empirical_risk, round(cp, 9) AS cp_upper
+    FROM c JOIN cp ON cp.k = accepted_errors AND cp.n = accepted_count""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.threshold_curve(scores(spark, sf_dir), CTX, DELTA), 9)
 
 
-@query("global_threshold_selected")
+@query("global_threshold_selected", f"""
+    WITH {SCORES}, {BLOCKS}, fe AS (SELECT *, CASE WHEN accepted_errors = accepted_count OR accepted_errors > {ALPHA} * accepted_count THEN false ELSE {tail_sql('accepted_errors', 'accepted_count', f'CAST({ALPHA} AS DOUBLE)')} <= {DELTA} END AS fits FROM c),
+    se AS (SELECT detector, split, max(CASE WHEN fits THEN accepted_count END) AS best FROM fe GROUP BY ALL), pk AS (SELECT c.*, best FROM c JOIN se USING (detector, split) WHERE accepted_count = best),
+    k0 AS (SELECT DISTINCT accepted_errors AS k, accepted_count AS n, CAST({DELTA} AS DOUBLE) AS d FROM pk), {bound_sql('k0')}
+    SELECT se.detector, se.split, round(pk.threshold, 9) AS tau, coalesce(pk.accepted_count, 0) AS accepted_count, pk.accepted_errors, round(coalesce(CAST(pk.accepted_count AS DOUBLE) / pk.n, 0), 9) AS coverage, round(cp, 9) AS cp_upper,
+           CASE WHEN se.best IS NULL THEN 'no_feasible_nonempty_threshold' ELSE 'selected' END AS status FROM se LEFT JOIN pk USING (detector, split) LEFT JOIN cp ON cp.k = pk.accepted_errors AND cp.n = pk.accepted_count""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.select_threshold(policy.threshold_curve(scores(spark, sf_dir), CTX, DELTA), CTX, ALPHA), 9)
 
 
-@query("coverage_at_cp_risk")
+@query("coverage_at_cp_risk", f"""
+    WITH {SCORES}, {PREFIX}, al AS (SELECT CAST(a AS DOUBLE) AS alpha FROM (VALUES (0.01), ({ALPHA})) v(a)),
+    fe AS (SELECT detector, split, alpha, k, n, CASE WHEN e = k OR e > alpha * k THEN false ELSE {tail_sql('CAST(e AS BIGINT)', 'k', 'alpha')} <= {DELTA} END AS fits FROM r, al)
+    SELECT detector, split, alpha, round(coalesce(max(CASE WHEN fits THEN k END), 0) / CAST(max(n) AS DOUBLE), 9) AS coverage FROM fe GROUP BY detector, split, alpha""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_cp_upper(ranking.prefix_rows(scores(spark, sf_dir).where("detector = 'a'"), CTX), "accepted_errors", "accepted_count", F.lit(DELTA))
-    return rounded(rows.groupBy(*CTX).agg((F.coalesce(F.max(F.when(F.col("cp_upper") <= ALPHA, F.col("accepted_count"))), F.lit(0)) / F.max("accepted_count")).alias("coverage")), 9)
+    return rounded(ranking.coverage_at_cp_risk(scores(spark, sf_dir), CTX, [0.01, ALPHA], DELTA), 9)
 
 
 # Splits and folds.
 
-UNITS = "u AS (SELECT sha256, min_by(concat_ws('|', split, generator), sample_id) AS stratum FROM f WHERE detector = 'a' GROUP BY sha256)"
-
-
-def _ordered(seed: str) -> str:
-    return f"rk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{seed}|' || sha256), sha256) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM u)"
-
-
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).where("detector = 'a'")
+    """The samples, once each: all detectors score the same ones."""
+    return scores(spark, sf_dir).select("sha256", "sample_id", "split", "generator").distinct()
 
 
 STRATA = ["split", "generator"]
@@ -372,22 +449,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _units(spark, sf_dir)
-    return rows.join(policy.folds(rows, "sha256", [F.col(c) for c in STRATA], SEED).select("sha256", "cv_fold"), "sha256")
+    return scores(spark, sf_dir).join(policy.folds(_units(spark, sf_dir), "sha256", [F.col(c) for c in STRATA], SEED).select("sha256", "cv_fold"), "sha256")
+
+
+FOLDED = "ff AS (SELECT f.*, cv_fold FROM f JOIN fd USING (sha256)), sp AS (SELECT sha256, count(DISTINCT cv_fold) AS many FROM ff GROUP BY sha256)"
 
 
 @query("fold_audit", f"""
-    WITH {SCORES}, {UNITS}, {_ordered(str(SEED))}, {FOLDS} SELECT cv_fold, count(*) AS n_rows, count(DISTINCT sha256) AS n_units, CAST(sum(base_error) AS BIGINT) AS n_errors, CAST(sum(1 - base_error) AS BIGINT) AS n_correct, CAST(0 AS BIGINT) AS leaked_units
-    FROM f JOIN fd USING (sha256) WHERE detector = 'a' GROUP BY cv_fold""")
+    WITH {SCORES}, {UNITS}, {_ordered(str(SEED))}, {FOLDS}, {FOLDED} SELECT detector, cv_fold, count(*) AS n_rows, count(DISTINCT ff.sha256) AS n_units, CAST(sum(base_error) AS BIGINT) AS n_errors, CAST(sum(1 - base_error) AS BIGINT) AS n_correct, count(DISTINCT CASE WHEN many > 1 THEN ff.sha256 END) AS leaked_units
+    FROM ff JOIN sp ON ff.sha256 = sp.sha256 GROUP BY detector, cv_fold""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.fold_audit(_folded(spark, sf_dir), "sha256", ["detector", "cv_fold"], "cv_fold")
+
+
+@query("fold_audit_of_a_leaky_split", """
+    WITH d AS (SELECT sha256(text) AS sha256, CAST(doc_id % 5 AS INT) AS cv_fold, CAST(doc_id % 2 AS INT) AS base_error FROM documents), sp AS (SELECT sha256, count(DISTINCT cv_fold) AS many FROM d GROUP BY sha256)
+    SELECT cv_fold, count(*) AS n_rows, count(DISTINCT d.sha256) AS n_units, CAST(sum(base_error) AS BIGINT) AS n_errors, CAST(sum(1 - base_error) AS BIGINT) AS n_correct, count(DISTINCT CASE WHEN many > 1 THEN d.sha256 END) AS leaked_units FROM d JOIN sp ON d.sha256 = sp.sha256 GROUP BY cv_fold""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.fold_audit(_folded(spark, sf_dir), "sha256")
+    rows = texts(spark, sf_dir).select("sha256", F.pmod("doc_id", F.lit(5)).cast("int").alias("cv_fold"), F.pmod("doc_id", F.lit(2)).cast("int").alias("base_error"))
+    return policy.fold_audit(rows, "sha256", ["cv_fold"], "cv_fold")
 
 
 @query("base_rate_predictor", f"""
-    WITH {SCORES}, {UNITS}, {_ordered(str(SEED))}, {FOLDS}, s AS (SELECT cv_fold, sum(base_error) AS e, count(*) AS n FROM f JOIN fd USING (sha256) WHERE detector = 'a' GROUP BY cv_fold)
-    SELECT cv_fold, round((sum(e) OVER () - e) / CAST(sum(n) OVER () - n AS DOUBLE), 6) AS base_rate FROM s""")
+    WITH {SCORES}, {UNITS}, {_ordered(str(SEED))}, {FOLDS}, {FOLDED}, s AS (SELECT detector, cv_fold, sum(base_error) AS e, count(*) AS n FROM ff GROUP BY detector, cv_fold)
+    SELECT detector, cv_fold, round((sum(e) OVER (PARTITION BY detector) - e) / CAST(sum(n) OVER (PARTITION BY detector) - n AS DOUBLE), 6) AS base_rate FROM s""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fitting.fold_base_rate(_folded(spark, sf_dir), "base_error"))
+    return rounded(fitting.fold_base_rate(_folded(spark, sf_dir), "base_error", ["detector"]))
 
 
 @query("hash_folds_mod5", "SELECT event_id, sha256('42:' || event_id) AS digest, CAST(list_sum([strpos('0123456789abcdef', c) - 1 FOR c IN string_split(substr(sha256('42:' || event_id), 1, 16), '')]) % 5 AS INT) AS fold FROM events")
@@ -502,9 +589,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("detector", "generator").orderBy(F.desc("risk_score"))
-    rows = scores(spark, sf_dir).where("base_error = 1").select("detector", "generator", "sample_id", "risk_score")
-    return rounded(rows.withColumns({"place": F.row_number().over(W.partitionBy("detector", "generator").orderBy(F.desc("risk_score"), "sample_id")), "level": F.dense_rank().over(w)}))
+    cell = ["detector", "generator"]
+    rows = scores(spark, sf_dir).where("base_error = 1").select(*cell, "sample_id", "risk_score", (-F.col("risk_score")).alias("_down"))
+    placed = ranking.ranked(rows, cell, ["_down", "sample_id"], "place").drop("_down")
+    levels = placed.select(*cell, "risk_score").distinct().withColumn("level", F.row_number().over(W.partitionBy(*cell).orderBy(F.desc("risk_score"))))
+    return rounded(placed.join(levels, [*cell, "risk_score"]).withColumn("place", F.col("place").cast("int")))
 
 
 @query("deterministic_cases")
@@ -605,21 +694,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.near_duplicate_groups(texts(spark, sf_dir), "sha256").select("doc_id", "near_duplicate_group")
 
 
-@query("archive_family_parse", r"""
-    WITH n AS (SELECT p_partkey, replace(lower(p_name), ' ', '_') || '.7z.' || lpad(CAST(p_partkey % 40 AS VARCHAR), 3, '0') AS name FROM part)
-    SELECT p_partkey, regexp_replace(name, '(\.(7z|zip|tar|tgz|rar))?\.(\d{3}|z\d{2}|part\d+)$', '') AS family, nullif(regexp_extract(name, '\.(\d{3}|z\d{2}|part\d+)$', 1), '') AS part FROM n""")
+ENDS = (".zip", ".z01", ".Z02", ".ZIP", ".tar.gz", "")
+
+
+# The SQL takes paths apart by their segments and last extension, not by the operator's patterns.
+@query("archive_family_parse", f"""
+    WITH n AS (SELECT p_partkey, lower(p_brand) || '/data/' || replace(p_name, ' ', '_') || [{', '.join(f"'{e}'" for e in ENDS)}][CAST(p_partkey % {len(ENDS)} AS INT) + 1] AS path FROM part),
+    s AS (SELECT *, split_part(path, '/', 1) AS source, list_extract(string_split(path, '/'), -1) AS base FROM n),
+    t AS (SELECT *, lower(CASE WHEN contains(base, '.') THEN list_extract(string_split(base, '.'), -1) ELSE '' END) AS ext, CASE WHEN contains(base, '.') THEN array_to_string(string_split(base, '.')[:-2], '.') ELSE base END AS stem FROM s)
+    SELECT p_partkey, source, source || '/' || stem AS family, CASE WHEN ext = 'zip' OR (left(ext, 1) = 'z' AND TRY_CAST(substr(ext, 2) AS INT) IS NOT NULL) THEN ext ELSE '' END AS part FROM t""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.lit(".7z."), F.lpad((F.col("p_partkey") % 40).cast("string"), 3, "0"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return rows.select("p_partkey", X.archive_family(F.col("name")).alias("family"), X.archive_part(F.col("name")).alias("part"))
+    end = F.element_at(F.array(*[F.lit(e) for e in ENDS]), (F.col("p_partkey") % len(ENDS) + 1).cast("int"))
+    path = F.concat(F.lower("p_brand"), F.lit("/data/"), F.replace("p_name", F.lit(" "), F.lit("_")), end)
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.select("p_partkey", X.path_source(F.col("path")).alias("source"), X.archive_family(F.col("path")).alias("family"), X.archive_part(F.col("path")).alias("part"))
 
 
 @query("url_id_parse", r"""
-    WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '?a=1&id=p' || page_id WHEN 1 THEN 'https://files.example/d/x' || page_id || '/view' ELSE url END AS url FROM pages)
-    SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]id=([^&#]+)', 1), ''), nullif(regexp_extract(url, '/d/([^/?#]+)', 1), '')) AS id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM u""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, u = F.col("page_id").cast("string"), F.col("url")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(u, F.lit("?a=1&id=p"), i)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://files.example/d/x"), i, F.lit("/view"))).otherwise(u)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'p ' || page_id WHEN 1 THEN 'x' || page_id WHEN 2 THEN 'q' || page_id ELSE 'y' || page_id END AS id,
+           regexp_replace(CASE page_id % 4 WHEN 0 THEN url || '?a=1&id=p%20' || page_id WHEN 1 THEN 'https://files.example/d/x' || page_id || '/view' WHEN 2 THEN 'https://files.example/d/no?id=q' || page_id || '&id=z' ELSE 'https://files.example/a/d/y' || page_id || '?to=/d/no' END, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM pages""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, u, k = F.col("page_id").cast("string"), F.col("url"), F.col("page_id") % 4
+    site = F.lit("https://files.example")
+    url = (
+        F.when(k == 0, F.concat(u, F.lit("?a=1&id=p%20"), i)).when(k == 1, F.concat(site, F.lit("/d/x"), i, F.lit("/view")))
+        .when(k == 2, F.concat(site, F.lit("/d/no?id=q"), i, F.lit("&id=z"))).otherwise(F.concat(site, F.lit("/a/d/y"), i, F.lit("?to=/d/no")))
+    )
     return table(spark, sf_dir, "pages").select("page_id", X.url_id(url).alias("id"), X.safe_name(url).alias("safe"))
 
 
@@ -689,47 +789,78 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models.
 
 
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _folded(spark, sf_dir)
+def _training(spark: SparkSession, sf_dir: str, detector: str) -> DataFrame:
+    rows = _folded(spark, sf_dir).where(F.col("detector") == detector)
     return rows.withColumns({"x0": F.col("risk_score"), "x1": F.abs("score"), "x2": (F.col("generator") == "R").cast("double")})
 
 
 CS = [0.01, 0.1, 1.0]
 
 
+MODEL_FEATURES = ["x0", "x1", "x2"]
+MODELLED = [d for d, _, _ in DETECTORS]
+
+
+def _each(make: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows of every detector's table."""
+    return reduce(DataFrame.unionByName, [make(d).select(F.lit(d).alias("detector"), "*") for d in MODELLED])
+
+
 @query("c_grid_selection")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir)
-    models = fitting.fit_grid(rows, ["x0", "x1", "x2"], "base_error", CS, list(range(5)))
-    found = fitting.grid_metrics(rows, models, "base_error", CS)
-    best = fitting.choose([r.asDict() for r in found.collect()])
-    return rounded(found.withColumn("chosen", F.col("c") == best["c"]), 9)
+    def own(detector: str) -> DataFrame:
+        rows = freeze(_training(spark, sf_dir, detector))
+        found = fitting.grid_metrics(rows, fitting.fit_grid(rows, MODEL_FEATURES, "base_error", CS, list(range(5))), "base_error", CS)
+        best = fitting.choose([r.asDict() for r in found.collect()])  # one row for each C
+        return found.withColumn("chosen", F.col("c") == best["c"])
+
+    return rounded(_each(own), 9)
 
 
 @query("logistic_fit")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fitting.fit_grid(_training(spark, sf_dir), ["x0", "x1", "x2"], "base_error", [1.0], [None])[None, 1.0]
-    rows = [(f, c, m, s) for f, c, m, s in zip(model.feature_order, model.coefficients, model.means, model.scales)] + [("intercept", model.intercept, 0.0, 1.0)]
-    return rounded(spark.createDataFrame(rows, "feature string, coefficient double, mean double, scale double"))
+    def own(detector: str) -> DataFrame:
+        rows = freeze(_training(spark, sf_dir, detector))
+        return fitting.coefficient_summary(rows, fitting.fit_grid(rows, MODEL_FEATURES, "base_error", [1.0], [None])[None, 1.0])
+
+    return rounded(_each(own))
 
 
 @query("oof_scores")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir)
-    models = fitting.fit_grid(rows, ["x0", "x1", "x2"], "base_error", [1.0], list(range(5)))
-    return rounded(fitting.out_of_fold(rows, models, 1.0).select("sample_id", "cv_fold", "risk_score"))
+    def own(detector: str) -> DataFrame:
+        rows = freeze(_training(spark, sf_dir, detector).drop("detector"))
+        return fitting.out_of_fold(rows, fitting.fit_grid(rows, MODEL_FEATURES, "base_error", [1.0], list(range(5))), 1.0).select("sample_id", "cv_fold", "risk_score")
+
+    return rounded(_each(own))
 
 
 @query("temperature_fit")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scores(spark, sf_dir)
-    rows = [(d, fitting.fit_temperature(f.where(F.col("detector") == d), "score", "label")) for d in ("a", "b")]
+    rows = [(d, fitting.fit_temperature(f.where(F.col("detector") == d), "score", "label")) for d in MODELLED]
     return rounded(spark.createDataFrame(rows, "detector string, temperature double"))
 
 
+#: Features of a model that are left out, one set for each variant.
+VARIANTS = {"full": ["x0", "x1", "x2"], "without_x0": ["x1", "x2"], "without_x1": ["x0", "x2"], "without_x2": ["x0", "x1"], "only_x0": ["x0"]}
+
+
+@query("feature_ablations")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold metrics of every detector and feature set, the set as a column."""
+    def own(detector: str) -> DataFrame:
+        rows = freeze(_training(spark, sf_dir, detector).drop("detector"))
+        scored = [fitting.out_of_fold(rows, fitting.fit_grid(rows, names, "base_error", [1.0], list(range(5))), 1.0).select(F.lit(v).alias("variant"), "base_error", "risk_score", "sample_id") for v, names in VARIANTS.items()]
+        every = freeze(reduce(DataFrame.unionByName, scored))
+        return evaluate.nll_brier(every, ["variant"], "risk_score", "base_error").join(ranking.auroc_average_precision(every, ["variant"]), "variant").join(ranking.aurc(every, ["variant"]), "variant")
+
+    return rounded(_each(own))
+
+
 # Resampling.
 
-REPLICATES = 20
+REPLICATES, REPEATS = 20, 5
 WEIGHTS = """
     rep AS (SELECT CAST(i AS INT) AS replicate FROM range(0, 20) t(i)),
     un AS (SELECT DISTINCT detector, generator, sha256 FROM f),
@@ -775,12 +906,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("permutation_importance")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir)
-    names = ["x0", "x1", "x2"]
-    model = fitting.fit_grid(rows, names, "base_error", [1.0], [None])[None, 1.0]
-    out = None
-    for name in ["none", *names]:
-        moved = rows if name == "none" else resample.shuffled(rows, ["generator"], name, "sample_id", SEED)
-        row = moved.withColumn("r", model.risk()).agg(F.lit(name).alias("feature"), F.avg(S.nll(F.col("r"), F.col("base_error"))).alias("nll"))
-        out = row if out is None else out.unionByName(row)
-    return rounded(out, 9)
+    """Of every detector and feature, how much NLL and Brier grow when the feature is shuffled, over REPEATS shuffles: mean, median and interval."""
+    def own(detector: str) -> DataFrame:
+        rows = freeze(_training(spark, sf_dir, detector).drop("detector"))
+        model = fitting.fit_grid(rows, MODEL_FEATURES, "base_error", [1.0], [None])[None, 1.0]
+        y = F.col("base_error")
+        metrics = [F.avg(S.nll(F.col("r"), y)).alias("nll"), F.avg((F.col("r") - y) * (F.col("r") - y)).alias("brier")]
+        base = rows.withColumn("r", model.risk()).agg(*[m.alias(f"base_{n}") for m, n in zip(metrics, ("nll", "brier"), strict=True)])
+        moved = [resample.shuffled(rows, [], name, "sample_id", SEED, repeats=REPEATS).withColumn("r", model.risk()).groupBy("replicate").agg(F.lit(name).alias("feature"), *metrics) for name in MODEL_FEATURES]
+        each = reduce(DataFrame.unionByName, moved).join(F.broadcast(base), F.lit(True))  # one row
+        long = each.select("feature", "replicate", F.expr("stack(2, 'nll', base_nll, nll - base_nll, 'brier', base_brier, brier - base_brier) AS (metric, baseline_value, draw)"))
+        ci = resample.percentile_ci(long, ["feature", "metric"])
+        return long.groupBy("feature", "metric").agg(F.max("baseline_value").alias("baseline_value"), F.avg("draw").alias("mean_degradation"), F.percentile("draw", 0.5).alias("median_degradation")).join(ci, ["feature", "metric"])
+
+    return rounded(_each(own), 9)

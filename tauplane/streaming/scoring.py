@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tauplane.functions import scores as S
+from tauplane.operators.ranking import small
 
 
 def scored(stream: DataFrame, policy: DataFrame, ctx: list[str], p: str = "p") -> DataFrame:
     """Every row with risk_score and accepted by its cell's tau; a cell without a policy accepts nothing. policy: one row for each cell."""
-    joined = stream.join(F.broadcast(policy.select(*ctx, "tau")), ctx, "left")
+    joined = stream.join(small(policy.select(*ctx, "tau")), ctx, "left")
     return joined.withColumn("risk_score", S.msp_risk(F.col(p))).withColumn("accepted", S.accepted(F.col("risk_score"), F.col("tau")))
 
 
