@@ -139,13 +139,13 @@ def metric_summary(df: DataFrame, ctx: list[str], delta: float = 0.05) -> DataFr
     n = df.groupBy(*ctx).agg(F.count("*").alias("n"))
     rows = prefix_rows(df, ctx).join(small(n), ctx)
     for a in RISKS:
-        rows = rows.withColumn(f"_cp{a}", cp_feasible("accepted_errors", "accepted_count", F.lit(float(delta)), F.lit(a)))
+        rows = rows.withColumn(f"_cp{a * 100:.0f}", cp_feasible("accepted_errors", "accepted_count", F.lit(float(delta)), F.lit(a)))
     k, risk = F.col("accepted_count"), F.col("accepted_errors") / F.col("accepted_count")
     share = lambda fits: F.coalesce(F.max(F.when(fits, k)), F.lit(0)) / F.max("n")
     wide = rows.groupBy(*ctx).agg(
         F.avg(risk).alias("AURC"), F.max("n").alias("_n"), F.sum(F.col("base_error").cast("long")).alias("_e"),
         *[F.max(F.when(k == F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("n"))), risk)).alias(f"risk_at_{c * 100:.0f}pct_coverage") for c in COVERAGES],
-        *[share(risk <= a).alias(f"coverage_empirical_risk_le_{a * 100:.0f}pct") for a in RISKS], *[share(F.col(f"_cp{a}")).alias(f"coverage_cp_risk_le_{a * 100:.0f}pct") for a in RISKS],
+        *[share(risk <= a).alias(f"coverage_empirical_risk_le_{a * 100:.0f}pct") for a in RISKS], *[share(F.col(f"_cp{a * 100:.0f}")).alias(f"coverage_cp_risk_le_{a * 100:.0f}pct") for a in RISKS],
     )
     wide = wide.withColumn("E_AURC", F.col("AURC") - optimal_aurc(F.col("_n"), F.col("_e"))).drop("_n", "_e")
     area = auroc_average_precision(df, ctx).withColumnsRenamed({"auroc": "error_detection_AUROC", "average_precision": "error_detection_AUPR"})

@@ -8,13 +8,18 @@ are drawn for each (stratum, category, unit) and summed where they stand.
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tauplane.functions.text import stable_rank, uniform
-from tauplane.operators.ranking import ranked, small
+from tauplane.functions.text import uniform
+from tauplane.operators.ranking import harmonic, optimal_aurc, ranked, running, small
+from tauplane.sources.freeze import freeze
 
 #: P(X <= k) of a Poisson variable of mean 1; beyond the last, k is its length.
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
@@ -94,3 +99,115 @@ def shuffled(df: DataFrame, ctx: list[str], column: str, unit: str, seed: int, r
     a = ranked(rows, cell, [unit])
     b = ranked(rows.select(*cell, F.col(column).alias("_v"), uniform(seed, F.col("replicate"), F.col(unit)).alias("_u"), unit), cell, ["_u", unit])
     return a.drop(column).join(b.select(*cell, "_k", "_v"), [*cell, "_k"]).withColumnRenamed("_v", column).drop("_k")
+
+
+# Draws within strata.
+
+
+def _stratified(df: DataFrame, unit: str, strata: list[str]) -> tuple[DataFrame, list[str]]:
+    rows = df.withColumn("_all", F.lit(1))
+    keys = strata or ["_all"]
+    return rows.select(*keys, unit).distinct(), keys
+
+
+def drawn_units(df: DataFrame, unit: str, strata: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, unit, weight): of every stratum as many units drawn with replacement as it has; a unit that isn't drawn has no row."""
+    own, keys = _stratified(df, unit, strata)
+    units = freeze(ranked(own, keys, [unit]))
+    sized = units.join(small(units.groupBy(*keys).agg(F.count("*").alias("_n"))), keys)
+    place = F.least(F.floor(uniform(seed, F.col("replicate"), F.col(unit)) * F.col("_n")) + 1, F.col("_n"))
+    drawn = replicated(sized, replicates).select("replicate", *keys, place.alias("_k")).groupBy("replicate", *keys, "_k").agg(F.count("*").alias("weight"))
+    return drawn.join(units, [*keys, "_k"]).select("replicate", unit, "weight")
+
+
+def stratified_poisson(df: DataFrame, unit: str, strata: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, unit, weight): Poisson weights of units; a stratum whose units would all have weight 0 keeps one, drawn by its hash."""
+    own, keys = _stratified(df, unit, strata)
+    drawn = replicated(own, replicates).withColumn("_u", uniform(seed, F.col("replicate"), F.col(unit))).withColumn("weight", poisson_weight(F.col("_u")))
+    none = drawn.groupBy("replicate", *keys).agg(F.sum("weight").alias("_t"), F.max_by(unit, F.struct("_u", unit)).alias("_one")).where("_t = 0").drop("_t")
+    return drawn.join(none, ["replicate", *keys], "left").select("replicate", unit, F.when(F.col("_one") == F.col(unit), 1).otherwise(F.col("weight")).alias("weight"))
+
+
+def by_weights(df: DataFrame, weights: DataFrame, unit: str) -> DataFrame:
+    return df.join(weights, unit)
+
+
+def weighted_mean(df: DataFrame, ctx: list[str], value: Column) -> DataFrame:
+    """The weighted mean of a value in every cell and replicate (weighted NLL, say)."""
+    return df.groupBy(*ctx, "replicate").agg(F.try_divide(F.sum(F.col("weight") * value), F.nullif(F.sum("weight"), F.lit(0))).alias("draw"))
+
+
+def repeated_aurc(df: DataFrame, ctx: list[str]) -> DataFrame:
+    """(ctx, replicate, draw, excess): the exact AURC of every row repeated weight times, in the order (risk, sample).
+
+    Copies of a row after K rows with E errors add the sum of (E + j) / (K + j) if
+    it is an error, and of E / (K + j) if not: differences of harmonic numbers.
+    """
+    keys = [*ctx, "replicate"]
+    rows = running(df.where("weight > 0"), keys, ["risk_score", "sample_id"], {"_k": F.col("weight"), "_e": F.col("weight") * F.col("base_error")})
+    w, e = F.col("weight"), F.col("base_error")
+    k, errors = F.col("_k") - w, F.col("_e") - w * e
+    span = harmonic(F.col("_k")) - harmonic(k)
+    area = F.when(e == 1, w - (k - errors) * span).otherwise(errors * span)
+    out = rows.groupBy(*keys).agg(F.sum(area).alias("_a"), F.sum(w).alias("_n"), F.sum(w * e).alias("_m"))
+    out = out.withColumn("draw", F.col("_a") / F.col("_n"))
+    return out.select(*keys, "draw", (F.col("draw") - optimal_aurc(F.col("_n"), F.col("_m"))).alias("excess"))
+
+
+def multinomial_counts(counts: DataFrame, ctx: list[str], stratum: str, category: str, replicates: int, seed: int, chunk: int = 100) -> DataFrame:
+    """(ctx, replicate, category, many): every stratum's total dealt anew to its categories, by their shares, and summed over strata.
+
+    counts: ctx, stratum, category, n. A replicate's generator is seeded by the
+    cell and its number, so draws don't depend on partitions.
+    """
+    kinds = [f for f in counts.schema.fields if f.name in ctx]
+    schema = T.StructType([*kinds, T.StructField("replicate", T.IntegerType()), T.StructField(category, T.StringType()), T.StructField("many", T.LongType())])
+
+    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.sort_values([stratum, category]).pivot_table(index=stratum, columns=category, values="n", aggfunc="sum", fill_value=0).sort_index(axis=0).sort_index(axis=1)
+        own, totals = wide.to_numpy(np.float64), wide.to_numpy(np.int64).sum(1)
+        cell, first = "|".join(map(str, key[:-1])), int(key[-1]) * chunk
+        rows = []
+        for r in range(first, min(first + chunk, replicates)):
+            rng = np.random.default_rng([seed, zlib.crc32(cell.encode()), r])
+            total = sum(rng.multinomial(n, x / x.sum()) for n, x in zip(totals, own, strict=True) if n)
+            rows += [(*key[:-1], r, c, int(v)) for c, v in zip(wide.columns, total, strict=True)]
+        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk)))
+    return counts.withColumn("_chunk", chunks).groupBy(*ctx, "_chunk").applyInPandas(draw, schema)
+
+
+def category_metrics(counts: DataFrame, ctx: list[str]) -> DataFrame:
+    """(ctx, replicate, metric, draw): the five ratio metrics of bootstrap categories; null where a denominator is 0."""
+    def total(*names: str) -> Column:
+        return F.sum(F.when(F.col("category").isin(*names), F.col("many")).otherwise(0))
+
+    kinds = ("accepted_real_error", "accepted_real_correct", "accepted_fake_error", "accepted_fake_correct", "accepted_other_error", "accepted_other_correct")
+    wide = counts.groupBy(*ctx, "replicate").agg(total(*kinds).alias("a"), total(*kinds, "rejected").alias("n"), total(*kinds[::2]).alias("e"), total(kinds[0]).alias("re"), total(*kinds[:2]).alias("r"), total(kinds[2]).alias("fe"), total(*kinds[2:4]).alias("f"))
+    share = lambda x, y: F.try_divide(F.col(x), F.nullif(F.col(y), F.lit(0)))
+    far, miss = share("re", "r"), share("fe", "f")
+    metrics = {"coverage": share("a", "n"), "selective_risk": share("e", "a"), "accepted_FPR": far, "accepted_FNR": miss, "balanced_selective_risk": F.coalesce((far + miss) / 2, far, miss)}
+    return wide.select(*ctx, "replicate", *[c.alias(k) for k, c in metrics.items()]).unpivot([*ctx, "replicate"], list(metrics), "metric", "draw")
+
+
+def paired_metrics(counts: DataFrame, ctx: list[str]) -> DataFrame:
+    """(ctx, replicate, metric, draw): the first method's metrics minus the second's, from counts of paired categories."""
+    keys = [*ctx, "replicate"]
+    part = F.split("category", r"\|")
+    rows = counts.select(*keys, part[0].alias("g"), *[part[k].cast("int").alias(n) for k, n in ((1, "label"), (2, "prediction"), (3, "error"))], "many", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), part[k].cast("int").alias("a")) for m, k in (("first", 4), ("second", 5))])).alias("x"))
+    rows = rows.select(*keys, "g", "label", "prediction", "error", "many", "x.method", (F.col("many") * F.col("x.a")).alias("in"))
+    part_of = lambda c: F.sum(F.when(c, F.col("in")).otherwise(0))
+    y, p = F.col("label"), F.col("prediction")
+    groups = rows.groupBy(*keys, "method", "g").agg(
+        F.sum("many").alias("n"), F.sum("in").alias("a"), F.sum(F.col("in") * F.col("error")).alias("e"), part_of(y == 0).alias("r"), part_of((y == 0) & (p == 1)).alias("re"), part_of(y == 1).alias("f"), part_of((y == 1) & (p == 0)).alias("fe")
+    )
+    share = lambda x, z: F.try_divide(x, F.nullif(z, F.lit(0)))
+    each = groups.withColumns({"risk": share(F.col("e"), F.col("a")), "cov": share(F.col("a"), F.col("n"))})
+    wide = each.groupBy(*keys, "method").agg(
+        share(F.sum("a"), F.sum("n")).alias("coverage"), share(F.sum("e"), F.sum("a")).alias("selective_risk"), share(F.sum("re"), F.sum("r")).alias("far"), share(F.sum("fe"), F.sum("f")).alias("miss"),
+        F.max("risk").alias("worst_group_selective_risk"), F.min("cov").alias("minimum_group_coverage"),
+    ).withColumn("balanced_selective_risk", F.coalesce((F.col("far") + F.col("miss")) / 2, "far", "miss"))
+    names = ["coverage", "selective_risk", "balanced_selective_risk", "worst_group_selective_risk", "minimum_group_coverage"]
+    long = wide.select(*keys, "method", *names).unpivot([*keys, "method"], names, "metric", "draw")
+    return paired_difference(long, [*ctx, "metric"], "method", "first", "second")

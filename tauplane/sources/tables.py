@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tauplane.operators.relational import changed_files, upsert
+from tauplane.functions.text import latex_escaped
+from tauplane.operators.relational import assert_unique, changed_files, upsert
 
 #: The columns of a strict manifest, all strings.
 MANIFEST = (
@@ -102,6 +103,44 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in floats}) if floats else df
 
 
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small artifact as one JSON file, keys sorted and NaN allowed, by Spark's writer."""
+    text = json.dumps(value, sort_keys=True, allow_nan=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def latex(df: DataFrame, caption: str, most: int = 1000) -> str:
+    """A small table as a LaTeX tabular with escaped cells; more rows than that are an error, not cut."""
+    rows = df.select(*[latex_escaped(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in df.columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("the table is too long to be rendered")
+    head = df.sparkSession.createDataFrame([(c,) for c in [caption, *df.columns]], "c string").select(latex_escaped(F.col("c"))).collect()
+    title, *names = [r[0] for r in head]
+    body = "\n".join(" & ".join(r) + r" \\" for r in rows)
+    return f"\\begin{{table}}\n\\caption{{{title}}}\n\\begin{{tabular}}{{{'l' * len(names)}}}\n{' & '.join(names)} \\\\\n\\hline\n{body}\n\\end{{tabular}}\n\\end{{table}}"
+
+
+def shards(spark: SparkSession, paths: list[str], keys: list[str], rows: int | None = None) -> DataFrame:
+    """Several shards as one table; keys that are there twice, or another number of rows than expected, are an error."""
+    df = assert_unique(parquet(spark, paths), keys)
+    if rows is not None and (found := df.count()) != rows:
+        raise ValueError(f"{found} rows, not {rows}")
+    return df
+
+
+def provenance(spark: SparkSession, *names: str) -> dict[str, str]:
+    """The versions that a result was made with."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    out = {"spark": spark.version, "master": spark.sparkContext.master, "application": spark.sparkContext.applicationId}
+    for name in names:
+        try:
+            out[name] = version(name)
+        except PackageNotFoundError:
+            out[name] = "missing"
+    return out
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small table as Markdown; more rows than that are an error, not cut."""
     rows = df.limit(most + 1).collect()
