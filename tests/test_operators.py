@@ -121,7 +121,7 @@ def test_folds_keep_units_together(spark):
     df = spark.createDataFrame([(f"s{k}", f"u{k // 2}", k % 2, "x") for k in range(80)], "sample_id string, sha256 string, base_error int, stratum0 string")
     f = policy.folds(df, "sha256", [F.col("stratum0")], 7)
     assert f.count() == 40 and sorted(r["count"] for r in f.groupBy("cv_fold").count().collect()) == [8] * 5
-    audit = policy.fold_audit(df.join(f.select("sha256", "cv_fold"), "sha256"), "sha256").collect()
+    audit = policy.fold_audit(df.join(f.select("sha256", "cv_fold"), "sha256"), "sha256", ["cv_fold"]).collect()
     assert sum(r["n_rows"] for r in audit) == 80 and all(r["leaked_units"] == 0 for r in audit)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from oracle import TESTDATA, connect, difference
 
-from tauplane.plans import catalog, catalog_support  # noqa: F401
+from tauplane.plans import catalog, catalog_audits, catalog_policies, catalog_support  # noqa: F401
 
 SF = f"{TESTDATA}/sf0.001"
 
