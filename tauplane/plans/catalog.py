@@ -712,12 +712,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("url_id_parse", r"""
     SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'p ' || page_id WHEN 1 THEN 'x' || page_id WHEN 2 THEN 'q' || page_id ELSE 'y' || page_id END AS id,
-           regexp_replace(CASE page_id % 4 WHEN 0 THEN url || '?a=1&id=p%20' || page_id WHEN 1 THEN 'https://files.example/d/x' || page_id || '/view' WHEN 2 THEN 'https://files.example/d/no?id=q' || page_id || '&id=z' ELSE 'https://files.example/a/d/y' || page_id || '?to=/d/no' END, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM pages""")
+           regexp_replace(CASE page_id % 4 WHEN 0 THEN 'https://files.example/uc?a=1&id=p%20' || page_id || '#top' WHEN 1 THEN 'https://files.example/d/x' || page_id || '/view' WHEN 2 THEN 'https://files.example/d/no?id=q' || page_id || '&id=z' ELSE 'https://files.example/a/d/y' || page_id || '?to=/d/no' END, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM pages""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, u, k = F.col("page_id").cast("string"), F.col("url"), F.col("page_id") % 4
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 4
     site = F.lit("https://files.example")
     url = (
-        F.when(k == 0, F.concat(u, F.lit("?a=1&id=p%20"), i)).when(k == 1, F.concat(site, F.lit("/d/x"), i, F.lit("/view")))
+        F.when(k == 0, F.concat(site, F.lit("/uc?a=1&id=p%20"), i, F.lit("#top"))).when(k == 1, F.concat(site, F.lit("/d/x"), i, F.lit("/view")))
         .when(k == 2, F.concat(site, F.lit("/d/no?id=q"), i, F.lit("&id=z"))).otherwise(F.concat(site, F.lit("/a/d/y"), i, F.lit("?to=/d/no")))
     )
     return table(spark, sf_dir, "pages").select("page_id", X.url_id(url).alias("id"), X.safe_name(url).alias("safe"))
