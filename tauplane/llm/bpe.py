@@ -27,9 +27,11 @@ from .common import frugal, slices, with_bytes
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
 MEMO_PIECES, MEMO_BYTES = 60_000, 64
+#: Pieces whose ids a worker remembers as text, where only digests are asked for.
+SPELLED = 300_000
 #: Leaves of the trees that are held at a time, in all pieces.
 SIDE_BY_SIDE = 1 << 18
-#: Bytes of text that are encoded at a time.
+#: Bytes of text that are encoded at a time, where ids are returned.
 PIECE = 1_000_000
 
 
@@ -224,7 +226,7 @@ class Codec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of every text, the number of ids and the SHA-256 of their decimals and of what they decode to."""
         split = [self.split(text) for text in texts]
-        if len(self.written) > MEMO_PIECES:
+        if len(self.written) > SPELLED:
             self.written.clear()
         fresh = {piece for own in split for piece in own} - self.written.keys()
         self.learn(fresh)
@@ -273,7 +275,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in slices(batches, "text", PIECE):
+        for batch in slices(batches, "text"):
             found = own.digests([text.decode() for text in batch.column("text").to_pylist()])
             n, of_ids, of_bytes = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
