@@ -39,7 +39,7 @@ from .common import BASE, INVERSE, WordHashes, frugal, mix, powers, settle, slic
 
 WINDOW = 50
 ROUNDS = 4
-#: Shared representatives and repeated windows that are broadcast at most (8 and 20 bytes each); beyond that they are joined by a shuffle, whose skewed partitions Spark splits.
+#: Shared representatives, repeated windows and copied texts that are broadcast at most (8, 20 and 32 bytes each); beyond that they are joined by a shuffle, whose skewed partitions Spark splits.
 BROADCAST = 500_000
 
 U = np.uint64
@@ -204,7 +204,7 @@ def repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFr
     ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = _named(ids)
     texts = settle(ids.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
-    owners = texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other")
+    owners = _found(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other"))
     copies = settle(texts.join(owners, "digest").where("doc_id > owner").select("doc_id", "body").distinct())
 
     keys = settle(_shared_keys(named, size, rounds)).join(copies, ["doc_id", "body"], "left_anti")
