@@ -51,7 +51,7 @@ U = np.uint64
 
 #: Words that name credentials.
 CREDENTIAL = rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential|client[_-]?id|key)"
-_candidate = re.compile(rb"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,64}[0-9])[A-Za-z0-9+/_\-]{%d,}={0,2}|(?<=[=:]["'])[^"'\s]{8,}(?=["'])|(?<=[=:] ["'])[^"'\s]{8,}(?=["'])""" % LEAST)
+_candidate = re.compile(rb"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{%d,}={0,2}|(?<=[=:]["'])[^"'\s]{8,}(?=["'])|(?<=[=:] ["'])[^"'\s]{8,}(?=["'])""" % LEAST)
 #: A credential word, what may follow it in a name, the sign, and an authorization's scheme; then the value. The name's rest is bounded, as it is read again for each word in it.
 _assignment = re.compile(CREDENTIAL + rb"""[\w\-]{0,64}["']?\s*[=:]\s*(?:(?:bearer|basic|token)[ \t]+(?=[^\s=:]))?(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"']+))""", re.IGNORECASE)
 _assigned = re.compile(CREDENTIAL + rb"""[\w\-]*["']?\s*[=:]\s*["']?$""", re.IGNORECASE)

@@ -436,6 +436,12 @@ def test_scan_takes_every_assigned_value(spark):
     assert all(got[128 + k] == {w: False} for k, w in enumerate(some))
 
 
+def test_a_run_is_a_candidate_wherever_its_digit_stands():
+    for letters in (10, 40, 80, 500):
+        text = b"see " + b"q" * letters + b"1" * 20 + b" end"
+        assert secret_scan.candidates(text) == [(4, 4 + letters + 20, False)]
+
+
 def test_forest_learns_from_different_findings_of_both_labels(spark):
     width = len(secret_scan.FEATURES)
     one = [(f"a{k}", [float(k)] + [0.0] * (width - 1), True) for k in range(10)]
