@@ -422,8 +422,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Splits and folds.
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples, once each: all detectors score the same ones."""
-    return scores(spark, sf_dir).select("sha256", "sample_id", "split", "generator").distinct()
+    """The samples, as often as there are detectors, which all score the same ones; what is made of units takes each once."""
+    return scores(spark, sf_dir).select("sha256", "sample_id", "split", "generator")
 
 
 STRATA = ["split", "generator"]
