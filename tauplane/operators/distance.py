@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -128,31 +129,50 @@ def ledoit_wolf(x_cov: np.ndarray, n: int, mean_fourth: float) -> tuple[np.ndarr
     return (1 - shrinkage) * x_cov + shrinkage * mu * np.eye(d), shrinkage
 
 
-def fit_mahalanobis(df: DataFrame, label: str) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """label -> (mean, precision, shrinkage). Two passes of aggregates; classes and dimensions bound what comes to the driver."""
-    means = {r["y"]: (r["n"], np.array(r["sums"]) / r["n"]) for r in class_moments(df, label).collect()}
-    sent = df.sparkSession.sparkContext.broadcast({y: m for y, (_, m) in means.items()})
+@dataclass
+class Mahalanobis:
+    """The mean and scale of every dimension, and of each class (in these z-scores) its mean, precision, shrinkage and condition number."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    classes: dict[int, tuple[np.ndarray, np.ndarray, float, float]]
+
+
+def fit_mahalanobis(df: DataFrame, label: str) -> Mahalanobis:
+    """Two passes of aggregates; classes and dimensions bound what comes to the driver. Dimensions that hardly vary keep their scale."""
+    found = class_moments(df, label).collect()  # one row for each class
+    n = sum(r["n"] for r in found)
+    mean = sum(np.array(r["sums"]) for r in found) / n
+    d = len(mean)
+    spread = np.sqrt(np.maximum(sum(np.diag(np.array(r["products"]).reshape(d, d)) for r in found) / n - mean**2, 0))
+    scale = np.where(spread < 1e-8, 1.0, spread)
+    means = {r["y"]: (np.array(r["sums"]) / r["n"] - mean) / scale for r in found}
+    if small := [r["y"] for r in found if r["n"] < 2]:
+        raise ValueError(f"classes {small} have too few samples for a covariance")
+    sent = df.sparkSession.sparkContext.broadcast((mean, scale, means))
 
     @F.pandas_udf("array<double>")
     def centred(v: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(a, np.float64) - sent.value[b] for a, b in zip(v, y, strict=True)])
+        own_mean, own_scale, of = sent.value
+        x = (np.stack(v.to_numpy()).astype(np.float64) - own_mean) / own_scale - np.stack([of[k] for k in y])
+        return pd.Series(list(x))
 
-    out = {}
-    for r in class_moments(df.withColumn("embedding", centred("embedding", F.col(label).cast("int"))), label).collect():
-        d = len(r["sums"])
+    classes = {}
+    for r in class_moments(df.withColumn("embedding", centred("embedding", F.col(label).cast("int"))), label).collect():  # one row for each class
         cov, shrinkage = ledoit_wolf(np.array(r["products"]).reshape(d, d) / r["n"], r["n"], r["fourth"] / r["n"])
-        out[r["y"]] = (means[r["y"]][1], np.linalg.pinv(cov), shrinkage)
-    return out
+        classes[r["y"]] = (means[r["y"]], np.linalg.pinv(cov), shrinkage, float(np.linalg.cond(cov)))
+    return Mahalanobis(mean, scale, classes)
 
 
-def mahalanobis_risk(df: DataFrame, model: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> DataFrame:
+def mahalanobis_risk(df: DataFrame, model: Mahalanobis) -> DataFrame:
     """df with risk, the squared distance to the nearest class, and nearest_class."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("risk double, nearest_class int")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        x, labels = np.stack(v.to_numpy()).astype(np.float64), sorted(sent.value)
-        d = np.stack([np.einsum("ij,jk,ik->i", x - sent.value[y][0], sent.value[y][1], x - sent.value[y][0]) for y in labels], 1)
+        own = sent.value
+        x, labels = (np.stack(v.to_numpy()).astype(np.float64) - own.mean) / own.scale, sorted(own.classes)
+        d = np.stack([np.einsum("ij,jk,ik->i", x - own.classes[y][0], own.classes[y][1], x - own.classes[y][0]) for y in labels], 1)
         return pd.DataFrame({"risk": d.min(1), "nearest_class": np.array(labels)[d.argmin(1)]})
 
     return df.withColumn("_m", nearest("embedding")).select("*", "_m.risk", "_m.nearest_class").drop("_m")
@@ -189,8 +209,11 @@ def displacement_risk(df: DataFrame, parent: str, index: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def length(v: pd.Series, y: pd.Series) -> pd.Series:
-        x = [np.asarray(a, np.float64) - sent.value[b][0] for a, b in zip(v, y, strict=True)]
-        return pd.Series([float(np.sqrt(max(a @ sent.value[b][1] @ a, 0.0))) for a, b in zip(x, y, strict=True)], dtype="float64")
+        x, kinds, out = np.stack(v.to_numpy()).astype(np.float64), y.to_numpy(), np.zeros(len(v))
+        for k in np.unique(kinds):
+            own = x[kinds == k] - sent.value[k][0]
+            out[kinds == k] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", own, sent.value[k][1], own), 0))
+        return pd.Series(out)
 
     return moved.withColumn("_d", F.pandas_udf(length, "double")("embedding", "y")).groupBy(parent).agg(F.avg("_d").alias("risk"))
 

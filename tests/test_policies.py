@@ -208,3 +208,20 @@ def test_json_latex_and_shards(spark, tmp_path):
     with pytest.raises(ValueError, match="2 rows"):
         tables.shards(spark, [str(tmp_path / "s0")], ["id"], 3)
     assert tables.provenance(spark, "numpy", "no-such-package")["no-such-package"] == "missing"
+
+
+def test_mahalanobis_is_over_z_scores(spark):
+    draw = np.random.default_rng(5)
+    x = np.c_[draw.normal(0, 100, 80), draw.normal(5, 0.01, 80), np.full(80, 3.0)]
+    y = draw.integers(0, 2, 80)
+    df = spark.createDataFrame([(k, [float(v) for v in row], int(c)) for k, (row, c) in enumerate(zip(x, y, strict=True))], "id long, embedding array<double>, label int")
+    scale = np.where(x.std(0) < 1e-8, 1, x.std(0))
+    z = (x - x.mean(0)) / scale
+    want = []
+    for c in (0, 1):
+        own = z[y == c] - z[y == c].mean(0)
+        cov, _ = distance.ledoit_wolf(own.T @ own / len(own), len(own), float(((own**2).sum(1) ** 2).mean()))
+        off = z - z[y == c].mean(0)
+        want.append(np.einsum("ij,jk,ik->i", off, np.linalg.pinv(cov), off))
+    got = {r["id"]: r["risk"] for r in distance.mahalanobis_risk(df, distance.fit_mahalanobis(df, "label")).collect()}
+    assert np.allclose([got[k] for k in range(80)], np.min(want, 0), rtol=1e-6)
