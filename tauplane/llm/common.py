@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -49,11 +50,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+    return settled(df)[0]
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """settle(df), and what deletes it: only once all that was made of it is written itself."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tauplane-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: _forget(spark, path)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it a job's shuffle files go when the job ends; for jobs whose results are written or collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _forget(spark: SparkSession, path: str) -> None:

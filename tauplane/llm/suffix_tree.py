@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LineOfWords, frugal, mix, settle, slices, with_bytes
+from .common import BASE, LineOfWords, frugal, mix, settle, settled, slices, tidy, with_bytes
 from .language_id import remainder
 
 LEAST, DEPTH, DISCOUNT = 2, 3, 0.5
 #: Bytes of text whose n-grams of one length make a fragment, and fragments of a length at least.
 FRAGMENT, LEAST_FRAGMENTS = 12_000_000, 16
+#: The same where texts are scored: every fragment returns a sum for each text, so there are fewer of them.
+SCORED = 64_000_000
 #: What has this share of all tokens is heavy: it is broadcast, 1 / HEAVY words and n-grams of each length at most.
-HEAVY = 1e-4
+HEAVY = 1e-5
+#: Bits for each key of a table of marks, and of a table at most (32 MB), which is broadcast.
+BITS, MARKS = 8, 1 << 28
 U = np.uint64
 #: In memory, a symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
 MOST_SYMBOLS = 1 << 16
@@ -147,8 +152,37 @@ def grow(root: np.ndarray, singles: np.ndarray, counts: dict[int, tuple[np.ndarr
     return tree
 
 
-def _keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """For each length, the key of the n-gram that ends at each symbol; of each symbol, the text and the place in it; the symbols of each text."""
+@dataclass
+class Marks:
+    """Which keys may be in a set: a bit for each value of a key's leading bits. All that are in it pass, and some others."""
+
+    bits: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, keys: DataFrame, many: int) -> Marks:
+        """The marks of a column key of so many rows; as words of 64 bits, MARKS / 64 of them at most."""
+        width = min(MARKS.bit_length() - 1, max(16, (BITS * many).bit_length()))
+        shift = 64 - width
+        place = F.shiftrightunsigned("key", shift)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+        found = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(1 << (width - 6), U)
+        bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
+        return cls(bits, shift)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> U(self.shift)
+        return (self.bits[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
+
+
+def _joined_key(pre: np.ndarray, suf: np.ndarray, k: int) -> np.ndarray:
+    """The key of an n-gram of k + 1 symbols from those without its last and without its first."""
+    return mix(pre * U(BASE) + suf + U(k))
+
+
+def _keys(texts: list[bytes], depth: int = DEPTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For each length up to depth + 1, the key of the n-gram that ends at each symbol; of each symbol, the text and the place in it; the symbols of each text."""
     line = LineOfWords(texts)
     n = line.counts + 1
     starts = np.cumsum(n) - n
@@ -156,9 +190,9 @@ def _keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     words[np.arange(len(line.text)) + line.text] = line.hashes
     text = np.repeat(np.arange(len(n)), n)
     keys = [words]
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         key = np.zeros(len(words), U)
-        key[1:] = mix(keys[-1][:-1] * U(BASE) + words[1:] + U(k))
+        key[1:] = _joined_key(keys[-1][:-1], keys[-1][1:], k)
         keys.append(key)
     return keys, text, np.arange(len(words)) - starts[text], n
 
@@ -170,91 +204,113 @@ def _by_fragment(keys: np.ndarray, fragments: int) -> Iterator[tuple[int, int, i
     return zip(fragment[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=False)
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """The columns' lengths and, compressed, their bytes, byte by byte of the numbers."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    return np.array([len(c) for c in columns], np.int64).tobytes() + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    lengths, sizes = np.frombuffer(data, np.int64, len(kinds)), [np.dtype(kind).itemsize for kind in kinds]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8 * len(kinds) :], int((lengths * sizes).sum())), np.uint8)
+    out, start = [], 0
+    for n, size, kind in zip(lengths.tolist(), sizes, kinds, strict=True):
+        out.append(np.ascontiguousarray(planes[start : start + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        start += n * size
+    return out
+
+
 def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
 
 
-def _counts(train: DataFrame, fragments: int, least: int) -> DataFrame:
-    """(size, key, pre, suf, n): the words of the training texts, and their n-grams that reach least; pre and suf: without the last, without the first symbol."""
+def _counts(train: DataFrame, sizes: list[int], fragments: int, least: int, whole: Marks | None = None, known: Marks | None = None) -> DataFrame:
+    """(size, key, pre, suf, n): the words of the training texts, and their n-grams that reach least; pre and suf: without the last, without the first symbol.
+
+    With marks, of n-grams whose pre whole marks, and whose suf known marks.
+    """
+    marks = train.sparkSession.sparkContext.broadcast((whole, known))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, known = marks.value
         for batch in slices(batches, "text"):
-            keys, _, place, _ = _keys(batch.column("text").to_pylist())
+            keys, _, place, _ = _keys(batch.column("text").to_pylist(), max(sizes) - 1)
             out = []
-            for k in range(DEPTH + 1):
+            for k in (size - 1 for size in sizes):
                 at = np.flatnonzero(place >= k)
+                if whole is not None:
+                    at = at[known.has(keys[k - 1][at])]
+                    at = at[whole.has(keys[k - 1][at - 1])]
                 at = at[np.argsort(keys[k][at])]
                 own = keys[k][at]
                 head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
                 own, at, many = own[head], at[head], np.diff(np.r_[head, len(own)]).astype(np.uint32)
-                pre, suf = (keys[k - 1][at - 1], keys[k - 1][at]) if k else (np.zeros(0, U), np.zeros(0, U))
-                out += [(f * (DEPTH + 1) + k, own[a:z].tobytes(), pre[a:z].tobytes(), suf[a:z].tobytes(), many[a:z].tobytes()) for f, a, z in _by_fragment(own, fragments)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*out, strict=True))], ["f", "keys", "pres", "sufs", "many"])
+                pre, suf = (keys[k - 1][at - 1], keys[k - 1][at]) if k else (own, own)
+                for f, a, z in _by_fragment(own, fragments):
+                    alike = a + np.argsort(pre[a:z])  # side by side they are compressed
+                    out.append((f * (DEPTH + 1) + k, pre[alike].tobytes(), suf[alike].tobytes() if k else b"", many[alike].tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(columns)], ["f", "pres", "sufs", "many"])
 
     def gather(table: pa.Table) -> pa.Table:
         k = table.column("f")[0].as_py() % (DEPTH + 1)
-        keys, many = _joined(table, "keys", U), _joined(table, "many", np.uint32)
+        pres, sufs, many = _joined(table, "pres", U), _joined(table, "sufs", U), _joined(table, "many", np.uint32)
+        keys = _joined_key(pres, sufs, k) if k else pres
         order = np.argsort(keys)
         heads = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
         n = np.add.reduceat(many[order].astype(np.int64), heads)
         stay = n >= (least if k else 1)
         first = order[heads[stay]]
-        pre, suf = (_joined(table, c, U)[first].view(np.int64) if k else np.zeros(len(first), np.int64) for c in ("pres", "sufs"))
+        pre, suf = (c[first].view(np.int64) if k else np.zeros(len(first), np.int64) for c in (pres, sufs))
         return pa.table({"size": pa.array(np.full(len(first), k + 1, np.int32)), "key": pa.array(keys[first].view(np.int64)), "pre": pa.array(pre), "suf": pa.array(suf), "n": pa.array(n[stay])})
 
-    return settle(train.mapInArrow(frugal(scatter), "f int, keys binary, pres binary, sufs binary, many binary").groupBy("f").applyInArrow(gather, "size int, key long, pre long, suf long, n long"))
+    return train.mapInArrow(frugal(scatter), "f int, pres binary, sufs binary, many binary").groupBy("f").applyInArrow(gather, "size int, key long, pre long, suf long, n long")
 
 
-def _numbers(counts: DataFrame, tokens: int, kinds: int) -> DataFrame:
-    """(size, key, base, v): for words, log10(c + 0.5); for n-grams, what the tree adds to the log probability where they stand."""
-    words = counts.where("size = 1")
-    out = [words.select("size", "key", F.log10(F.col("n") + 0.5).alias("base"), F.lit(0.0).alias("v"))]
-    known = words.select("key", ((F.col("n") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))).alias("q"))
-    for depth in range(1, DEPTH + 1):
-        totals = counts.where(F.col("size") == depth).select(F.col("key").alias("pre"), F.col("n").alias("total"))
-        # A successor's probability by the parent is there if the parent is retained.
-        rows = settle(counts.where(F.col("size") == depth + 1).join(totals, "pre").join(known.withColumnRenamed("key", "suf"), "suf").select("key", "pre", "n", "total", "q"))
-        p = F.col("n") / F.col("total")
-        by = rows.groupBy("pre", "total").agg(
-            F.count("*").alias("sizes"), F.sum("n").alias("named_n"), F.sum("q").alias("before"), F.sum(p * F.log(p / F.col("q"))).alias("gain")
-        )
-        rest = 1 - F.col("named_n") / F.col("total")
-        gain = F.col("gain") + F.when(F.col("named_n") < F.col("total"), rest * F.log(rest / F.greatest(1 - F.col("before"), F.lit(1e-12)))).otherwise(0)
-        kept = by.where(F.col("total") * gain >= (F.col("sizes") + 1) / 2 * F.log(F.greatest("total", F.lit(2))))
-        kept = settle(kept.select("pre", ((F.col("total") - F.col("named_n") + DISCOUNT * F.col("sizes")) / F.col("total")).alias("escape")))
-        known = rows.join(kept, "pre").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("q"))
-        nothing = F.lit(None).cast("double").alias("base")
-        known = settle(known.select("key", F.col("p").alias("q"), (F.log10(F.col("p") / F.col("q")) - F.log10("escape")).alias("v")))
-        out += [kept.select(F.lit(depth).alias("size"), F.col("pre").alias("key"), nothing, F.log10("escape").alias("v")), known.select(F.lit(depth + 1).alias("size"), "key", nothing, "v")]
-        known = known.select("key", "q")
-    union = out[0]
-    for more in out[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("size", "key").agg(F.max("base").alias("base"), F.sum("v").alias("v"))
-
-
-def _heavy(counts: DataFrame, numbers: DataFrame, tokens: int, share: float = HEAVY) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each size, the sorted keys of what is that share of all tokens, their v and base; 1 / share of each at most."""
-    often = counts.where(F.col("n") >= max(1.0, share * tokens)).select("size", "key")
-    found = often.join(numbers, ["size", "key"], "left").select("size", "key", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("base", F.lit(0.0)).alias("base")).toArrow()  # (DEPTH + 1) / share rows at most
-    size, key, v, base = (found.column(c).to_numpy() for c in ("size", "key", "v", "base"))
+def _grown(counts: DataFrame, before: DataFrame, known: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Of the contexts of depth symbols those that are kept: (key, escape); and their successors: (key, q, v).
+
+    counts: the n-grams one longer; before: (key, n) of the contexts; known: (key, q) of explicit successors of the contexts' parents.
+    """
+    totals = before.select(F.col("key").alias("pre"), F.col("n").alias("total"))
+    # A successor's probability by the parent is there if the parent is retained.
+    rows, drop = settled(counts.join(totals, "pre").join(known.select(F.col("key").alias("suf"), "q"), "suf").select("key", "pre", "n", "total", "q"))
+    p = F.col("n") / F.col("total")
+    by = rows.groupBy("pre", "total").agg(
+        F.count("*").alias("sizes"), F.sum("n").alias("named_n"), F.sum("q").alias("before"), F.sum(p * F.log(p / F.col("q"))).alias("gain")
+    )
+    rest = 1 - F.col("named_n") / F.col("total")
+    gain = F.col("gain") + F.when(F.col("named_n") < F.col("total"), rest * F.log(rest / F.greatest(1 - F.col("before"), F.lit(1e-12)))).otherwise(0)
+    kept = by.where(F.col("total") * gain >= (F.col("sizes") + 1) / 2 * F.log(F.greatest("total", F.lit(2))))
+    kept = settle(kept.select(F.col("pre").alias("key"), ((F.col("total") - F.col("named_n") + DISCOUNT * F.col("sizes")) / F.col("total")).alias("escape")))
+    known = rows.join(kept.withColumnRenamed("key", "pre"), "pre").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("q"))
+    known = settle(known.select("key", F.col("p").alias("q"), (F.log10(F.col("p") / F.col("q")) - F.log10("escape")).alias("v")))
+    drop()
+    return kept, known
+
+
+def _heavy(often: list[DataFrame], numbers: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size, the sorted keys of what is often there, their v and base; often: 1 / HEAVY keys of each size at most."""
     out = []
-    for k in range(1, DEPTH + 2):
-        own = np.flatnonzero(size == k)
-        own = own[np.argsort(key[own].view(U))]
-        out.append((key[own].view(U), v[own], base[own]))
+    for size, keys in enumerate(often, 1):
+        own = numbers.where(F.col("size") == size).join(keys, "key", "left_semi").groupBy("key").agg(F.sum("v").alias("v"), F.max("base").alias("base"))
+        found = keys.join(own, "key", "left").select("key", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("base", F.lit(0.0)).alias("base")).toArrow()
+        key, v, base = (found.column(c).to_numpy() for c in ("key", "v", "base"))
+        order = np.argsort(key.view(U))
+        out.append((key.view(U)[order], v[order], base[order]))
     return out
 
 
-def _sums(rows: DataFrame, numbers: DataFrame, heavy: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fragments: int) -> DataFrame:
+def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fragments: int) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams.
 
-    What is heavy is summed where a text is read, so a word that all texts have isn't sent for each.
+    What is heavy is summed where a text is read, so a word that all texts have isn't sent for each; nor is what isn't marked.
     """
-    columns = ["f", "piece", "texts_n", "keys", "texts_of", "texts", "times", "ids", "named", "train", "tokens", "own"]
-    sent = rows.sparkSession.sparkContext.broadcast(heavy)
+    columns = ["f", "piece", "texts_n", "entries", "ids", "named", "train", "tokens", "own"]
+    sent = rows.sparkSession.sparkContext.broadcast((marks, heavy))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, heavy = sent.value
         piece = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             keys, text_of, place, n = _keys(batch.column("text").to_pylist())
@@ -263,49 +319,63 @@ def _sums(rows: DataFrame, numbers: DataFrame, heavy: list[tuple[np.ndarray, np.
             out, local = [], np.zeros((3, len(n)))
             for k in range(DEPTH + 1):
                 at = np.flatnonzero(place >= k)
-                often, v, base = sent.value[k]
-                if len(often):
-                    known = np.minimum(np.searchsorted(often, keys[k][at]), len(often) - 1)
-                    hit = often[known] == keys[k][at]
-                    text, known = text_of[at[hit]], known[hit]
-                    local[0] += np.bincount(text, v[known], len(n))
-                    if k == 0:
-                        local[1] += np.bincount(text, base[known], len(n))
-                        local[2] += np.bincount(text, minlength=len(n))
-                    at = at[~hit]
+                at = at[marks[k].has(keys[k][at])]
                 at = at[np.argsort(keys[k][at], kind="stable")]
                 key, text = keys[k][at], text_of[at]
                 head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
                 times = np.diff(np.r_[head, len(key)]).astype(np.uint32)
                 key, text = key[head], text[head].astype(np.uint32)
+                often, v, base = heavy[k]
+                if len(often) and len(key):
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    known = np.minimum(np.searchsorted(often, key[first]), len(often) - 1)
+                    many = np.diff(np.r_[first, len(key)])
+                    hit, known = np.repeat(often[known] == key[first], many), np.repeat(known, many)
+                    whose, known, n_times = text[hit], known[hit], times[hit].astype(float)
+                    local[0] += np.bincount(whose, n_times * v[known], len(n))
+                    if k == 0:
+                        local[1] += np.bincount(whose, n_times * base[known], len(n))
+                        local[2] += np.bincount(whose, n_times, len(n))
+                    key, text, times = key[~hit], text[~hit], times[~hit]
                 for f, a, z in _by_fragment(key, fragments):
                     new = np.flatnonzero(np.r_[True, key[a + 1 : z] != key[a : z - 1]])
-                    packed = (key[a:z][new].tobytes(), np.diff(np.r_[new, z - a]).astype(np.uint32).tobytes(), text[a:z].tobytes(), times[a:z].tobytes())
-                    out.append((f * (DEPTH + 1) + k, piece, len(n), *packed, *[None] * 5))
+                    entries = _packed(np.diff(key[a:z][new], prepend=U(0)), np.diff(np.r_[new, z - a]).astype(np.uint32), text[a:z], times[a:z])
+                    out.append((f * (DEPTH + 1) + k, piece, len(n), entries, *[None] * 5))
             # What is known of the texts goes apart from the fragments, by piece.
-            out.append((-1 - (piece ^ (piece >> 32)) % fragments, piece, len(n), *[b""] * 4, *about, local.tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 9]
+            out.append((-1 - (piece ^ (piece >> 32)) % fragments, piece, len(n), None, *about, local.tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], columns)
             piece += 1
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right.column("key").to_numpy().view(U)
+        parts = [_unpacked(x, U, float, float) for x in right.column("numbers").to_pylist()]
+        own = np.concatenate([np.zeros(0, U), *(x for x, _, _ in parts)])
+        v = np.concatenate([np.zeros(0), *(x for _, x, _ in parts)])
+        base = np.concatenate([np.zeros(0), *(x if len(x) else np.zeros(len(key)) for key, _, x in parts)])
         order = np.argsort(own)
-        own, v = own[order], right.column("v").to_numpy()[order]
-        base = right.column("base").to_numpy()[order].astype(float)
+        own, v, base = own[order], v[order], base[order]
+        if len(own):  # what is a context and a successor has two rows
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            own, v, base = own[heads], np.add.reduceat(v, heads), np.maximum.reduceat(base, heads)
         out = []
         for r in left.to_pylist() if left.num_rows else ():
-            keys, many = np.frombuffer(r["keys"], U), np.frombuffer(r["texts_of"], np.uint32)
+            if r["entries"] is None:
+                out.append((r["piece"], r["texts_n"], None, None, r["ids"], r["named"], r["train"], r["tokens"], r["own"]))
+                continue
+            gaps, many, text, times = _unpacked(r["entries"], U, np.uint32, np.uint32, np.uint32)
+            keys = np.cumsum(gaps)
             at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
             hit = own[at] == keys if len(own) else np.zeros(len(keys), bool)
             entry = np.repeat(hit, many)
             at = np.repeat(at[hit], many[hit])
-            text, times = np.frombuffer(r["texts"], np.uint32)[entry].astype(np.int64), np.frombuffer(r["times"], np.uint32)[entry].astype(float)
-            found, local = np.unique(text, return_inverse=True)
+            text, times = text[entry], times[entry].astype(float)
+            there = np.zeros(r["texts_n"], bool)
+            there[text] = True
+            found, local = np.flatnonzero(there), (np.cumsum(there) - 1)[text]
             sums = [np.bincount(local, times * v[at], len(found))]
             if r["f"] % (DEPTH + 1) == 0:
                 sums += [np.bincount(local, times * base[at], len(found)), np.bincount(local, times, len(found))]
-            out.append((r["piece"], r["texts_n"], found.astype(np.uint32).tobytes(), np.concatenate(sums).tobytes(), r["ids"], r["named"], r["train"], r["tokens"], r["own"]))
+            out.append((r["piece"], r["texts_n"], np.packbits(there).tobytes(), np.concatenate(sums).tobytes(), *[None] * 5))
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
         names = ["piece", "texts_n", "texts", "sums", "ids", "named", "train", "tokens", "own"]
         return pa.table({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(zip(names, kinds, strict=True))})
@@ -314,7 +384,9 @@ def _sums(rows: DataFrame, numbers: DataFrame, heavy: list[tuple[np.ndarray, np.
         own = next(x for x in table.column("own").to_pylist() if x is not None)
         total = np.frombuffer(own).reshape(3, -1).copy()
         for texts, sums in zip(table.column("texts").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            where = np.frombuffer(texts, np.uint32)
+            if texts is None:
+                continue
+            where = np.flatnonzero(np.unpackbits(np.frombuffer(texts, np.uint8), count=total.shape[1]))
             own = np.frombuffer(sums).reshape(-1, len(where)) if len(where) else np.zeros((1, 0))
             total[: len(own), where] += own
         ids, named, train, tokens = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("ids", "named", "train", "tokens"))
@@ -323,9 +395,18 @@ def _sums(rows: DataFrame, numbers: DataFrame, heavy: list[tuple[np.ndarray, np.
             "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "logs": pa.array(total[1]), "added": pa.array(total[0]),
         })
 
-    schema = "f int, piece long, texts_n long, keys binary, texts_of binary, texts binary, times binary, ids binary, named binary, train binary, tokens binary, own binary"
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, key, v, base = (batch.column(c).to_numpy() for c in ("f", "key", "v", "base"))
+            order = np.lexsort((key, f))
+            heads = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]][: len(f)])
+            groups = np.split(order, heads[1:]) if len(f) else []
+            packed = [_packed(key[g].view(U), v[g], base[g] if base[g].any() else base[:0]) for g in groups]  # only words have a base
+            yield pa.RecordBatch.from_arrays([pa.array(f[order][heads], pa.int32()), pa.array(packed, pa.binary())], ["f", "numbers"])
+
+    schema = "f int, piece long, texts_n long, entries binary, ids binary, named binary, train binary, tokens binary, own binary"
     fragment = F.shiftrightunsigned("key", 32) * F.lit(fragments)
-    tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "base", "v")
+    tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "v", "base").mapInArrow(frugal(pack), "f int, numbers binary")
     packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary, own binary")
     return packed.groupBy("piece").applyInArrow(add, "doc_id long, train boolean, n_tokens long, n_known long, logs double, added double")
 
@@ -336,10 +417,36 @@ def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     named = docs.select("doc_id", (remainder(5) != 1).alias("train"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT))
-    counts = _counts(with_bytes(named.where("train")), fragments, least)
-    tokens, kinds = counts.where("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    numbers = settle(_numbers(counts, tokens, kinds))
-    sums = _sums(with_bytes(named, "doc_id", "train"), numbers, _heavy(counts, numbers, tokens), fragments)
+    texts = with_bytes(named.where("train"))
+    with tidy(docs.sparkSession):
+        counts, drop = settled(_counts(texts, [1, 2], fragments, least))
+        words = settle(counts.where("size = 1").select("key", "n"))
+        counts_of = [words, counts.where("size = 2")]
+        tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        often = lambda c: c.where(F.col("n") >= max(1.0, HEAVY * tokens)).select("key")
+        heavy = [settle(often(c)) for c in counts_of]
+        known = words.select("key", ((F.col("n") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))).alias("q"))
+        rows = [words.select(F.lit(1).alias("size"), "key", F.log10(F.col("n") + 0.5).alias("base"), F.lit(0.0).alias("v"))]
+        for depth in range(1, DEPTH + 1):
+            drops = [drop]
+            if depth > 1:
+                whole = Marks.of(counts_of[-1].select("key"), counts_of[-1].count())
+                counts, drop = settled(_counts(texts, [depth + 1], fragments, least, whole, whole if depth < DEPTH else Marks.of(known.select("key"), known.count())))
+                counts_of.append(counts)
+                heavy.append(settle(often(counts)))
+            kept, known = _grown(counts_of[depth], counts_of[depth - 1], known, depth)
+            if depth > 1:
+                drops[0]()
+            for size, own, v in ((depth, kept, F.log10("escape")), (depth + 1, known, F.col("v"))):
+                rows.append(own.select(F.lit(size).alias("size"), "key", F.lit(0.0).alias("base"), v.alias("v")))
+        drop()
+        numbers = reduce(DataFrame.unionByName, rows)
+        marks = []
+        for size in range(1, DEPTH + 2):
+            own = numbers.where(F.col("size") == size).select("key")
+            marks.append(Marks.of(own, own.count()))
+        heavy = _heavy(heavy, numbers)
+    sums = _sums(with_bytes(named, "doc_id", "train"), numbers, marks, heavy, max(LEAST_FRAGMENTS, -(-size // SCORED)))
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(float(np.log10(0.5)))
     base = F.col("logs") + unknown - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))
     return sums.select(

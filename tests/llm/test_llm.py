@@ -146,6 +146,22 @@ def test_suffix_tree_is_the_tree_of_all_words(spark):
     assert got[held]["score"] > got[held]["base_score"] + 1
 
 
+def test_suffix_tree_loses_nothing_by_full_marks(spark, texts, monkeypatch):
+    """A table of marks that is far too small lets more pass, and the scores stay."""
+    want = by_id(suffix_tree.score(make(spark, texts)))
+    monkeypatch.setattr(suffix_tree, "MARKS", 1 << 8)
+    got = by_id(suffix_tree.score(make(spark, texts)))
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        assert got[k]["n_known"] == row["n_known"] and math.isclose(got[k]["score"], row["score"], rel_tol=1e-9), k
+
+
+def test_suffix_tree_packs_and_unpacks():
+    columns = np.array([3, 1 << 63, 0], np.uint64), np.zeros(0), np.array([7, 1 << 31], np.uint32)
+    back = suffix_tree._unpacked(suffix_tree._packed(*columns), np.uint64, float, np.uint32)
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(columns, back, strict=True))
+
+
 # 2
 
 
