@@ -52,8 +52,8 @@ FRAGMENT, LEAST_FRAGMENTS = 12_000_000, 16
 SCORED = 64_000_000
 #: What has this share of all tokens is heavy: it is broadcast, 1 / HEAVY words and n-grams of each length at most.
 HEAVY = 1e-5
-#: Bits for each key of a table of marks, and of a table at most (32 MB), which is broadcast.
-BITS, MARKS = 8, 1 << 28
+#: Bits for each key of a table of marks, and of a table at most (32 MB), which is broadcast; how many of them a key sets.
+BITS, MARKS, PROBES = 8, 1 << 28, 3
 U = np.uint64
 #: In memory, a symbol has 16 bits, so that DEPTH + 1 of them are one 64-bit number.
 MOST_SYMBOLS = 1 << 16
@@ -154,26 +154,35 @@ def grow(root: np.ndarray, singles: np.ndarray, counts: dict[int, tuple[np.ndarr
 
 @dataclass
 class Marks:
-    """Which keys may be in a set: a bit for each value of a key's leading bits. All that are in it pass, and some others."""
+    """Which keys may be in a set: PROBES bits for each, at different bits of the key. All that are in it pass, and few others."""
 
     bits: np.ndarray
-    shift: int
+    width: int
+
+    @staticmethod
+    def _shifts(width: int) -> list[int]:
+        """A place is so many bits of a key, from each of these on."""
+        return [(64 - width) * j // (PROBES - 1) for j in range(PROBES - 1, -1, -1)]
 
     @classmethod
     def of(cls, keys: DataFrame, many: int) -> Marks:
         """The marks of a column key of so many rows; as words of 64 bits, MARKS / 64 of them at most."""
         width = min(MARKS.bit_length() - 1, max(16, (BITS * many).bit_length()))
-        shift = 64 - width
-        place = F.shiftrightunsigned("key", shift)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-        found = keys.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift in cls._shifts(width)])).alias("place"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+        found = places.groupBy(F.shiftrightunsigned("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
         bits = np.zeros(1 << (width - 6), U)
         bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
-        return cls(bits, shift)
+        return cls(bits, width)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        place = keys >> U(self.shift)
-        return (self.bits[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
+        at = np.arange(len(keys))
+        for shift in self._shifts(self.width):
+            place = keys[at] >> U(shift) & U((1 << self.width) - 1)
+            at = at[(self.bits[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)]
+        found = np.zeros(len(keys), bool)
+        found[at] = True
+        return found
 
 
 def _joined_key(pre: np.ndarray, suf: np.ndarray, k: int) -> np.ndarray:
@@ -316,11 +325,12 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
             keys, text_of, place, n = _keys(batch.column("text").to_pylist())
             doc_ids = batch.column("doc_id")
             about = (doc_ids.fill_null(0).to_numpy().tobytes(), doc_ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes(), n.astype(np.int64).tobytes())
-            out, local = [], np.zeros((3, len(n)))
+            out, local, may = [], np.zeros((3, len(n))), np.arange(len(place))
             for k in range(DEPTH + 1):
-                at = np.flatnonzero(place >= k)
-                at = at[marks[k].has(keys[k][at])]
-                at = at[np.argsort(keys[k][at], kind="stable")]
+                # What the tree has it also has without the oldest symbol: a context's parent is kept, and a successor is one of the parent's.
+                may = may[place[may] >= k]
+                may = may[marks[k].has(keys[k][may])]
+                at = may[np.argsort(keys[k][may], kind="stable")]
                 key, text = keys[k][at], text_of[at]
                 head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
                 times = np.diff(np.r_[head, len(key)]).astype(np.uint32)

@@ -156,6 +156,13 @@ def test_suffix_tree_loses_nothing_by_full_marks(spark, texts, monkeypatch):
         assert got[k]["n_known"] == row["n_known"] and math.isclose(got[k]["score"], row["score"], rel_tol=1e-9), k
 
 
+def test_marks_miss_nothing_and_let_little_else_pass(spark):
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 42_000)
+    marks = suffix_tree.Marks.of(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key long"), 2000)
+    assert marks.has(keys[:2000].view(np.uint64)).all()
+    assert marks.has(keys[2000:].view(np.uint64)).mean() < 0.005
+
+
 def test_suffix_tree_packs_and_unpacks():
     columns = np.array([3, 1 << 63, 0], np.uint64), np.zeros(0), np.array([7, 1 << 31], np.uint32)
     back = suffix_tree._unpacked(suffix_tree._packed(*columns), np.uint64, float, np.uint32)
