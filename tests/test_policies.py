@@ -253,3 +253,7 @@ def test_sums_by_units_are_those_of_joined_weights(spark):
 @pytest.mark.parametrize("name", ["poisson_weight_aurc_draws", "weighted_auroc_draws", "weighted_threshold_metrics"])
 def test_units_are_not_joined_to_weights(spark, name):
     assert "Join" not in planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_paired_interval_does_not_join_units(spark):
+    assert planned(catalog.QUERIES["paired_aurc_ci"](spark, "/root/testdata/sf0.001")).count("Join ") == 1  # the two methods' draws
