@@ -203,3 +203,10 @@ def test_empty_frames(spark):
     df = frame(spark, [])
     for out in (ranking.aurc(df, ["cell"]), ranking.auroc_average_precision(df, ["cell"]), policy.group_scan(df, ["cell"], "g", 0.1), evaluate.reliability_bins(df.withColumn("p", F.col("risk_score")), ["cell"])):
         assert out.count() == 0
+
+
+def test_bound_of_few_errors_in_a_million_has_the_binomial_tail():
+    for k, n in ((162, 1_004_664), (306, 1_020_696)):
+        p = cp_upper(k, n, 0.05)
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert math.isclose(tail, 0.05, rel_tol=1e-7)
