@@ -250,7 +250,7 @@ def test_sums_by_units_are_those_of_joined_weights(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()}
 
 
-@pytest.mark.parametrize("name", ["poisson_weight_aurc_draws", "weighted_auroc_draws", "weighted_threshold_metrics", "stratified_category_ci"])
+@pytest.mark.parametrize("name", ["poisson_weight_aurc_draws", "weighted_auroc_draws", "weighted_threshold_metrics", "percentile_ci", "stratified_category_ci"])
 def test_units_are_not_joined_to_weights(spark, name):
     assert "Join" not in planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
