@@ -210,3 +210,11 @@ def test_bound_of_few_errors_in_a_million_has_the_binomial_tail():
         p = cp_upper(k, n, 0.05)
         tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
         assert math.isclose(tail, 0.05, rel_tol=1e-7)
+
+
+def test_bound_of_a_trace_of_millions_has_the_binomial_tail():
+    for k, n in ((2486, 1_938_517), (194, 1_644_529)):
+        delta = 0.05 / 30
+        p = cp_upper(k, n, delta)
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert math.isclose(tail, delta, rel_tol=1e-6)
