@@ -49,21 +49,21 @@ UNITS = (
 )
 MARK = "\u0002"
 #: What separates tokens: everything of ASCII but lower-case letters, digits and MARK, and the punctuation and blanks of common other blocks.
-BETWEEN = r"[\x00\x01\x03-\x2F\x3A-\x60\x7B-\u00A9\u00AB\u00BB\u2000-\u206F\u3000-\u303F]+"
+BETWEEN = r"(?![a-z0-9])[\x00\x01\x03-\x2F\x3A-\x60\x7B-\u00A9\u00AB\u00BB\u2000-\u206F\u3000-\u303F]+"
 
 
 def marked(text: Column) -> Column:
     """The text's tokens joined by blanks; a placeholder is MARK, its type (d, n or u) and its value."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
+    # Each begins with what few characters are: a pattern that looks behind first does so at every one.
     steps = (
-        (MARK, " "),
-        (r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", ""),
-        (r"(?<=[0-9])\.(?=[0-9])", "·"),
-        (rf"(?<=[0-9])\s{{0,20}}((?i){units})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1"),
+        (r",(?<=[0-9],)(?=[0-9]{3}(?![0-9]))", ""),
+        (r"\.(?<=[0-9]\.)(?=[0-9])", "·"),
+        (rf"([0-9])\s{{0,20}}((?i){units})(?![\p{{L}}\p{{N}}])", f"$1 {MARK}u$2"),
         (r"\p{Lu}(?<=[\p{Ll}0-9,;]\s{1,20}\p{Lu})[\p{L}\p{M}]*", f" {MARK}n$0"),
-        (r"(?<![\p{L}\p{N}])[0-9]+(?:·[0-9]+)*(?![\p{L}\p{N}·])", f" {MARK}d$0"),
+        (r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:·[0-9]+)*(?![\p{L}\p{N}·])", f" {MARK}d$0"),
     )
-    out = F.coalesce(text, F.lit(""))
+    out = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
     for pattern, by in steps:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
     return F.trim(F.regexp_replace(F.lower(out), F.lit(BETWEEN), F.lit(" ")))
@@ -80,18 +80,20 @@ def canonical(tokens: Column) -> Column:
 
 def literal(tokens: Column) -> Column:
     """The words as they stand: the same whatever the text's case, and however its lines are broken."""
-    return F.regexp_replace(tokens, F.lit(f"{MARK}."), F.lit(""))
+    for kind in "dnu":
+        tokens = F.replace(tokens, F.lit(f"{MARK}{kind}"), F.lit(""))
+    return tokens
 
 
 def _tokens(df: DataFrame, *keep: str) -> DataFrame:
-    """keep..., the marked, the canonical and the literal tokens as arrays."""
-    strings = df.select(*keep, marked(F.col("text")).alias("_m"))
-    strings = strings.select(*keep, merged(F.col("_m")).alias("_m"), literal(F.col("_m")).alias("_l"))
-    return strings.select(*keep, *(F.split(x, " ").alias(c) for c, x in (("_m", F.col("_m")), ("_c", canonical(F.col("_m"))), ("_l", F.col("_l")))))
+    """keep..., the marked, the canonical and the literal tokens as arrays, and the marked ones whose names aren't merged, which stand where the literal ones do."""
+    strings = df.select(*keep, marked(F.col("text")).alias("_r"))
+    strings = strings.select(*keep, "_r", merged(F.col("_r")).alias("_m"), literal(F.col("_r")).alias("_l"))
+    return strings.select(*keep, *(F.split(x, " ").alias(c) for c, x in (("_m", F.col("_m")), ("_c", canonical(F.col("_m"))), ("_l", F.col("_l")), ("_r", F.col("_r")))))
 
 
-def _hashes(size: int, of: str = "_c") -> str:
-    """SQL: the hash of every window of that array, null where it has placeholders alone.
+def _hashes(size: int, of: str = "_c", at: str = "") -> str:
+    """SQL: the hash of every window of that array (or of those that begin at these places), null where it has placeholders alone.
 
     It is exploded by an outer explode: from any other, the optimizer infers a filter on the array's size, moves it below and so computes all again.
     """
@@ -99,7 +101,13 @@ def _hashes(size: int, of: str = "_c") -> str:
     blank = " AND ".join(f"startswith({of}[i + {k}], '{MARK}')" for k in range(size))
     whole = f"array(if({of}[0] = '' OR forall({of}, x -> startswith(x, '{MARK}')), CAST(NULL AS BIGINT), xxhash64({of})))"
     one = f"if({blank}, CAST(NULL AS BIGINT), xxhash64({each}))" if of == "_c" else f"xxhash64({each})"
-    return f"if(size({of}) < {size}, {whole}, transform(sequence(0, size({of}) - {size}), i -> {one}))"
+    return f"if(size({of}) < {size}, {whole}, transform({at or f'sequence(0, size({of}) - {size})'}, i -> {one}))"
+
+
+def _filled(size: int) -> str:
+    """SQL: _hashes of the windows of words that have a placeholder in the template; any other is a window of the template too."""
+    slots = f"filter(sequence(0, size(_r) - 1), i -> startswith(_r[i], '{MARK}'))"
+    return _hashes(size, "_l", f"array_distinct(flatten(transform({slots}, p -> sequence(greatest(p - {size - 1}, 0), least(p, size(_r) - {size})))))")
 
 
 def _slots(size: int) -> str:
@@ -135,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, perc
     keys = keys.unionByName(words.withColumn("plain", F.lit(True)))
     keys = keys.hint("broadcast" if items.count() + words.count() <= BROADCAST else "merge")
     # A window without placeholders is the same one in both.
-    own = _tokens(named, "doc_id", "body").select("doc_id", "body", F.explode_outer(F.array_distinct(F.concat(F.expr(_hashes(size)), F.expr(_hashes(size, "_l"))))).alias("h"))
+    own = _tokens(named, "doc_id", "body").select("doc_id", "body", F.explode_outer(F.array_distinct(F.concat(F.expr(_hashes(size)), F.expr(_filled(size))))).alias("h"))
     # Repeated rows hold a window once.
     shared = own.where("h IS NOT NULL").join(keys, "h").select("doc_id", "body", "h", "ikey", "item_id", "n_windows", "plain", "reps").distinct()
     hits = settle(shared.groupBy("doc_id", "body", "ikey", "item_id", "n_windows", "plain").agg(F.sum("reps").alias("hits")).where(f"100 * hits >= {percent} * n_windows"))

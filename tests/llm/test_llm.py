@@ -262,6 +262,16 @@ def test_decontamination_whatever_the_case_and_the_lines(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.report(docs, bench).collect()} == {(k, 1) for k in range(9)}
 
 
+def test_decontamination_hashes_words_only_where_the_template_differs(spark):
+    plain = "one two three four five six seven eight nine ten"
+    texts = [plain, plain.replace("five", "5 km"), "the man Anna Maria went on to Rome, and of 1,000 miles he ran 3.5 or so", "5 km", "", None, "7 " * 9]
+    rows = decontaminate._tokens(make(spark, texts), "doc_id")
+    template, every, held = (F.expr(x) for x in (decontaminate._hashes(5), decontaminate._hashes(5, "_l"), decontaminate._filled(5)))
+    got = by_id(rows.select("doc_id", template.alias("t"), every.alias("e"), held.alias("h")))
+    assert got[0]["h"] == [] and 0 < len(got[1]["h"]) < len(got[1]["e"])
+    assert all(set(r["t"]) | set(r["h"]) == set(r["t"]) | set(r["e"]) for r in got.values())
+
+
 def test_decontamination_values_that_coincide(spark):
     item = "A train leaves Paris with Anna aboard at 45 km per hour and reaches the coast after 3 hours so how far did Anna travel on that day"
     twice = item.replace("45", "5").replace("3 hours", "5 hours")
