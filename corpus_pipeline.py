@@ -14,13 +14,14 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauplane.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from tauplane.llm.common import documents, settle, table
+from tauplane.llm.common import documents, give_back, settle, table
 
 #: A document's language must hold this share of its letters.
 SHARE = 0.5
@@ -79,12 +80,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, before which executors give back what those before it have left."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", identify_language),
-    ("line dedup", drop_repeated_lines),
-    ("n-gram Jaccard join", keep_one_of_near_copies),
-    ("benchmark decontamination", decontaminate_documents),
-    ("byte-level BPE encoding and decoding", encode),
+    ("language ID", _apart(identify_language)),
+    ("line dedup", _apart(drop_repeated_lines)),
+    ("n-gram Jaccard join", _apart(keep_one_of_near_copies)),
+    ("benchmark decontamination", _apart(decontaminate_documents)),
+    ("byte-level BPE encoding and decoding", _apart(encode)),
 ]
 
 #: SQL can't express language ID, line dedup or the encoding.

@@ -172,6 +172,12 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return all_of
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors return the heap that they don't use: a JVM keeps what an earlier step has needed, beside the Python workers of the next one."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 bytes (null: empty)."""
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))

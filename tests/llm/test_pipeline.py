@@ -52,6 +52,16 @@ def test_stage_of_an_empty_table(spark, name):
     assert STAGES[name](spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
 
 
+@pytest.mark.parametrize("name", STAGES)
+def test_stage_begins_with_heap_given_back(spark, name):
+    """Else an executor's JVM keeps the heap of all stages before, and their workers find no room beside it."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(x.getCollectionCount() for x in beans if "Young" not in x.getName() and "Copy" not in x.getName())
+    before = full()
+    STAGES[name](spark, spark.createDataFrame([], SCHEMA), SF)
+    assert full() > before
+
+
 def test_encoding(spark, odd):
     from tiktoken.load import load_tiktoken_bpe
 
