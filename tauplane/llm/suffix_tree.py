@@ -42,10 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LineOfWords, frugal, mix, settle, settled, slices, tidy, with_bytes
+from .common import BASE, LineOfWords, frugal, give_back, mix, settle, settled, slices, tidy, with_bytes
 from .language_id import remainder
 
 LEAST, DEPTH, DISCOUNT = 2, 3, 0.5
+#: N-grams of up to so many symbols are scored in a first pass over the texts, longer ones in a second.
+LOWER = 2
 #: Bytes of text whose n-grams of one length make a fragment, and fragments of a length at least.
 FRAGMENT, LEAST_FRAGMENTS = 12_000_000, 16
 #: The same where texts are scored: every fragment returns a sum for each text, so there are fewer of them.
@@ -168,12 +170,29 @@ class Marks:
     def of(cls, keys: DataFrame, many: int) -> Marks:
         """The marks of a column key of so many rows; as words of 64 bits, MARKS / 64 of them at most."""
         width = min(MARKS.bit_length() - 1, max(16, (BITS * many).bit_length()))
-        places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift in cls._shifts(width)])).alias("place"))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-        found = places.groupBy(F.shiftrightunsigned("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        bits = np.zeros(1 << (width - 6), U)
-        bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
-        return cls(bits, width)
+        shifts, own_bits = cls._shifts(width), width - min(6, width - 6)  # a part of the table has so many bits of the place
+
+        def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in _together(batches):
+                key = held.column("key").to_numpy().view(U)
+                places = np.concatenate([(key >> U(shift) & U((1 << width) - 1)).astype(np.uint32) for shift in shifts])
+                places.sort()
+                places = places[np.r_[True, places[1:] != places[:-1]]]
+                part, places = places >> np.uint32(own_bits), places & np.uint32((1 << own_bits) - 1)
+                heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                packed = [_packed(np.diff(x, prepend=np.uint32(0))) for x in np.split(places, heads[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), pa.array(packed, pa.binary())], ["part", "places"])
+
+        def gather(table: pa.Table) -> pa.Table:
+            there = np.zeros(1 << own_bits, bool)
+            for x in table.column("places").to_pylist():
+                there[np.cumsum(_unpacked(x, np.uint32)[0], dtype=np.int64)] = True
+            return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())})
+
+        bits = np.zeros((1 << (width - own_bits), 1 << (own_bits - 6)), U)
+        for row in keys.select("key").mapInArrow(frugal(scatter), "part int, places binary").groupBy("part").applyInArrow(gather, "part int, bits binary").collect():  # 64 at most
+            bits[row["part"]] = np.frombuffer(row["bits"], U)
+        return cls(bits.reshape(-1), width)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = np.arange(len(keys))
@@ -206,6 +225,17 @@ def _keys(texts: list[bytes], depth: int = DEPTH) -> tuple[list[np.ndarray], np.
     return keys, text, np.arange(len(words)) - starts[text], n
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of the keys' upper bits, then of their places.
+
+    Equal keys stand together in the order of their places, but for keys that differ in the lowest bits alone: these may alternate, and then count as so many runs. A sort of numbers takes a fifth of the time of one of places.
+    """
+    low = U(max(1, len(keys)).bit_length())
+    both = keys >> low << low | np.arange(len(keys), dtype=U)
+    both.sort()
+    return (both & ((U(1) << low) - U(1))).astype(np.int64)
+
+
 def _by_fragment(keys: np.ndarray, fragments: int) -> Iterator[tuple[int, int, int]]:
     """(fragment, from, to) of sorted keys."""
     fragment = ((keys >> U(32)) * U(fragments) >> U(32)).astype(np.int64)  # the hash's order, so sorted with it
@@ -229,6 +259,19 @@ def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _together(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.Table]:
+    """The batches, not empty, as tables of about so many rows: sorted keys take the less room the more of them stand together."""
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many >= most:
+            yield pa.Table.from_batches(held)
+            held, many = [], 0
+    if many:
+        yield pa.Table.from_batches(held)
+
+
 def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
 
@@ -250,13 +293,13 @@ def _counts(train: DataFrame, sizes: list[int], fragments: int, least: int, whol
                 if whole is not None:
                     at = at[known.has(keys[k - 1][at])]
                     at = at[whole.has(keys[k - 1][at - 1])]
-                at = at[np.argsort(keys[k][at])]
+                at = at[_order(keys[k][at])]
                 own = keys[k][at]
                 head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
                 own, at, many = own[head], at[head], np.diff(np.r_[head, len(own)]).astype(np.uint32)
                 pre, suf = (keys[k - 1][at - 1], keys[k - 1][at]) if k else (own, own)
                 for f, a, z in _by_fragment(own, fragments):
-                    alike = a + np.argsort(pre[a:z])  # side by side they are compressed
+                    alike = a + _order(pre[a:z])  # side by side they are compressed
                     out.append((f * (DEPTH + 1) + k, pre[alike].tobytes(), suf[alike].tobytes() if k else b"", many[alike].tobytes()))
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(columns)], ["f", "pres", "sufs", "many"])
@@ -310,13 +353,13 @@ def _heavy(often: list[DataFrame], numbers: DataFrame) -> list[tuple[np.ndarray,
     return out
 
 
-def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[tuple[np.ndarray, np.ndarray, np.ndarray]], fragments: int) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams.
+def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: tuple[int, ...], fragments: int) -> DataFrame:
+    """(doc_id, body, train, n_tokens, n_known, logs, added) of every row: the sums over its known words and over its n-grams of these sizes.
 
     What is heavy is summed where a text is read, so a word that all texts have isn't sent for each; nor is what isn't marked.
     """
-    columns = ["f", "piece", "texts_n", "entries", "ids", "named", "train", "tokens", "own"]
-    sent = rows.sparkSession.sparkContext.broadcast((marks, heavy))
+    columns = ["f", "piece", "texts_n", "entries", "ids", "named", "body", "train", "tokens", "own"]
+    sent = rows.sparkSession.sparkContext.broadcast((marks[: max(sizes)], [x if size in sizes else None for size, x in enumerate(heavy, 1)]))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, heavy = sent.value
@@ -324,13 +367,15 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
         for batch in slices(batches, "text"):
             keys, text_of, place, n = _keys(batch.column("text").to_pylist())
             doc_ids = batch.column("doc_id")
-            about = (doc_ids.fill_null(0).to_numpy().tobytes(), doc_ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes(), n.astype(np.int64).tobytes())
+            about = (doc_ids.fill_null(0).to_numpy().tobytes(), doc_ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column("body").to_numpy().tobytes(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes(), n.astype(np.int64).tobytes())
             out, local, may = [], np.zeros((3, len(n))), np.arange(len(place))
-            for k in range(DEPTH + 1):
+            for k in range(max(sizes)):
                 # What the tree has it also has without the oldest symbol: a context's parent is kept, and a successor is one of the parent's.
                 may = may[place[may] >= k]
                 may = may[marks[k].has(keys[k][may])]
-                at = may[np.argsort(keys[k][may], kind="stable")]
+                if k + 1 not in sizes:
+                    continue
+                at = may[_order(keys[k][may])]
                 key, text = keys[k][at], text_of[at]
                 head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)])
                 times = np.diff(np.r_[head, len(key)]).astype(np.uint32)
@@ -350,10 +395,10 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
                 for f, a, z in _by_fragment(key, fragments):
                     new = np.flatnonzero(np.r_[True, key[a + 1 : z] != key[a : z - 1]])
                     entries = _packed(np.diff(key[a:z][new], prepend=U(0)), np.diff(np.r_[new, z - a]).astype(np.uint32), text[a:z], times[a:z])
-                    out.append((f * (DEPTH + 1) + k, piece, len(n), entries, *[None] * 5))
+                    out.append((f * (DEPTH + 1) + k, piece, len(n), entries, *[None] * 6))
             # What is known of the texts goes apart from the fragments, by piece.
             out.append((-1 - (piece ^ (piece >> 32)) % fragments, piece, len(n), None, *about, local.tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], columns)
             piece += 1
 
@@ -370,7 +415,7 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
         out = []
         for r in left.to_pylist() if left.num_rows else ():
             if r["entries"] is None:
-                out.append((r["piece"], r["texts_n"], None, None, r["ids"], r["named"], r["train"], r["tokens"], r["own"]))
+                out.append((r["piece"], r["texts_n"], None, None, r["ids"], r["named"], r["body"], r["train"], r["tokens"], r["own"]))
                 continue
             gaps, many, text, times = _unpacked(r["entries"], U, np.uint32, np.uint32, np.uint32)
             keys = np.cumsum(gaps)
@@ -385,9 +430,9 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
             sums = [np.bincount(local, times * v[at], len(found))]
             if r["f"] % (DEPTH + 1) == 0:
                 sums += [np.bincount(local, times * base[at], len(found)), np.bincount(local, times, len(found))]
-            out.append((r["piece"], r["texts_n"], np.packbits(there).tobytes(), np.concatenate(sums).tobytes(), *[None] * 5))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
-        names = ["piece", "texts_n", "texts", "sums", "ids", "named", "train", "tokens", "own"]
+            out.append((r["piece"], r["texts_n"], np.packbits(there).tobytes(), np.concatenate(sums).tobytes(), *[None] * 6))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+        names = ["piece", "texts_n", "texts", "sums", "ids", "named", "body", "train", "tokens", "own"]
         return pa.table({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
     def add(table: pa.Table) -> pa.Table:
@@ -399,34 +444,34 @@ def _sums(rows: DataFrame, numbers: DataFrame, marks: list[Marks], heavy: list[t
             where = np.flatnonzero(np.unpackbits(np.frombuffer(texts, np.uint8), count=total.shape[1]))
             own = np.frombuffer(sums).reshape(-1, len(where)) if len(where) else np.zeros((1, 0))
             total[: len(own), where] += own
-        ids, named, train, tokens = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("ids", "named", "train", "tokens"))
+        ids, named, body, train, tokens = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("ids", "named", "body", "train", "tokens"))
         return pa.table({
-            "doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(named, bool)), "train": pa.array(np.frombuffer(train, bool)), "n_tokens": pa.array(np.frombuffer(tokens, np.int64)),
+            "doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(named, bool)), "body": pa.array(np.frombuffer(body, np.int64)), "train": pa.array(np.frombuffer(train, bool)), "n_tokens": pa.array(np.frombuffer(tokens, np.int64)),
             "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "logs": pa.array(total[1]), "added": pa.array(total[0]),
         })
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f, key, v, base = (batch.column(c).to_numpy() for c in ("f", "key", "v", "base"))
+        for held in _together(batches):
+            f, key, v, base = (held.column(c).to_numpy() for c in ("f", "key", "v", "base"))
             order = np.lexsort((key, f))
             heads = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]][: len(f)])
             groups = np.split(order, heads[1:]) if len(f) else []
             packed = [_packed(key[g].view(U), v[g], base[g] if base[g].any() else base[:0]) for g in groups]  # only words have a base
             yield pa.RecordBatch.from_arrays([pa.array(f[order][heads], pa.int32()), pa.array(packed, pa.binary())], ["f", "numbers"])
 
-    schema = "f int, piece long, texts_n long, entries binary, ids binary, named binary, train binary, tokens binary, own binary"
+    schema = "f int, piece long, texts_n long, entries binary, ids binary, named binary, body binary, train binary, tokens binary, own binary"
     fragment = F.shiftrightunsigned("key", 32) * F.lit(fragments)
-    tree = numbers.select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "v", "base").mapInArrow(frugal(pack), "f int, numbers binary")
-    packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, train binary, tokens binary, own binary")
-    return packed.groupBy("piece").applyInArrow(add, "doc_id long, train boolean, n_tokens long, n_known long, logs double, added double")
+    tree = numbers.where(F.col("size").isin(*sizes)).select((F.shiftright(fragment, 32) * (DEPTH + 1) + F.col("size") - 1).cast("int").alias("f"), "key", "v", "base").mapInArrow(frugal(pack), "f int, numbers binary")
+    packed = rows.mapInArrow(frugal(scatter), schema).groupBy("f").cogroup(tree.groupBy("f")).applyInArrow(gather, "piece long, texts_n long, texts binary, sums binary, ids binary, named binary, body binary, train binary, tokens binary, own binary")
+    return packed.groupBy("piece").applyInArrow(add, "doc_id long, body long, train boolean, n_tokens long, n_known long, logs double, added double")
 
 
 def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows whose remainder (crc32 mod 5) isn't 1."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = docs.select("doc_id", (remainder(5) != 1).alias("train"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT))
+    named = docs.select("doc_id", F.xxhash64("text").alias("body"), (remainder(5) != 1).alias("train"), "text")
+    in_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    fragments, scored = (max(LEAST_FRAGMENTS, -(-in_bytes // most)) for most in (FRAGMENT, SCORED))
     texts = with_bytes(named.where("train"))
     with tidy(docs.sparkSession):
         counts, drop = settled(_counts(texts, [1, 2], fragments, least))
@@ -438,25 +483,32 @@ def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
         known = words.select("key", ((F.col("n") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))).alias("q"))
         rows = [words.select(F.lit(1).alias("size"), "key", F.log10(F.col("n") + 0.5).alias("base"), F.lit(0.0).alias("v"))]
         for depth in range(1, DEPTH + 1):
-            drops = [drop]
             if depth > 1:
                 whole = Marks.of(counts_of[-1].select("key"), counts_of[-1].count())
                 counts, drop = settled(_counts(texts, [depth + 1], fragments, least, whole, whole if depth < DEPTH else Marks.of(known.select("key"), known.count())))
                 counts_of.append(counts)
                 heavy.append(settle(often(counts)))
             kept, known = _grown(counts_of[depth], counts_of[depth - 1], known, depth)
+            # Of what was counted, the next depth needs the keys and their counts alone.
             if depth > 1:
-                drops[0]()
+                forget()
+            counts_of[depth], forget = settled(counts_of[depth].select("key", "n")) if depth < DEPTH else (None, None)
+            drop()
             for size, own, v in ((depth, kept, F.log10("escape")), (depth + 1, known, F.col("v"))):
                 rows.append(own.select(F.lit(size).alias("size"), "key", F.lit(0.0).alias("base"), v.alias("v")))
-        drop()
         numbers = reduce(DataFrame.unionByName, rows)
         marks = []
         for size in range(1, DEPTH + 2):
             own = numbers.where(F.col("size") == size).select("key")
             marks.append(Marks.of(own, own.count()))
         heavy = _heavy(heavy, numbers)
-    sums = _sums(with_bytes(named, "doc_id", "train"), numbers, marks, heavy, max(LEAST_FRAGMENTS, -(-size // SCORED)))
+        give_back(docs.sparkSession)
+        # Two passes over the texts: the n-grams of all sizes at once would double what is sent at a time.
+        texts = with_bytes(named, "doc_id", "body", "train")
+        sums = settle(_sums(texts, numbers, marks, heavy, tuple(range(1, LOWER + 1)), scored))
+    # Rows with doc_id and text in common score the same.
+    upper = _sums(texts, numbers, marks, heavy, tuple(range(LOWER + 1, DEPTH + 2)), scored).groupBy("doc_id", "body").agg(F.first("added").alias("upper")).withColumnsRenamed({"doc_id": "_id", "body": "_body"})
+    sums = sums.join(upper, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).withColumn("added", F.col("added") + F.col("upper"))
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.lit(float(np.log10(0.5)))
     base = F.col("logs") + unknown - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (kinds + 1))))
     return sums.select(

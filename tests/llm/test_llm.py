@@ -156,6 +156,29 @@ def test_suffix_tree_loses_nothing_by_full_marks(spark, texts, monkeypatch):
         assert got[k]["n_known"] == row["n_known"] and math.isclose(got[k]["score"], row["score"], rel_tol=1e-9), k
 
 
+def test_suffix_tree_is_met_in_passes_whose_fragments_grow(spark, texts, monkeypatch):
+    """No pass sends the n-grams of all sizes, each size has one pass, and there are the more fragments the longer the texts; rows of one doc_id, or of none, keep apart."""
+    passes, sums = [], suffix_tree._sums
+    monkeypatch.setattr(suffix_tree, "_sums", lambda *args: passes.append(args[-2:]) or sums(*args))
+    monkeypatch.setattr(suffix_tree, "SCORED", 500)
+    own = [x for x in texts if x and len(x) < 3000]
+    rows = [(k, x) for k, x in enumerate(own)] + [(0, own[7]), (None, own[8]), (None, own[20]), (0, own[7])]
+    got = suffix_tree.score(make(spark, rows)).collect()
+    assert sorted(size for sizes, _ in passes for size in sizes) == list(range(1, suffix_tree.DEPTH + 2)) and len(passes) == 2
+    assert all(fragments == -(-sum(len(x.encode()) for _, x in rows) // 500) > suffix_tree.LEAST_FRAGMENTS for _, fragments in passes)
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+    one = {r["doc_id"]: r["score"] for r in got if r["doc_id"]}
+    close = lambda found, want: all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(sorted(found), sorted(want), strict=True))
+    assert close([r["score"] for r in got if r["doc_id"] is None], [one[8], one[20]])
+    zero = [r["score"] for r in got if r["doc_id"] == 0]
+    assert sum(math.isclose(x, one[7], rel_tol=1e-9) for x in zero) == 2 and len(zero) == 3
+
+
+def test_order_has_equal_keys_in_the_order_of_their_places():
+    keys = np.random.default_rng(4).integers(0, 1 << 62, 500).astype(np.uint64)[np.random.default_rng(5).integers(0, 500, 4000)]
+    assert (suffix_tree._order(keys) == np.argsort(keys, kind="stable")).all() and len(suffix_tree._order(keys[:0])) == 0
+
+
 def test_marks_miss_nothing_and_let_little_else_pass(spark):
     keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 42_000)
     marks = suffix_tree.Marks.of(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key long"), 2000)
